@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .fingerprints import fingerprints
+from .mixing import mixed
 from .near_dup import near_duplicates
+from .pii import pseudonymised
 from .quality_rules import COVERAGE_LIMITS, quality_rules
 
 QUERIES: dict = {}
@@ -18,6 +21,27 @@ def query(f):
     return f
 
 
+#: Pseudonyms made with another key can't be linked with these; production passes its own.
+PSEUDONYM_KEY = "documents-v1"
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixed(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return found.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.repeats")).alias("taken"), F.col("mix.repeats").alias("repeats"))
+
+
+@query
+def op4_consistent_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("pii").alias("n_replaced"), F.array_sort(F.array_distinct(F.transform("pii", lambda x: x.kind))).alias("kinds"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
