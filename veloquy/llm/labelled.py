@@ -29,3 +29,8 @@ def labelled_sample(rows: DataFrame, id_col: str, text_col: str, label_col: str,
         wanted = wanted | ((F.col("label") == F.lit(r.label)) & (draw < F.lit(shrink * rows_a_label / r.n)))
     found = rows.filter(wanted).select("id", "text", "label").toPandas()
     return found.sort_values(["label", "id", "text"], ignore_index=True)[["text", "label"]]
+
+
+def label_share(rows: DataFrame, label_col: str) -> float | None:
+    """Share of label 1 among labelled rows; None without any."""
+    return rows.filter(F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0]

@@ -5,12 +5,14 @@ sequence as one; none: empty). 384 minima of strongly universal hashes (a * x +
 upper half) make 64 bands of 6; two sets of similarity 0.75 miss all bands with probability
 4e-6. Texts with equal sets form one class; only class representatives go on:
 
-1. Star: in every bucket each member is compared with the least one.
+1. Star: in every bucket each member is compared with the one that shares most buckets with
+   others (the original among its copies, as a rule).
 2. Components of the confirmed links by alternating large-star and small-star.
-3. Rest: members of one bucket that are still in different components are compared in pairs.
-   Where that would be more than PAIRS_PER_MEMBER pairs for each member, the bucket is dealt
-   again by every other band, so two texts meet there if they agree on twelve minima; nothing
-   is capped or dropped.
+3. Rest: members of one bucket that are still in different components. Those whose shingles
+   are shared with too few other texts to reach the similarity with anything in the bucket are
+   done (an exact bound); the others are compared in pairs. Where that would still be more than
+   PAIRS_PER_MEMBER pairs for each member, the bucket is dealt again by every other band, so two
+   texts meet there if they agree on twelve minima; nothing is capped or dropped.
 4. Components over all links.
 
 Candidates are first held against 128 bytes of their signatures (estimate below 0.5: more than
@@ -134,20 +136,31 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items array<long>")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with similarity of at least `percent` / 100 on full sets."""
     about = reps.select("doc_id", "n_shingles", "sketch")
     one = pairs.join(about.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
     two = one.join(about.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
     two = two.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = _likely(two.select("a", "b", "sketch_a", "sketch_b")).checkpoint()
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(ids, "doc_id", "left_semi")), "sets")
+    likely = _likely(two.select("a", "b", "sketch_a", "sketch_b"))
     full = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return full.select("a", "b", shared.alias("both"), (F.size("items_a") + F.size("items_b") - shared).alias("any")).filter(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
 
 
+def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Entries of `placed` that can have a link in their bucket, with `common`: how many of the
+    set's shingles occur in any other set of `placed`. Two sets share at most the smaller
+    `common`, so a link needs (100 + percent) * common >= percent * (both sizes), and an entry
+    whose common shingles don't suffice even with the least set of its bucket has none."""
+    items = sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    alone = often.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    known = placed.join(alone, "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    least = known.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    return known.join(least, "key").filter((100 + percent) * F.col("common") >= percent * (F.col("n_shingles") + F.col("least"))).drop("least")
+
+
 def _mixed(entries: DataFrame) -> DataFrame:
     """Keys of buckets with more than one component: (key, members, crossing pairs)."""
     by = entries.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -155,11 +168,12 @@ def _mixed(entries: DataFrame) -> DataFrame:
     return out.filter("parts > 1").select("key", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2).cast("long").alias("crossing"))
 
 
-def _pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in different components."""
-    a = entries.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    b = entries.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    return a.join(b, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+def _pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one bucket in different components whose common shingles suffice."""
+    a = entries.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("common").alias("ma"))
+    b = entries.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("common").alias("mb"))
+    enough = (100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb"))
+    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -171,21 +185,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stored(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
 
     spread = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("least")).filter("members > 1")
-    shared = stored(spread.join(buckets.select("key", "least"), "key"), "buckets")
-    star = shared.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(star, reps, plain, percent).checkpoint()
+    buckets = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = stored(spread.join(buckets, "key"), "buckets")
+    degree = shared.groupBy("doc_id").agg(F.sum("members").alias("degree"))
+    sets = stored(_sets(plain.join(degree.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    centre = shared.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", "degree").alias("centre"))
+    star = shared.join(centre, "key").filter("doc_id <> centre").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    links = _confirmed(star, reps, sets, percent).checkpoint()
     first = connected_components(links, "a", "b")
 
-    placed = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")).checkpoint()
-    mixed = _mixed(placed).checkpoint()
-    few = placed.join(mixed.filter(F.col("crossing") <= PAIRS_PER_MEMBER * F.col("members")).select("key"), "key", "left_semi")
-    many = placed.join(mixed.filter(F.col("crossing") > PAIRS_PER_MEMBER * F.col("members")).select("key"), "key", "left_semi")
-    again = many.join(reps.select("doc_id", "bands"), "doc_id").select("doc_id", "n_shingles", "component", F.col("key").alias("first"), F.explode("bands").alias("second")).filter("first <> second")
-    again = again.select("doc_id", "n_shingles", "component", F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("key"))
+    placed = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    placed = placed.join(_mixed(placed).select("key"), "key", "left_semi").checkpoint()
+    placed = _linkable(placed, sets, percent).checkpoint()
+    mixed = _mixed(placed)
+    many = F.col("crossing") > PAIRS_PER_MEMBER * F.col("members")
+    few = placed.join(mixed.filter(~many).select("key"), "key", "left_semi")
+    again = placed.join(mixed.filter(many).select("key"), "key", "left_semi").join(reps.select("doc_id", "bands"), "doc_id")
+    again = again.select("doc_id", "n_shingles", "component", "common", F.col("key").alias("first"), F.explode("bands").alias("second")).filter("first <> second")
+    again = again.withColumn("key", F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))).drop("first", "second")
     again = again.join(_mixed(again).select("key"), "key", "left_semi")
-    rest = _pairs(few).unionByName(_pairs(again)).distinct()
-    more = _confirmed(rest, reps, plain, percent)
+    rest = _pairs(few, percent).unionByName(_pairs(again, percent)).distinct()
+    more = _confirmed(rest, reps, sets, percent)
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
     final = connected_components(joined, "a", "b")
 

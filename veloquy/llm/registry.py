@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import toxicity
+from .brown_lm import brown_scores
+from .common import crc_mod, documents
 from .fingerprints import fingerprints
+from .labelled import label_share, labelled_sample
+from .language_id import fit_language, with_language
 from .mixing import mixed
 from .near_dup import near_duplicates
+from .pieces import with_decoded, with_pieces
 from .pii import pseudonymised
+from .quality_classifier import THRESHOLD, fit_quality
 from .quality_rules import COVERAGE_LIMITS, quality_rules
+from .toxicity import fit_toxicity, with_score
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,8 +28,29 @@ def query(f):
     return f
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Documents with their `label`; each label row counts once for each text of its id."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", label).filter(F.col(label).isNotNull())
+    return documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 3) == 1
+    sample = labelled_sample(docs.filter(~held_out), "doc_id", "text", "lang")
+    found = with_language(docs.select("doc_id", "text"), fit_language(sample["text"].tolist(), sample["label"].tolist()))
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", F.size("language.spans").alias("n_spans"))
+
+
+@query
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(documents(spark, sf_dir), crc_mod("doc_id", 7) == 2)
+
+
 #: Pseudonyms made with another key can't be linked with these; production passes its own.
 PSEUDONYM_KEY = "documents-v1"
+PIECE_MODEL = "file:///opt/tokenizers/piece_bpe_32k.model"
 
 
 @query
@@ -42,6 +70,20 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("pii").alias("n_replaced"), F.array_sort(F.array_distinct(F.transform("pii", lambda x: x.kind))).alias("kinds"))
 
 
+def piece_model(spark: SparkSession, path: str = PIECE_MODEL) -> bytes:
+    """The model file's bytes, read by Spark, so that the path may be in any store it knows."""
+    found = spark.read.format("binaryFile").load(path).select("content").first()
+    return bytes(found.content)
+
+
+@query
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether decoding them gives the text back."""
+    model = piece_model(spark)
+    found = with_decoded(with_pieces(documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    return found.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
@@ -50,6 +92,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *shown, *[m(f"dup_chars_{n}").alias(f"dup_chars_{n}") for n in COVERAGE_LIMITS], "base_failed", "kept")
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = labelled(spark, sf_dir, "toxic").filter(crc_mod("doc_id", 5) != 0)
+    sample = labelled_sample(train, "doc_id", "text", "toxic", toxicity.ROWS_A_LABEL, toxicity.SAMPLE_CHARS)
+    model = fit_toxicity(sample["text"].tolist(), sample["label"].to_numpy(), label_share(train, "toxic"))
+    found = with_score(documents(spark, sf_dir).select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = labelled(spark, sf_dir, "quality").filter(crc_mod("doc_id", 4) != 2)
+    sample = labelled_sample(train, "doc_id", "text", "quality")
+    model = fit_quality(sample["text"].tolist(), sample["label"].to_numpy(), label_share(train, "quality"))
+    found = with_score(documents(spark, sf_dir).select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

@@ -1,8 +1,10 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams (3 to 5, hashed to BUCKETS
-rows), a text's vector the mean over its words; a linear softmax over the two classes and all
-n-gram vectors are fitted together by Adam on a bounded, documented sample. Misspelt words share
+A word's vector is half its own and half the mean of the vectors of its character n-grams (3 to
+5), all hashed to BUCKETS rows, a text's vector the mean over its distinct words; a linear softmax over the two classes and all
+n-gram vectors are fitted together by Adam, classes in balance,
+on a bounded sample (ROWS_A_LABEL, SAMPLE_CHARS). A
+text's words count once each, so that no repeated word drowns the others. Misspelt words share
 most n-grams with the words seen, and so their vectors.
 
 Defined results: null and empty texts, and texts without words, get the score of the bias alone.
@@ -25,13 +27,20 @@ from . import textnum as tn
 from .grams import distinct_words, means, strings, word_grams
 
 LENGTHS = (3, 4, 5)
-BUCKETS = 1 << 16
-DIM = 8
-EPOCHS = 80
+BUCKETS = 1 << 17
+_WHOLE = np.uint64(0xD6E8FEB86659FD93)
+DIM = 4
+EPOCHS = 60
 RATE = 0.05
+#: Gradients below this count as noise: Adam would stretch them to full steps.
+STEADY = 1e-5
 #: Texts are long and few words matter: the mean is scaled before the softmax.
-SCALE = 20.0
-DECAY = 2e-6
+SCALE = 30.0
+DECAY = 3e-6
+#: N-grams in fewer distinct words of texts keep the zero vector.
+LEAST_USES = 6
+ROWS_A_LABEL = 2500
+SAMPLE_CHARS = 9_000_000
 
 
 @dataclass
@@ -42,12 +51,30 @@ class ToxicityModel:
     def score(self, texts: pa.Array) -> np.ndarray:
         w = tn.words(texts, lower=True)
         first, number = distinct_words(w)
-        bucket, bounds = word_grams(w, LENGTHS, BUCKETS, first)
-        word = means(self.by_bucket[bucket], bounds)
-        logit = means(word[number], w.ptr) + self.bias if len(first) else np.full(len(w.ptr) - 1, self.bias)
+        bucket, share, bounds = _subwords(w, first)
+        word = tn.sums((self.by_bucket[bucket] * share).astype(np.float64), bounds)
+        doc, own = _bags(w, number, len(first))
+        logit = means(word[own], np.searchsorted(doc, np.arange(len(w.ptr)))) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _subwords(w: tn.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, share in the word's vector, bounds by word): the word itself and its n-grams,
+    one half each."""
+    grams, bounds = word_grams(w, LENGTHS, BUCKETS, which)
+    per = np.diff(bounds)
+    whole = (tn.mix64(w.hashes()[which] ^ _WHOLE) >> np.uint64(20)).astype(np.int64) % BUCKETS
+    bucket = np.insert(grams, bounds[:-1], whole)
+    share = np.insert(np.repeat(0.5 / np.maximum(per, 1), per), bounds[:-1], 0.5)
+    return bucket, share.astype(np.float32), bounds + np.arange(len(bounds))
+
+
+def _bags(w: tn.Words, number: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word) pairs: each text's distinct words."""
+    pair = np.unique(w.doc * max(n_words, 1) + number)
+    return pair // max(n_words, 1), pair % max(n_words, 1)
+
+
 def _groups(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order that sorts by key, starts of the keys present, those keys)."""
     order = np.argsort(key, kind="stable")
@@ -72,35 +99,36 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, prior: float | None = Non
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((prior + 1e-3) / (1 - prior + 1e-3))) if len(labels) else 0.0)
     w = tn.words(strings(texts), lower=True)
     first, number = distinct_words(w)
-    bucket, bounds = word_grams(w, LENGTHS, BUCKETS, first)
-    n_docs, n_words, per = len(texts), len(first), np.diff(bounds)
-    pair, times = np.unique(w.doc * n_words + number, return_counts=True)
-    doc, word = pair // n_words, pair % n_words
-    part = (times / np.maximum(w.counts, 1)[doc]).astype(np.float32)[:, None]
-    gram_word = np.repeat(np.arange(n_words), per)
-    gram_part = (1.0 / np.maximum(per, 1)).astype(np.float32)[gram_word][:, None]
+    bucket, gram_part, bounds = _subwords(w, first)
+    n_docs, n_words = len(texts), len(first)
+    doc, word = _bags(w, number, n_words)
+    part = (1.0 / np.bincount(doc, minlength=n_docs))[doc].astype(np.float32)[:, None]
+    gram_word = np.repeat(np.arange(n_words), np.diff(bounds))
+    known = np.bincount(bucket, np.bincount(word, minlength=n_words)[gram_word], BUCKETS)[bucket] >= LEAST_USES
+    bucket, gram_word, gram_part = bucket[known], gram_word[known], gram_part[known][:, None]
     to_doc, to_word, to_bucket, of_word = _groups(doc, n_docs), _groups(word, n_words), _groups(bucket, BUCKETS), _groups(gram_word, n_words)
     rng = np.random.default_rng(seed)
-    params = {"e": rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), "v": rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
+    params = {"e": rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32), "v": rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     first_moment = {k: np.zeros_like(x) for k, x in params.items()}
     second_moment = {k: np.zeros_like(x) for k, x in params.items()}
     goal = np.eye(2, dtype=np.float32)[labels]
+    balance = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n_docs - labels.sum())).astype(np.float32)[:, None]
     for step in range(1, EPOCHS + 1):
         vec = _gathered(params["e"][bucket] * gram_part, of_word, n_words)
         mean = _gathered(vec[word] * part, to_doc, n_docs) * SCALE
         logit = mean @ params["v"] + params["b"]
         p = np.exp(logit - logit.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        d = (p - goal) / n_docs
+        d = (p - goal) * balance
         back = (d @ params["v"].T) * SCALE
         g_word = _gathered(back[doc] * part, to_word, n_words)
-        grads = {"e": _gathered(g_word[gram_word] * gram_part, to_bucket, BUCKETS) + DECAY * params["e"], "v": mean.T @ d + DECAY * params["v"], "b": d.sum(0)}
+        grads = {"e": _gathered(g_word[gram_word] * gram_part, to_bucket, BUCKETS) + DECAY * params["e"], "v": mean.T @ d, "b": d.sum(0)}
         for k, g in grads.items():
             first_moment[k] = 0.9 * first_moment[k] + 0.1 * g
             second_moment[k] = 0.99 * second_moment[k] + 0.01 * g * g
-            params[k] = params[k] - RATE * (first_moment[k] / (1 - 0.9**step)) / (np.sqrt(second_moment[k] / (1 - 0.99**step)) + 1e-8)
+            params[k] = params[k] - RATE * (first_moment[k] / (1 - 0.9**step)) / (np.sqrt(second_moment[k] / (1 - 0.99**step)) + STEADY)
     line = params["v"][:, 1] - params["v"][:, 0]
-    moved = 0.5 * (np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
+    moved = 0.3 * np.log(prior / (1 - prior))
     return ToxicityModel((params["e"] @ line * SCALE).astype(np.float32), float(params["b"][1] - params["b"][0] + moved))
 
 
