@@ -94,8 +94,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substring(F.coalesce("following", F.lit("")), F.lit(1), F.col("half")))
     row = row.withColumn("edited", edited)
     own = words(F.col("text"))
-    each = row.select("bucket", "place", "ghost", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.size(own).alias("own"), F.posexplode_outer(F.concat(own, words(F.col("edited")))).alias("at", "word"))
     keys = ["bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256"]
+    # All that is computed once for a text stands below the explode.
+    lists = row.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys, F.size(own).alias("own"), F.concat(own, words(F.col("edited"))).alias("both"))
+    each = lists.select(*keys, "own", F.posexplode_outer("both").alias("at", "word"))
     counted = each.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.sum((F.col("at") < F.col("own")).cast("long")).alias("w0"), F.sum((F.col("at") >= F.col("own")).cast("long")).alias("w1"))
     log = lambda w: F.when(F.col(w) > 0, F.ln(F.col(w).cast("double")))
     weighed = counted.select(*keys, "term", log("w0").alias("lw0"), log("w1").alias("lw1"))
