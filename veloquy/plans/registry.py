@@ -1,6 +1,395 @@
-"""All queries of the engine, by name, with the SQL that must give the same rows."""
+"""All queries of the engine over the driver's tables, and SQL that must give the same rows.
+
+Analogues: documents stand for cues (lang for the house, source for the committee), events of
+one user for a meeting's timeline (`signup` rows are its speakers), conversations for turns,
+labels for what has been fetched.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veloquy.functions import text as tx
+from veloquy.functions.query import parse_query
+from veloquy.operators import attribution as at
+from veloquy.operators import catalog, render
+from veloquy.operators import search as se
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- search -----------------------------------------------------------------------------
+
+
+def _bm25_sql(terms: dict[str, int], where: str = "true", phrase: str = "true", k: int | None = 10) -> str:
+    weights = " union all ".join(f"select '{t}' as term, {n} as times" for t, n in terms.items())
+    limit = f" order by score desc, doc_id limit {k}" if k else ""
+    return f"""
+    with d as (select doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as toks from documents where {where}),
+    q as ({weights}),
+    s as (select count(*)::double as n, avg(len(toks)) as avgdl from d),
+    tf as (select d.doc_id, q.term, q.times, len(list_filter(d.toks, lambda x : x = q.term))::double as f, len(d.toks) as dl from d, q where list_contains(d.toks, q.term)),
+    df as (select term, count(*)::double as df from tf group by term),
+    sc as (select tf.doc_id, sum(times * ln((n - df + 0.5::double) / (df + 0.5::double) + 1) * f * 2.5::double / (f + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))) as raw
+           from tf join df using (term), s group by tf.doc_id)
+    select sc.doc_id, round(raw, 4) as score from sc join d using (doc_id) where {phrase}{limit}"""
+
+
+def _hits(docs: DataFrame, text: str, k: int | None = 10) -> DataFrame:
+    found = se.bm25(docs, parse_query(text)).select("doc_id", F.round("score", 4).alias("score"))
+    return found if k is None else se.top(found, k, "doc_id")
+
+
+def _as_cues(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"house": F.col("lang"), "title": F.col("source")})
+
+
+@query(_bm25_sql({"clown": 1, "theration": 1, "moron": 1}))
+def bm25_topk(spark, sf_dir):
+    return _hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "theration clown moron")
+
+
+@query(_bm25_sql({"moron": 1, "trash": 1}, "lang = 'en' and contains(coalesce(source, ''), 'src1')"))
+def bm25_filtered(spark, sf_dir):
+    return _hits(se.filtered(_as_cues(table(spark, sf_dir, "documents")), house="en", committee="src1").select("doc_id", "text"), "moron trash")
+
+
+@query(_bm25_sql({"that": 1, "thing": 1}, phrase="contains(d.text, 'of the')"))
+def bm25_phrase(spark, sf_dir):
+    """The phrase filters what is scored, not what is counted."""
+    return _hits(table(spark, sf_dir, "documents").select("doc_id", "text"), 'that "of the" thing')
+
+
+@query("select doc_id, 0.0::double as score from documents where false")
+def bm25_phrase_only(spark, sf_dir):
+    return _hits(table(spark, sf_dir, "documents").select("doc_id", "text"), '"of the"')
+
+
+@query(_bm25_sql({"idiot": 2, "with": 1}))
+def bm25_repeated_terms(spark, sf_dir):
+    return _hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "idiot with idiot")
+
+
+@query(_bm25_sql({"moron": 1, "de": 1}, k=None))
+def bm25_all_scores(spark, sf_dir):
+    return _hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "moron de", None)
+
+
+@query("select term, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by term")
+def term_df(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.explode(F.array_distinct(tx.regex_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("select count(*) as n, round(avg(len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))), 4) as mean_length from documents")
+def doc_len_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return se.statistics(docs, [], tx.regex_tokens(F.col("text"))).select("n", F.round("mean_length", 4).alias("mean_length"))
+
+
+@query("select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) where term in ('moron', 'clown', 'the') group by doc_id, term")
+def term_frequency(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    terms = docs.select("doc_id", F.explode(tx.regex_tokens(F.col("text"))).alias("term")).filter(F.col("term").isin("moron", "clown", "the"))
+    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+# ---- attribution ------------------------------------------------------------------------
+
+_SPEAKERS = "sp as (select user_id, ts, event_id as speaker from events where event_type = 'signup'), cu as (select user_id, ts, event_id, event_type from events where event_type <> 'signup')"
+
+
+def _timeline(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf_dir, "events")
+    speakers = events.filter("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("speaker"))
+    return events.filter("event_type <> 'signup'").select("user_id", "ts", "event_id", "event_type"), speakers
+
+
+@query(f"""with {_SPEAKERS}, f as (select user_id, arg_min(speaker, ts) as first from sp group by user_id)
+    select cu.event_id, cu.user_id, coalesce(sp.speaker, f.first) as speaker from cu asof left join sp on cu.user_id = sp.user_id and cu.ts >= sp.ts left join f on cu.user_id = f.user_id""")
+def asof_clamped(spark, sf_dir):
+    cues, speakers = _timeline(spark, sf_dir)
+    return at.as_of(cues, speakers, "user_id", "ts", ["speaker"]).select("event_id", "user_id", "speaker")
+
+
+@query(f"""with {_SPEAKERS}, f as (select user_id, arg_min(speaker, ts) as first from sp group by user_id),
+    a as (select coalesce(sp.speaker, f.first) as speaker from cu asof left join sp on cu.user_id = sp.user_id and cu.ts >= sp.ts left join f on cu.user_id = f.user_id)
+    select sp.user_id, sp.speaker, count(a.speaker) as n_cues from sp left join a on sp.speaker = a.speaker group by all""")
+def asof_keep_empty(spark, sf_dir):
+    """Every speaker, also without cues; cues before the first go to the first."""
+    cues, speakers = _timeline(spark, sf_dir)
+    counts = at.as_of(cues, speakers, "user_id", "ts", ["speaker"]).groupBy("speaker").agg(F.count("*").alias("n"))
+    return speakers.select("user_id", "speaker").join(counts, "speaker", "left").select("user_id", "speaker", F.coalesce("n", F.lit(0).cast("long")).alias("n_cues"))
+
+
+@query(f"""with {_SPEAKERS}, a as (select cu.*, sp.speaker from cu asof join sp on cu.user_id = sp.user_id and cu.ts >= sp.ts)
+    select sp.user_id, sp.speaker, count(a.event_id) as n_cues, coalesce(string_agg(a.event_type, ' ' order by a.ts, a.event_id), '') as event_type from sp left join a on sp.speaker = a.speaker group by all""")
+def interval_drop_head(spark, sf_dir):
+    cues, speakers = _timeline(spark, sf_dir)
+    return at.interval_groups(cues, speakers, "user_id", "ts", "speaker", "event_type", "event_id")
+
+
+@query(f"with {_SPEAKERS}, w as (select *, lead(ts) over (partition by user_id order by ts) as nxt from sp) select user_id, speaker, epoch_us(nxt) - epoch_us(ts) as micros from w")
+def next_start_duration(spark, sf_dir):
+    _, speakers = _timeline(spark, sf_dir)
+    return at.with_next(speakers, "user_id", "ts").select("user_id", "speaker", (tx.micros(F.col("next_start")) - tx.micros(F.col("ts"))).alias("micros"))
+
+
+@query(f"""with {_SPEAKERS}, f as (select user_id, min(ts) as first from sp group by user_id)
+    select cu.event_id, greatest(0, epoch_us(cu.ts) - epoch_us(coalesce(sp.ts, f.first))) as micros from cu asof left join sp on cu.user_id = sp.user_id and cu.ts >= sp.ts left join f on cu.user_id = f.user_id where coalesce(sp.ts, f.first) is not null""")
+def relative_time(spark, sf_dir):
+    cues, speakers = _timeline(spark, sf_dir)
+    owned = at.as_of(cues, speakers.withColumn("began", F.col("ts")), "user_id", "ts", ["began"]).filter("began is not null")
+    return owned.select("event_id", F.greatest(F.lit(0).cast("long"), tx.micros(F.col("ts")) - tx.micros(F.col("began"))).alias("micros"))
+
+
+@query("""with c as (select *, case when role is not distinct from lag(role) over (partition by conv_id order by turn) and turn > min(turn) over (partition by conv_id) then 0 else 1 end as fresh from conversations),
+    r as (select *, sum(fresh) over (partition by conv_id order by turn) as run from c)
+    select conv_id, run::bigint as run, role, count(*) as n, string_agg(text, ' ' order by turn) as text from r group by conv_id, run, role""")
+def turn_islands(spark, sf_dir):
+    return at.runs(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role"], "text")
+
+
+@query("select conv_id, string_agg(text, chr(10) order by turn) as text from conversations group by conv_id")
+def ordered_transcript(spark, sf_dir):
+    return at.ordered_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("select conv_id, count(*) as n_turns, list_distinct(list(role order by turn)) is not null as has_roles, count(distinct role) as n_roles from conversations group by conv_id")
+def distinct_speakers(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    first = F.array_distinct(F.transform("r", lambda x: x.role))
+    return rows.select("conv_id", "n_turns", first.isNotNull().alias("has_roles"), F.size(first).cast("long").alias("n_roles"))
+
+
+# ---- windows, sets, joins ---------------------------------------------------------------
+
+
+@query("select min(doc_id) as doc_id, text from documents group by text")
+def first_occurrence_dedup(spark, sf_dir):
+    return catalog.first_of(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "doc_id")
+
+
+@query("select conv_id, turn, (row_number() over (partition by conv_id order by turn) - 1) // 8 as batch from conversations")
+def batch_numbers(spark, sf_dir):
+    return catalog.batches(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query("select conv_id, turn, so_far::bigint as so_far from (select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn) as so_far from conversations) where so_far <= 600")
+def budgeted_prefix(spark, sf_dir):
+    return catalog.within_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 600).select("conv_id", "turn", "so_far")
+
+
+@query("""select n_name, c_custkey, place from (select n_name, c_custkey, row_number() over (partition by n_name order by c_acctbal desc, c_custkey) as place
+    from customer join nation on c_nationkey = n_nationkey where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)) where place <= 3""")
+def topk_per_group(spark, sf_dir):
+    """Three of each group in a fixed order, those already named left out."""
+    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    rest = people.join(named, "c_custkey", "left_anti").select("n_name", "c_custkey", "c_acctbal")
+    return catalog.top_per_group(rest, "n_name", 3, F.desc("c_acctbal"), "c_custkey").select("n_name", "c_custkey", "place")
+
+
+@query("select d.doc_id, l.doc_id is not null as fetched from documents d left join (select distinct doc_id from labels) l using (doc_id)")
+def status_left_join(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    return catalog.with_status(docs, labels, ["doc_id"], F.desc("quality"))
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def only_new_anti(spark, sf_dir):
+    return catalog.only_new(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("select doc_id from documents where doc_id in (select doc_id from labels)")
+def only_fetched_semi(spark, sf_dir):
+    return catalog.only_fetched(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""with u as (select doc_id, 0 as priority from labels where toxic = 1 union all select doc_id, 1 from labels where quality = 1 union all select doc_id, 2 from documents)
+    select doc_id, min(priority)::int as priority from u group by doc_id""")
+def priority_union_dedup(spark, sf_dir):
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    tables = [labels.filter("toxic = 1").select("doc_id"), labels.filter("quality = 1").select("doc_id"), docs.select("doc_id")]
+    return catalog.by_priority(tables, "doc_id").select("doc_id", "priority")
+
+
+@query("(select doc_id, 'added' as change from documents except select doc_id, 'added' from labels) union all (select doc_id, 'removed' from labels except select doc_id, 'removed' from documents)")
+def set_difference_drift(spark, sf_dir):
+    return catalog.drift(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("select distinct x from (select lang as x from documents union all select source from documents)")
+def titles_union(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.explode(F.array_distinct(F.array("lang", "source"))).alias("x")).distinct()
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where strftime(o_orderdate, '%Y-%m-%d') >= '1995-03-07' and strftime(o_orderdate, '%Y-%m-%d') <= '1995-12-31'")
+def date_range_filter(spark, sf_dir):
+    """Dates of two spellings compared as normalised strings."""
+    rows = table(spark, sf_dir, "orders").withColumn("date", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return se.filtered(rows, since="1995年3月7日", until="1995-12-31").select("o_orderkey", F.col("date").alias("day"))
+
+
+@query("""with c as (select unnest(generate_series(date '1995-12-31' - 60, date '1995-12-31', interval 1 day))::date as day), o as (select o_orderdate::date as day, count(*) as n from orders group by 1)
+    select strftime(c.day, '%Y-%m-%d') as day, coalesce(o.n, 0) as n_orders from c left join o on c.day = o.day""")
+def range_calendar(spark, sf_dir):
+    """A range given in reverse and longer than sixty days is turned and cut."""
+    orders = table(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= "1995-11-01") & (F.col("o_orderdate") < "1996-01-01")).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    days = catalog.calendar(spark, "1995-12-31", "1995-01-01")
+    return days.join(orders, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0).cast("long")).alias("n_orders"))
+
+
+@query("select doc_id, case when doc_id * 97 >= 30000 then 'shugiin' else 'sangiin' end as house from documents")
+def id_classify(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.house_of((F.col("doc_id") * 97).cast("string")).alias("house"))
+
+
+@query("""select page_id, case when page_id % 2 = 0 then url || (case when contains(url, '?') then '&' else '?' end) || 'time=' || (page_id * 7)::varchar else url || '#' || (page_id * 7)::varchar end as jump from pages""")
+def jump_url(spark, sf_dir):
+    house = F.when(F.col("page_id") % 2 == 0, tx.LOWER_HOUSE).otherwise(tx.UPPER_HOUSE)
+    return table(spark, sf_dir, "pages").select("page_id", tx.jump_url(house, F.col("url"), F.col("page_id") * 7 + 0.5).alias("jump"))
+
+
+@query("select event_id, lpad((s // 3600)::varchar, 2, '0') || ':' || lpad((s // 60 % 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') as clock from (select event_id, floor(value * 37)::bigint as s from events)")
+def hms_format(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", tx.clock(F.col("value") * 37).alias("clock"))
+
+
+@query("select conv_id, turn, case when length(text) > 140 then left(text, 139) || '…' else text end as text from conversations")
+def ellipsis(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.ellipsis(F.col("text")).alias("text"))
+
+
+@query("select page_id, left(regexp_replace(regexp_replace(url, '[\\s　]+', '_', 'g'), '[\\\\/:*?\"<>|]', '', 'g'), 20) as name from pages")
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.safe_name(F.col("url"), 20).alias("name"))
+
+
+@query("select conv_id, turn, replace(replace(replace(replace(url_encode(left(text, 60)), '+', '%20'), '%2F', '/'), '%7E', '~'), '*', '%2A') as code from conversations")
+def percent_encoded(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.percent_encoded(F.substring("text", 1, 60)).alias("code"))
+
+
+@query("select o_orderkey, date_diff('day', o_orderdate::date, date '1999-01-01') as days from orders")
+def age_in_days(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy/M/d")
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.days_since(day, F.lit("1999-01-01").cast("date")).cast("long").alias("days"))
+
+
+# ---- pages and cleaning -----------------------------------------------------------------
+
+
+@query("""select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title,
+    len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) as n_links,
+    coalesce(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)[1], '') as first_link from pages""")
+def html_title_links(spark, sf_dir):
+    found = tx.links(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.tag_text(F.col("html"), "title").alias("title"), F.size(found).cast("long").alias("n_links"), F.coalesce(F.try_element_at(found, F.lit(1)).href, F.lit("")).alias("first_link"))
+
+
+_PAIRS = {"the": "THE", "theration": "ration", "THE and": "and THE", "moron": "person", "idiot": "person"}
+
+
+def _replace_sql(column: str) -> str:
+    for a, b in sorted(_PAIRS.items(), key=lambda kv: -len(kv[0])):
+        column = f"replace({column}, '{a}', '{b}')"
+    return column
+
+
+@query(f"select doc_id, {_replace_sql('text')} as text, {_replace_sql('text')} <> text as changed from documents")
+def glossary_replace(spark, sf_dir):
+    new = tx.replaced(F.col("text"), _PAIRS)
+    return table(spark, sf_dir, "documents").select("doc_id", new.alias("text"), (new != F.col("text")).alias("changed"))
+
+
+@query("select doc_id, round(len(list_distinct(string_split(text, '')))::double / length(text), 6) as ratio, coalesce(length(text) > 200 and len(list_distinct(string_split(text, '')))::double / length(text) < 0.05, false) as is_loop from documents where length(text) > 0")
+def unique_char_ratio(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
+    return docs.select("doc_id", F.round(tx.unique_ratio(F.col("text")), 6).alias("ratio"), tx.is_loop(F.col("text")).alias("is_loop"))
+
+
+@query()
+def inline_loop(spark, sf_dir):
+    clean = tx.without_loops(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", clean.alias("text"), (clean != F.col("text")).alias("changed"))
+
+
+@query()
+def hallucination_repeat(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_invented(F.col("text")).alias("invented"))
+
+
+@query()
+def sentence_merge(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    cues = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda c: F.struct(c.turn.cast("double").alias("start"), (c.turn + 1).cast("double").alias("end"), c.text.alias("text")))
+    merged = turns.groupBy("conv_id").agg(cues.alias("cues")).select("conv_id", at.merged_sentences(F.col("cues")).alias("s"))
+    return merged.select("conv_id", F.posexplode("s").alias("place", "s")).select("conv_id", "place", "s.*")
+
+
+@query()
+def rolling_captions(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    cues = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda c: F.struct(c.turn.cast("double").alias("start"), (c.turn + 1).cast("double").alias("end"), c.text.alias("text")))
+    kept = turns.groupBy("conv_id").agg(cues.alias("cues")).select("conv_id", at.without_rolling(F.col("cues")).alias("s"))
+    return kept.select("conv_id", F.posexplode("s").alias("place", "s")).select("conv_id", "place", "s.*")
+
+
+@query("""with p as (select doc_id, 'label ' || quality || toxic as new_text, quality * 2 + toxic as ord from labels), l as (select doc_id, arg_max(new_text, ord) as new_text from p group by doc_id)
+    select d.doc_id, coalesce(l.new_text, d.text) as text, coalesce(l.new_text <> d.text, false) as changed from documents d left join l using (doc_id)""")
+def patch_apply(spark, sf_dir):
+    patches = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("new_text"), (F.col("quality") * 2 + F.col("toxic")).alias("ord"))
+    return catalog.patched(table(spark, sf_dir, "documents").select("doc_id", "text"), patches, "doc_id", "text", "ord").select("doc_id", "text", "changed")
+
+
+_ROLE_PARTS = (("chair", ("system",)), ("minister", ("assist",)))
+
+
+@query("select conv_id, turn, case when role = 'user' then 'questioner' when contains(role, 'system') then 'chair' when contains(role, 'assist') then 'minister' else 'other' end as klass from conversations")
+def role_classify(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.role_class(F.col("role"), _ROLE_PARTS, "user").alias("klass"))
+
+
+@query("""select role, count(*) as n, count(distinct conv_id) as n_meetings, sum((length(text) > 200)::int)::bigint as n_long, sum(length(text))::bigint as n_chars from conversations group by role""")
+def class_report(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return turns.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_meetings"), F.sum((F.length("text") > 200).cast("long")).alias("n_long"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+@query("select max(doc_id) as last_id, arg_max(source, doc_id) as last_source, arg_min(source, doc_id) as first_source from documents where text is not null")
+def id_anchors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.agg(F.max("doc_id").alias("last_id"), F.max_by("source", "doc_id").alias("last_source"), F.min_by("source", "doc_id").alias("first_source"))
+
+
+@query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as date, case when lag(strftime(o_orderdate, '%Y-%m-%d')) over (order by strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority, o_orderkey::varchar) is distinct from strftime(o_orderdate, '%Y-%m-%d') then true else false end as new_date
+    from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1995-02-01'""")
+def listing_dates(spark, sf_dir):
+    month = table(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= "1995-01-01") & (F.col("o_orderdate") < "1995-02-01"))
+    items = month.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("house"), F.col("o_orderkey").cast("string").alias("id"))
+    return render.listing_lines(items).select("o_orderkey", "date", "new_date")
+
+
+@query("select '{\"doc_id\":' || doc_id || ',\"quality\":' || coalesce(quality::varchar, 'null') || '}' as value from documents left join labels using (doc_id)")
+def json_lines(spark, sf_dir):
+    return render.json_lines(table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left"))
