@@ -145,8 +145,11 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, prior: float | None = Non
     second_moment = {k: np.zeros_like(x) for k, x in params.items()}
     goal = np.eye(2, dtype=np.float32)[labels]
     balance = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n_docs - labels.sum())).astype(np.float32)[:, None]
+    grams_only = gram_part * (bucket < BUCKETS)[:, None]
     for step in range(1, EPOCHS + 1):
-        vec = _gathered(params["e"][bucket] * gram_part, of_word, n_words)
+        # Every other step does without the words' own vectors, as unseen spellings must.
+        held = gram_part if step % 2 else grams_only
+        vec = _gathered(params["e"][bucket] * held, of_word, n_words)
         mean = _gathered(vec[word] * part, to_doc, n_docs) * SCALE
         logit = mean @ params["v"] + params["b"]
         p = np.exp(logit - logit.max(1, keepdims=True))
@@ -154,7 +157,7 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, prior: float | None = Non
         d = (p - goal) * balance
         back = (d @ params["v"].T) * SCALE
         g_word = _gathered(back[doc] * part, to_word, n_words)
-        grads = {"e": _gathered(g_word[gram_word] * gram_part, to_bucket, n_rows) + DECAY * params["e"], "v": mean.T @ d, "b": d.sum(0)}
+        grads = {"e": _gathered(g_word[gram_word] * held, to_bucket, n_rows) + DECAY * params["e"], "v": mean.T @ d, "b": d.sum(0)}
         for k, g in grads.items():
             first_moment[k] = 0.9 * first_moment[k] + 0.1 * g
             second_moment[k] = 0.99 * second_moment[k] + 0.01 * g * g
