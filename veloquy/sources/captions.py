@@ -9,17 +9,16 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veloquy.functions.text import LOWER_HOUSE, UPPER_HOUSE
 from veloquy.operators.attribution import speaker_at, without_rolling
 
 SPEAKERS = "array<struct<start: double, name: string, group: string>>"
-META = T.StructType.fromDDL(
+META = (
     f"house string, id string, date string, title string, page_url string, speakers {SPEAKERS}, files struct<vtt: string, text: string, html: string, transcript: string>, "
     "pipeline struct<phase: string, live: boolean>, generated_at string, agenda array<string>"
 )
-TRANSCRIPT = T.StructType.fromDDL("deli_id string, title string, date string, hint string, cues array<struct<start: double, end: double, text: string>>")
+TRANSCRIPT = "deli_id string, title string, date string, hint string, cues array<struct<start: double, end: double, text: string>>"
 CUE = "array<struct<start: double, end: double, text: string>>"
 # First words of caption blocks that hold no cue.
 NO_CUE = ("WEBVTT", "NOTE", "STYLE", "REGION", "X-TIMESTAMP-MAP")
