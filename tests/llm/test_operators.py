@@ -1,0 +1,387 @@
+"""Each operator against a brute-force version, a round trip or held-out accuracy."""
+
+import collections
+import datetime
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+
+from veloquy.llm import brown_lm, fingerprints, language_id, mixing, pieces, pii, quality_classifier, quality_rules, registry, toxicity
+from veloquy.llm import textnum as tn
+
+SMALL = "/root/testdata/sf0.001"
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = ["", " ", "\n\n", "a", "é ü 日本 😀", "x " * 300, "one\ntwo\none\n \ntwo", "\t tab\x0bvt " + "w" * 5000, "1234 #*$%&|<> 5", None]
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+# ---- views of text ----------------------------------------------------------------------
+
+
+def test_words_are_those_of_the_pattern():
+    w = tn.words(pa.array(ODD))
+    for i, text in enumerate(ODD):
+        got = [w.text(k).decode() for k in range(w.ptr[i], w.ptr[i + 1])]
+        assert got == WORD.findall(text or "")
+    same = collections.defaultdict(set)
+    for k, h in enumerate(w.hashes()):
+        same[w.text(k)].add(int(h))
+    assert all(len(v) == 1 for v in same.values()) and len({min(v) for v in same.values()}) == len(same)
+
+
+# ---- 7: quality rules -------------------------------------------------------------------
+
+
+def brute_rules(text):
+    text = text or ""
+    w = WORD.findall(text)
+    chars = sum(map(len, w))
+
+    def covered(n):
+        seen = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        hit = set()
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                hit.update(range(i, i + n))
+        return hit
+
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    out = {"n_words": len(w), "word_chars": chars, "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": len(again), "n_repeat_words": len(covered(5)), "n_lines": len(lines)}
+    out |= {"dup_line_chars": sum(map(len, again)), "line_chars": sum(map(len, lines))}
+    return out | {f"dup_chars_{n}": sum(len(w[i]) for i in covered(n)) for n in quality_rules.COVERAGE_LIMITS}
+
+
+def test_quality_measures(docs):
+    texts = ODD + [r.text for r in docs.select("text").collect()]
+    got = quality_rules.measure(pa.array(texts))
+    for i, text in enumerate(texts):
+        want = brute_rules(text)
+        assert {k: int(got[k][i]) for k in want} == want
+
+
+def test_quality_rules_on_odd_tables(spark):
+    df = frame(spark, [(i, t, "c") for i, t in enumerate(ODD * 2)], "doc_id long, text string, measures_ string")
+    rows = quality_rules.quality_rules(df).collect()
+    assert len(rows) == 2 * len(ODD) and not any(r.kept for r in rows if r.measures.n_words < 10)
+    assert quality_rules.quality_rules(df.limit(0)).count() == 0
+
+
+# ---- 1: language ------------------------------------------------------------------------
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    sizes = [0, 1, 3, 6, 5]
+    ptr = np.cumsum([0, *sizes])
+    scores = rng.normal(0, 3, (ptr[-1], 3))
+    got = language_id.viterbi(scores, ptr, 2.0)
+    for a, b in itertools.pairwise(ptr):
+        value = lambda path: sum(scores[a + t, k] for t, k in enumerate(path)) - 2.0 * sum(x != y for x, y in itertools.pairwise(path))  # noqa: B023, E731
+        best = max((value(p) for p in itertools.product(range(3), repeat=b - a)), default=0)
+        assert math.isclose(value(got[a:b]), best)
+
+
+def test_language_held_out_mixed_and_odd(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").toPandas()
+    part = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3)
+    model = language_id.fit_language(rows.text[part != 1].tolist(), rows.lang[part != 1].tolist())
+    pred, score, _ = language_id.identify(pa.array(rows.text[part == 1]), model)
+    assert np.mean([model.languages[k] == v for k, v in zip(pred, rows.lang[part == 1], strict=True)]) > 0.97
+    assert ((score >= 0) & (score <= 1)).all()
+    one = {k: " ".join(rows.text[rows.lang == k].iloc[0].split()[:40]) for k in ("en", "de")}
+    mixed = one["en"] + " " + one["de"]
+    df = frame(spark, [(1, mixed), *((i + 2, t) for i, t in enumerate([None, "", "12 34 !", "слово", "x"]))], "doc_id long, text string")
+    got = {r.doc_id: r.language for r in language_id.with_language(df, model).collect()}
+    assert [s.lang for s in got[1].spans] == ["en", "de"] and abs(got[1].spans[1].first_word - 40) <= 2
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].spans == [] for i in (2, 3, 4))
+    assert got[5].lang_pred in model.languages
+    assert language_id.with_language(df.limit(0), model).count() == 0
+    assert language_id.identify(pa.array(["a b"]), language_id.fit_language([], []))[0].tolist() == [-1]
+
+
+# ---- 2: language model ------------------------------------------------------------------
+
+
+def test_exchange_keeps_its_sums_and_raises_likelihood():
+    rng = np.random.default_rng(1)
+    group = np.arange(40) % 4
+    pairs = rng.poisson(np.where((group[:, None] + 1) % 4 == group[None, :], 20.0, 0.3))
+    cls = brown_lm.exchange(pairs.astype(float), classes=4)
+    grid = lambda c: np.eye(4)[c].T @ pairs @ np.eye(4)[c]
+    assert brown_lm.likelihood(grid(cls)) >= brown_lm.likelihood(grid(group)) - 1e-6
+    for k, b in itertools.product(range(0, 40, 7), range(4)):  # no single move is better
+        moved = cls.copy()
+        moved[k] = b
+        assert brown_lm.likelihood(grid(moved)) <= brown_lm.likelihood(grid(cls)) + 1e-6
+
+
+def test_brown_scores_against_counts(spark, docs):
+    got = {r.doc_id: r for r in brown_lm.brown_scores(docs, registry.crc_mod("doc_id", 7) == 2, block_rows=60).collect()}
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    toks = {r.doc_id: [*WORD.findall((r.text or "").translate(lower)), None] for r in docs.select("doc_id", "text").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
+    c = collections.Counter(t for i in toks if not held[i] for t in toks[i])
+    n, v = sum(c.values()), len(c)
+    assert got.keys() == toks.keys()
+    for i, t in toks.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[x] > 0 for x in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel_tol=1e-9)
+    assert sum(r.score for i, r in got.items() if held[i]) > sum(r.base_score for i, r in got.items() if held[i])
+
+
+def test_brown_model_sums_to_one():
+    rng = np.random.default_rng(2)
+    items = brown_lm.Items(np.arange(1, 11, dtype=np.uint64))
+    pairs = rng.poisson(3, (len(items), len(items))).astype(float)
+    by_shape = np.array([[50.0] * brown_lm.SHAPES, [20.0] * brown_lm.SHAPES, [8.0] * brown_lm.SHAPES, [3.0] * brown_lm.SHAPES])
+    m = brown_lm.fit_brown(pairs, items, by_shape, 1000, 300)
+    assert np.allclose((10**m.follow).sum(1), 1) and np.allclose(np.bincount(m.cls, 10**m.emit)[np.unique(m.cls)], 1)
+    assert np.allclose((50 - 20 * m.discount) / 50 + 10**m.unseen, 1)
+
+
+def test_brown_on_odd_tables(spark):
+    df = frame(spark, [(1, None), (2, ""), (3, "A a b"), (3, "A a b"), (None, "b")], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    rows = brown_lm.brown_scores(df, F.lit(False)).collect()
+    assert sorted(r.n_tokens for r in rows) == [1, 1, 2, 4, 4]
+    assert {r.base_score for r in brown_lm.brown_scores(df, F.lit(True)).collect()} == {0.0}
+    assert brown_lm.brown_scores(df.limit(0), F.lit(False)).count() == 0
+
+
+# ---- 3: mixing --------------------------------------------------------------------------
+
+
+def brute_targets(sizes, weights, epochs=3):
+    total, target, free = sum(sizes.values()), {}, set(sizes)
+    while free:
+        left = total - sum(target.values())
+        share = {s: left * weights[s] / sum(weights[k] for k in free) for s in free}
+        over = {s for s in free if share[s] > epochs * sizes[s]}
+        if not over:
+            return target | share
+        target |= {s: epochs * sizes[s] for s in over}
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_against_rounds(spark, seed):
+    rnd = random.Random(seed)
+    sizes = {f"s{i:02d}": int(rnd.expovariate(1) ** 3 * 1000) + 1 for i in range(17)}
+    weights = {s: float(i % 3 + 1) for i, s in enumerate(sorted(sizes))}
+    df = frame(spark, list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(mixing.cyclic_weights(df)).collect()}
+    want = brute_targets(sizes, weights)
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in sizes)
+
+
+def test_mix_meets_targets(spark):
+    rows = registry.op3_source_mixing(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source"), "doc_id").toPandas()
+    assert (rows["size"] == rows.text.map(lambda t: len(WORD.findall(t)))).all() and (rows.taken <= 3 * rows["size"]).all()
+    by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= 0.06 * by.target).all()
+    again = registry.op3_source_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    assert dict(zip(rows.doc_id, rows.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
+
+
+def test_mix_on_odd_tables(spark):
+    df = frame(spark, [(1, None, "a"), (2, "", None), (3, "x y", None), (4, "x", "b"), (4, "x", "b"), (None, "z z z", "b")], "doc_id long, text string, source string")
+    rows = mixing.mixed(df).collect()
+    assert len(rows) == 6 and all(0 <= r.mix.repeats <= 3 for r in rows)
+    assert mixing.repeated(mixing.mixed(df)).columns == df.columns
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
+# ---- 4: fingerprints --------------------------------------------------------------------
+
+
+def test_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = frame(spark, [(10**6 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(odd)
+    got = {r.doc_id: r for r in fingerprints.fingerprints(rows).collect()}
+    order = sorted(((r.doc_id, r.text or "") for r in rows.collect()), reverse=True)
+    count = lambda t: collections.Counter(WORD.findall(t))
+
+    def jaccard(a, b):
+        a, b = count(a), count(b)
+        return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+
+    errors, by_text = [], {}
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
+        errors += [r.near_edited - jaccard(text, edited), r.near_next - jaccard(text, following)]
+    assert len(got) == len(order) and abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.07
+    one = fingerprints.fingerprints(frame(spark, [(5, "a b")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0].near_next == 1
+    twice = frame(spark, [(None, "a"), (None, "a"), (3, None), (3, "b")], "doc_id long, text string")
+    assert fingerprints.fingerprints(twice).count() == 4
+    assert fingerprints.fingerprints(twice.filter(F.lit(False))).count() == 0
+
+
+# ---- 5: pseudonyms ----------------------------------------------------------------------
+
+KEY = "k"
+
+
+def brute_round(tweak, i, x, mod):
+    return int(hashlib.sha256(f"{KEY}|{tweak}|{i}|{x}".encode()).hexdigest()[:15], 16) % mod
+
+
+def brute_feistel(tweak, left, right, a, b):
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            left = (left + brute_round(tweak, i, right, a)) % a
+        else:
+            right = (right + brute_round(tweak, i, left, b)) % b
+    return left, right
+
+
+def brute_digits(kind, s):
+    u = len(s) // 2
+    x, y = brute_feistel(f"{kind}{len(s)}", int(s[:u]), int(s[u:]), 10**u, 10 ** (len(s) - u))
+    return f"{x:0{u}d}{y:0{len(s) - u}d}"
+
+
+def luhn(s):
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(s)))) % 10
+
+
+def test_pseudonyms(spark):
+    texts = [
+        "card 4929348385146306, bad 9807915762804490; 4929 3483 8514 6306.", "tel +1 (017) 555-7713 and ssn 123-45-6789, not 000-12-3456",
+        "ip 97.51.17.173 not 999.1.1.1 nor 1.2.3.4.5", "born 1985-02-28, 28.02.1985, 30/02/1985, 28/02/1985 or 1785-02-28", "mail Ab.c9@mail7.example.com!", "hex a1234567890123456f", "plain", "", None,
+    ]
+    df = frame(spark, [(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, pii_ string")
+    rows = {r.doc_id: r for r in pii.pseudonymised(df, KEY).collect()}
+    new = {i: {p.old: p.new for p in r.pii or []} for i, r in rows.items()}
+    body = brute_digits("card", "492934838514630")
+    card = body + str(-luhn(body + "0") % 10)
+    assert luhn(card) == 0 and new[0] == {"4929348385146306": card, "4929 3483 8514 6306": " ".join(card[k : k + 4] for k in range(0, 16, 4))}
+    assert "bad 9807915762804490;" in rows[0].text and card in rows[0].text
+    d = brute_digits("phone", "0175557713")
+    assert new[1]["+1 (017) 555-7713"] == f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}" and set(new[1]) == {"+1 (017) 555-7713", "123-45-6789"}
+    x, y = brute_feistel("ip", 97 * 256 + 51, 17 * 256 + 173, 65536, 65536)
+    assert new[2] == {"97.51.17.173": f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"}
+    at = (datetime.date(1985, 2, 28) - datetime.date(1900, 1, 1)).days
+    x, y = brute_feistel("date", at // 4297, at % 4297, 17, 4297)
+    day = datetime.date(1900, 1, 1) + datetime.timedelta(days=x * 4297 + y)
+    assert new[3] == {"1985-02-28": day.isoformat(), "28.02.1985": f"{day:%d.%m.%Y}", "28/02/1985": f"{day:%d/%m/%Y}"}
+    (old, mail), = new[4].items()
+    assert mail != old and re.fullmatch(r"[A-Z][a-z]\.[a-z][0-9]@mail7\.example\.com", mail) and rows[4].text == f"mail {mail}!"
+    assert all(rows[i].text == texts[i] for i in (5, 6, 7, 8)) and rows[8].pii is None and rows[6].pii == []
+    assert pii.pseudonymised(df.limit(0), KEY).count() == 0
+
+
+def test_feistel_is_a_bijection(spark):
+    from pyspark.sql import functions as F
+
+    n = spark.range(17 * 90).select(pii.feistel(KEY, F.lit("t"), F.floor(F.col("id") / 90), F.col("id") % 90, F.lit(17), F.lit(90)).alias("x")).distinct()
+    assert n.count() == 17 * 90
+
+
+# ---- 6: pieces --------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def piece_model():
+    with open(MODEL, "rb") as f:
+        return f.read()
+
+
+def test_pieces_best_path_and_round_trip(piece_model, docs):
+    m = pieces.parse_model(piece_model)
+    score = {m.flat[m.bounds[i] : m.bounds[i + 1]].tobytes().decode(): s for i, s in zip(m.ids, m.scores, strict=True)}
+    value = dict(zip(m.ids.tolist(), m.scores, strict=True))
+    texts = [*ODD, "▁ mark ▁▁", *(r.text for r in docs.select("text").limit(60).collect())]
+    ids, bounds = pieces.encode(m, pa.array(texts))
+    data, offsets = pieces.decode(m, ids, bounds)
+    for i, text in enumerate(texts):
+        assert data[offsets[i] : offsets[i + 1]].tobytes().decode() == (text or "")
+        if text and len(text) < 1500 and "▁" not in text:
+            line, best = " " + text, [0.0]
+            for end in range(1, len(line) + 1):
+                parts = [best[a] + score[line[a:end]] for a in range(max(0, end - m.longest), end) if line[a:end] in score]
+                best.append(max(parts + ([best[-1] + m.missing] if line[end - 1] not in score else [])))
+            whole = [k for k in ids[bounds[i] : bounds[i + 1]] if k not in m.byte_ids]
+            lone = sum(c not in score for c in line)
+            assert math.isclose(sum(value[k] for k in whole) + lone * m.missing, best[-1], rel_tol=1e-9)
+
+
+def test_pieces_in_spark(spark, piece_model):
+    df = frame(spark, [(i, t, "d") for i, t in enumerate(ODD)], "doc_id long, text string, decoded_ string")
+    rows = pieces.with_decoded(pieces.with_pieces(df, piece_model), piece_model).collect()
+    assert [r.decoded for r in sorted(rows, key=lambda r: r.doc_id)] == ODD
+    assert [r.pieces is None for r in sorted(rows, key=lambda r: r.doc_id)] == [t is None for t in ODD]
+    assert pieces.with_pieces(df.limit(0), piece_model).count() == 0
+
+
+# ---- 8, 9: classifiers ------------------------------------------------------------------
+
+
+def table(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    return docs.join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id").orderBy("doc_id").toPandas()
+
+
+def test_toxicity_finds_misspelt_words():
+    rnd = random.Random(4)
+    plain = ["".join(rnd.choices(["la", "me", "ro", "ti", "sun", "ker"], k=3)) for _ in range(400)]
+    bad = ["grumblefox", "snarkwort", "blightface"]
+    text = lambda toxic: " ".join(rnd.choices(plain, k=40) + (rnd.choices(bad, k=2) if toxic else []))
+    labels = [i % 4 == 0 for i in range(600)]
+    model = toxicity.fit_toxicity([text(y) for y in labels], np.array(labels), 0.25)
+    spelt = lambda w: w[:4] + w[5:]
+    test = [" ".join([*rnd.choices(plain, k=40), spelt(rnd.choice(bad)), spelt(rnd.choice(bad))]) for _ in range(40)] + [text(False) for _ in range(40)]
+    score = model.score(pa.array(test))
+    assert (score[:40] >= 0.5).mean() > 0.9 and (score[40:] < 0.5).mean() > 0.9
+    assert np.isfinite(model.score(pa.array(ODD))).all()
+    assert toxicity.fit_toxicity([], np.array([])).score(pa.array(["a"])).tolist() == [0.5]
+
+
+def test_quality_held_out(spark):
+    rows = table(spark, "sf0.01")
+    test = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    model = quality_classifier.fit_quality(rows.text[~test].tolist(), rows.quality[~test].to_numpy())
+    score = model.score(pa.array(rows.text[test]))
+    assert ((score >= 0.7) == (rows.quality[test] == 1)).mean() > 0.93
+    assert np.isfinite(model.score(pa.array(ODD))).all()
+    assert quality_classifier.fit_quality([], np.array([])).score(pa.array(["a"])).tolist() == [0.5]
+
+
+def test_classifier_queries_cover_all_rows(spark, docs):
+    for q in (registry.op8_toxicity, registry.op9_pairwise_quality, registry.op1_language_id):
+        rows = q(spark, SMALL).toPandas()
+        assert sorted(rows.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect()) and rows.score.between(0, 1).all()
+
+
+def test_scores_on_odd_tables(spark):
+    df = frame(spark, [(i, t, 1.0) for i, t in enumerate(ODD)], "doc_id long, text string, bias double")
+    model = toxicity.fit_toxicity(["a b", "c d"] * 5, np.array([0, 1] * 5))
+    assert toxicity.with_score(df, model).count() == len(ODD) and toxicity.with_score(df.limit(0), model).count() == 0

@@ -13,6 +13,7 @@ from .labelled import label_share, labelled_sample
 from .language_id import fit_language, with_language
 from .mixing import mixed
 from .near_dup import near_duplicates
+from .oracles import ORACLES as ORACLES
 from .pieces import with_decoded, with_pieces
 from .pii import pseudonymised
 from .quality_classifier import THRESHOLD, fit_quality
@@ -20,7 +21,6 @@ from .quality_rules import COVERAGE_LIMITS, quality_rules
 from .toxicity import fit_toxicity, with_score
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f):
