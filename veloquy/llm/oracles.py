@@ -38,8 +38,8 @@ NEAR_DUPLICATES = f"""
     g as (select doc_id, word || ' ' || lead(word, 1) over p || ' ' || lead(word, 2) over p || ' ' || lead(word, 3) over p || ' ' || lead(word, 4) over p as s from tok window p as (partition by doc_id order by i)),
     sh as (select distinct doc_id, s from g where s is not null union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4),
     n as (select doc_id, count(*) as n from sh group by doc_id),
-    both as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
-    link as (select a, b from both join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+    pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+    link as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
     edge as (select a, b from link union all select b, a from link),
     reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b from reach r join edge e on r.b = e.a)
     select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
