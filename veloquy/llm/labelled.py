@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most rows of one label that a model is fitted on, and most characters of all of them.
-ROWS_A_LABEL = 3000
-SAMPLE_CHARS = 24_000_000
+ROWS_A_LABEL = 2000
+SAMPLE_CHARS = 8_000_000
 
 
 def labelled_sample(rows: DataFrame, id_col: str, text_col: str, label_col: str, rows_a_label: int = ROWS_A_LABEL, most_chars: int = SAMPLE_CHARS) -> pd.DataFrame:
@@ -27,7 +27,7 @@ def labelled_sample(rows: DataFrame, id_col: str, text_col: str, label_col: str,
     wanted = F.lit(False)
     for r in size:
         wanted = wanted | ((F.col("label") == F.lit(r.label)) & (draw < F.lit(shrink * rows_a_label / r.n)))
-    found = rows.filter(wanted).select("id", "text", "label").toPandas()
+    found = rows.filter(wanted).select("id", "text", "label").toArrow().to_pandas()
     return found.sort_values(["label", "id", "text"], ignore_index=True)[["text", "label"]]
 
 

@@ -101,13 +101,15 @@ def fit_language(texts: list[str], labels: list[str]) -> LanguageModel:
     uses = np.zeros((len(_NAMES), len(languages)))
     labels = np.array(labels, dtype=object)
     for k, lang in enumerate(languages):
-        w = tn.words(strings(np.array(texts, dtype=object)[labels == lang]), lower=False)
-        letters, script = letters_and_scripts(w)
-        first, number = distinct_words(w)
-        times = np.bincount(number, minlength=len(first)) * (letters[first] > 0)
-        bucket, bounds = word_grams(w, LENGTHS, BUCKETS, first)
-        counts[:, k] = np.bincount(bucket, np.repeat(times, np.diff(bounds)), BUCKETS)
-        uses[:, k] = np.bincount(script[script >= 0], minlength=len(_NAMES))
+        own = np.array(texts, dtype=object)[labels == lang]
+        for i in range(0, len(own), 200):
+            w = tn.words(strings(own[i : i + 200]))
+            letters, script = letters_and_scripts(w)
+            first, number = distinct_words(w)
+            times = np.bincount(number, minlength=len(first)) * (letters[first] > 0)
+            bucket, bounds = word_grams(w, LENGTHS, BUCKETS, first)
+            counts[:, k] += np.bincount(bucket, np.repeat(times, np.diff(bounds)), BUCKETS)
+            uses[:, k] += np.bincount(script[script >= 0], minlength=len(_NAMES))
     share = uses / np.maximum(uses.sum(0, keepdims=True), 1)
     by_script = share >= 0.002
     by_script[~by_script.any(1)] = True
@@ -155,13 +157,16 @@ def identify(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndar
     """(language number or -1, score, spans as (bounds by text, language, first word, words))."""
     w = tn.words(texts)
     n, k = len(w.ptr) - 1, len(model.languages)
+    if not k:
+        none = np.zeros(0, np.int64)
+        return np.full(n, -1), np.zeros(n), (np.zeros(n + 1, np.int64), none, none, none)
     scores, letters = model.word_scores(w)
     label = viterbi(scores, w.ptr)
     doc = w.doc
-    weight = np.bincount(doc * k + label, letters, n * k).reshape(n, k) if k else np.zeros((n, 1))
+    weight = np.bincount(doc * k + label, letters, n * k).reshape(n, k)
     total = weight.sum(1)
     pred = np.where(total > 0, weight.argmax(1), -1)
-    whole = np.stack([tn.sums(scores[:, i], w.ptr) for i in range(k)], 1) if k else np.zeros((n, 1))
+    whole = np.stack([tn.sums(scores[:, i], w.ptr) for i in range(k)], 1)
     whole -= whole.max(1, keepdims=True)
     odds = np.exp(whole)
     rows = np.arange(n)
