@@ -5,18 +5,17 @@ sequence as one; none: empty). 384 minima of strongly universal hashes (a * x +
 upper half) make 64 bands of 6; two sets of similarity 0.75 miss all bands with probability
 4e-6. Texts with equal sets form one class; only class representatives go on:
 
-1. Star: in every bucket each member is compared with the one that shares most buckets with
+1. Stars: in every bucket each member is compared with the one that shares most buckets with
    others (the original among its copies, as a rule).
 2. Components of the confirmed links by alternating large-star and small-star.
 3. Rest: members of one bucket that are still in different components. Those whose shingles
-   are shared with too few other texts to reach the similarity with anything in the bucket are
-   done (an exact bound); the others are compared in pairs. Where that would still be more than
-   PAIRS_PER_MEMBER pairs for each member, the bucket is dealt again by every other band, so two
-   texts meet there if they agree on twelve minima; nothing is capped or dropped.
+   occur too rarely in texts of other components to reach the similarity with anything in the
+   bucket are done (an exact bound); the others are compared in pairs, each pair in the first
+   bucket that it shares. Nothing is capped or dropped.
 4. Components over all links.
 
-Candidates are first held against 128 bytes of their signatures (estimate below 0.5: more than
-six standard deviations under 0.75), then against the full sets.
+Pairs are first held against their signatures (four bits of each minimum; a pair of similarity
+0.75 has 258 agreeing minima with probability 1 - 1e-5), then against the full sets.
 
 Defined results: null or empty texts and texts without words have an empty set and are linked
 with nothing. A row with a null id takes part in nothing: its component is null and it is kept.
@@ -27,10 +26,11 @@ than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
@@ -39,9 +39,8 @@ from .components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 64, 6
-SKETCH = 128
-LEAST_ESTIMATE = 0.5
-PAIRS_PER_MEMBER = 32
+#: Bits kept of each minimum, and how many minima must agree in all of them.
+PLANES, LEAST_AGREEING = 4, 258
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
@@ -79,7 +78,7 @@ def minima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest1, digest2, bands, sketch) of every row."""
+    """(doc_id, n_shingles, digest1, digest2, bands, planes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,28 +100,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held = np.zeros(len(size) + 1, np.int32)
                 held[1:] = np.cumsum(size > 0) * BANDS
                 bands = pa.ListArray.from_arrays(pa.array(held), pa.array(keys.reshape(-1).view(np.int64)))
-                sketch = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(held // BANDS * SKETCH), pa.py_buffer(least[:, :SKETCH].astype(np.uint8).tobytes())])
+                bits = [np.packbits((least >> np.uint32(p)) & np.uint32(1) == 1, axis=1, bitorder="little").view(np.int64) for p in range(PLANES)]
+                packed = np.concatenate(bits, axis=1) if len(full) else np.zeros((0, PLANES), np.int64)
+                planes = pa.ListArray.from_arrays(pa.array(held // BANDS * packed.shape[1]), pa.array(packed.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), bands, sketch],
-                    names=["doc_id", "n_shingles", "digest1", "digest2", "bands", "sketch"],
+                    [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), bands, planes],
+                    names=["doc_id", "n_shingles", "digest1", "digest2", "bands", "planes"],
                 )
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long, bands array<long>, sketch binary")
+    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long, bands array<long>, planes array<long>")
 
 
-def _likely(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sketch_a, sketch_b) whose signatures agree in enough places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                x, y = (tn.raw(part.column(c).cast(pa.large_binary()).view(pa.large_string()))[0].reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-                keep = pa.array((x == y).mean(1) >= LEAST_ESTIMATE)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(keep)
-
-    return pairs.mapInArrow(run, "a long, b long")
+def _agree(a: str, b: str) -> Column:
+    """At least LEAST_AGREEING of the minima of two `planes` columns agree in PLANES bits."""
+    words = BANDS * ROWS // 64
+    differ = [reduce(lambda x, y: x.bitwiseOR(y), [F.col(a)[p * words + i].bitwiseXOR(F.col(b)[p * words + i]) for p in range(PLANES)]) for i in range(words)]
+    return reduce(lambda x, y: x + y, [F.bit_count(d) for d in differ]) <= BANDS * ROWS - LEAST_AGREEING
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -136,44 +130,47 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items array<long>")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with similarity of at least `percent` / 100 on full sets."""
-    about = reps.select("doc_id", "n_shingles", "sketch")
-    one = pairs.join(about.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-    two = one.join(about.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-    two = two.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = _likely(two.select("a", "b", "sketch_a", "sketch_b"))
-    full = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with similarity of at least `percent` / 100: sizes and signatures that allow
+    it, then full sets."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("planes").alias(f"planes_{x}"), F.col("items").alias(f"items_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    n_a, n_b = F.size("items_a"), F.size("items_b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
-    return full.select("a", "b", shared.alias("both"), (F.size("items_a") + F.size("items_b") - shared).alias("any")).filter(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
+    fits = (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & _agree("planes_a", "planes_b")
+    return both.filter(fits & (100 * shared >= percent * (n_a + n_b - shared))).select("a", "b")
 
 
 def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Entries of `placed` that can have a link in their bucket, with `common`: how many of the
-    set's shingles occur in any other set of `placed`. Two sets share at most the smaller
-    `common`, so a link needs (100 + percent) * common >= percent * (both sizes), and an entry
-    whose common shingles don't suffice even with the least set of its bucket has none."""
-    items = sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    alone = often.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    known = placed.join(alone, "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    """Entries of `placed` that can have a link to another component in their bucket, with
+    `common`: how many of the set's shingles occur in a set of another component. Two such sets
+    share at most the smaller `common`, so a link needs (100 + percent) * common >= percent *
+    (both sizes), and an entry whose common shingles don't suffice even with the least set of
+    its bucket has none."""
+    items = sets.join(placed.select("doc_id", "component").distinct(), "doc_id").select("doc_id", "component", F.explode("items").alias("item"))
+    within = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low = high").select("item")
+    own = items.join(within, "item", "left_semi").groupBy("doc_id").agg(F.count("*").alias("own"))
+    known = placed.join(own, "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
     least = known.groupBy("key").agg(F.min("n_shingles").alias("least"))
     return known.join(least, "key").filter((100 + percent) * F.col("common") >= percent * (F.col("n_shingles") + F.col("least"))).drop("least")
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
-    """Keys of buckets with more than one component: (key, members, crossing pairs)."""
-    by = entries.groupBy("key", "component").agg(F.count("*").alias("m"))
-    out = by.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("squares"))
-    return out.filter("parts > 1").select("key", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2).cast("long").alias("crossing"))
+    """Entries of buckets with more than one component."""
+    keys = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return entries.join(keys.select("key"), "key", "left_semi")
 
 
-def _pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket in different components whose common shingles suffice."""
-    a = entries.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("common").alias("ma"))
-    b = entries.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("common").alias("mb"))
-    enough = (100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb"))
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
+def _pairs(entries: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one bucket in different components whose common shingles suffice and
+    whose signatures agree, each in the first bucket that has both."""
+    known = entries.join(reps.select("doc_id", "bands", "planes"), "doc_id")
+    side = lambda x: known.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n_shingles", "common", "bands", "planes")])
+    enough = (100 + percent) * F.least("common_a", "common_b") >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b"))
+    crossing = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
+    first = F.array_intersect("bands_a", "bands_b")[0] == F.col("key")
+    found = side("a").join(side("b"), "key").filter(crossing & enough & _agree("planes_a", "planes_b") & first)
+    return found.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -188,24 +185,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = stored(spread.join(buckets, "key"), "buckets")
     degree = shared.groupBy("doc_id").agg(F.sum("members").alias("degree"))
-    sets = stored(_sets(plain.join(degree.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    sets = _sets(plain.join(degree.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    sets = stored(sets.join(reps.select("doc_id", "planes"), "doc_id"), "sets")
     centre = shared.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", "degree").alias("centre"))
     star = shared.join(centre, "key").filter("doc_id <> centre").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
-    links = _confirmed(star, reps, sets, percent).checkpoint()
+    links = _confirmed(star, sets, percent).checkpoint()
     first = connected_components(links, "a", "b")
 
     placed = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    placed = placed.join(_mixed(placed).select("key"), "key", "left_semi").checkpoint()
-    placed = _linkable(placed, sets, percent).checkpoint()
-    mixed = _mixed(placed)
-    many = F.col("crossing") > PAIRS_PER_MEMBER * F.col("members")
-    few = placed.join(mixed.filter(~many).select("key"), "key", "left_semi")
-    again = placed.join(mixed.filter(many).select("key"), "key", "left_semi").join(reps.select("doc_id", "bands"), "doc_id")
-    again = again.select("doc_id", "n_shingles", "component", "common", F.col("key").alias("first"), F.explode("bands").alias("second")).filter("first <> second")
-    again = again.withColumn("key", F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))).drop("first", "second")
-    again = again.join(_mixed(again).select("key"), "key", "left_semi")
-    rest = _pairs(few, percent).unionByName(_pairs(again, percent)).distinct()
-    more = _confirmed(rest, reps, sets, percent)
+    placed = _linkable(_mixed(placed).checkpoint(), sets, percent)
+    rest = _pairs(_mixed(placed.checkpoint()), reps, percent)
+    more = _confirmed(rest, sets, percent)
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
     final = connected_components(joined, "a", "b")
 
