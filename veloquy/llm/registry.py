@@ -9,7 +9,7 @@ from . import toxicity
 from .brown_lm import brown_scores
 from .common import crc_mod, documents
 from .fingerprints import fingerprints
-from .labelled import label_share, labelled_sample
+from .labelled import joined_sample, label_share, labelled_sample
 from .language_id import fit_language, with_language
 from .mixing import mixed
 from .near_dup import near_duplicates
@@ -28,10 +28,8 @@ def query(f):
     return f
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Documents with their `label`; each label row counts once for each text of its id."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", label).filter(F.col(label).isNotNull())
-    return documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
+def labels_of(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", label)
 
 
 @query
@@ -94,8 +92,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = labelled(spark, sf_dir, "toxic").filter(crc_mod("doc_id", 5) != 0)
-    sample = labelled_sample(train, "doc_id", "text", "toxic", toxicity.ROWS_A_LABEL, toxicity.SAMPLE_CHARS)
+    train = labels_of(spark, sf_dir, "toxic").filter(crc_mod("doc_id", 5) != 0)
+    sample = joined_sample(documents(spark, sf_dir), train, "doc_id", "text", "toxic", toxicity.ROWS_A_LABEL, toxicity.SAMPLE_CHARS)
     model = fit_toxicity(sample["text"].tolist(), sample["label"].to_numpy(), label_share(train, "toxic"))
     found = with_score(documents(spark, sf_dir).select("doc_id", "text"), model)
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -103,8 +101,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = labelled(spark, sf_dir, "quality").filter(crc_mod("doc_id", 4) != 2)
-    sample = labelled_sample(train, "doc_id", "text", "quality")
+    train = labels_of(spark, sf_dir, "quality").filter(crc_mod("doc_id", 4) != 2)
+    sample = joined_sample(documents(spark, sf_dir), train, "doc_id", "text", "quality")
     model = fit_quality(sample["text"].tolist(), sample["label"].to_numpy(), label_share(train, "quality"))
     found = with_score(documents(spark, sf_dir).select("doc_id", "text"), model)
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
