@@ -158,6 +158,46 @@ def test_brown_model_sums_to_one():
     assert np.allclose((50 - 20 * m.discount) / 50 + 10**m.unseen, 1)
 
 
+def test_brown_places_words_as_exchange_would():
+    rng = np.random.default_rng(3)
+    cls = np.arange(60) % 5
+    pairs = rng.poisson(np.where((cls[:, None] + 1) % 5 == cls[None, :], 6.0, 0.4)).astype(float)
+    np.fill_diagonal(pairs, 0)
+    cls[50:] = rng.integers(0, 5, 10)
+    member = lambda c: np.eye(5)[c]
+    right, left = pairs @ member(cls), pairs.T @ member(cls)
+    got = brown_lm.best_classes(member(cls).T @ pairs @ member(cls), right[50:], left[50:], cls[50:])
+    for k in range(50, 60):
+        scores = []
+        for b in range(5):
+            moved = cls.copy()
+            moved[k] = b
+            scores.append(brown_lm.likelihood(member(moved).T @ pairs @ member(moved)))
+        assert scores[got[k - 50]] >= max(scores) - 1e-6
+
+
+def test_brown_classes_of_words_below_the_most_frequent(spark, monkeypatch):
+    """Words of one form that stand in different places get different classes, rare ones that of their form."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(brown_lm, "TOP", 6)
+    rnd = random.Random(5)
+    nouns, verbs = [f"{c}ona" for c in "bcdfgh"], [f"{c}ira" for c in "bcdfgh"]
+    texts = [" ".join(x for _ in range(10) for x in ("the", rnd.choice(nouns), "will", rnd.choice(verbs), "in", "by")) for _ in range(60)] + ["the xona will xira in by"]
+    df = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    counts = brown_lm.word_counts(df)
+    key = lambda w: int(tn.words(pa.array([w])).hashes().view(np.int64)[0])
+    items = brown_lm.Items(np.sort(np.array([key(w) for w in ("the", "will", "in", "by", "bona", "bira")], np.int64).view(np.uint64)))
+    pairs = brown_lm.item_bigrams(df, items)
+    cls = brown_lm.exchange(pairs)
+    got = {r.word: r["class"] for r in brown_lm.classed_words(df, counts, items, cls, pairs, 3).collect()}
+    assert len(got) == counts.count()
+    of = lambda some: {got[key(w)] for w in some}
+    assert len(of(nouns)) == len(of(verbs)) == 1 and of(nouns) != of(verbs) and -1 not in of(nouns) | of(verbs)
+    assert of(["xona", "xira"]) == {-1}
+    assert brown_lm.brown_scores(df, F.lit(False)).count() == len(texts)
+
+
 def test_brown_on_odd_tables(spark):
     df = frame(spark, [(1, None), (2, ""), (3, "A a b"), (3, "A a b"), (None, "b")], "doc_id long, text string")
     from pyspark.sql import functions as F

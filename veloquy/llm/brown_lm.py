@@ -1,19 +1,26 @@
 """Class-based n-gram language model with exchange clustering.
 
-The TOP most frequent words are items of their own; every other word belongs to one of SHAPES
-items by its form (length, digits, bytes beyond ASCII, final punctuation), and the end of a text
-is an item too. Exchange clustering moves each item to the class that raises the likelihood of
-class bigrams most, until a pass moves little. A text's probability is the product over its
-tokens of P(class | class before), P(item | class) and, within a shape, P(word | shape).
+Every training word used LEAST times or more has a class of its own. The TOP most frequent words
+are clustered first, by exchange: each item is moved to the class that raises the likelihood of
+class bigrams most, until a pass moves little. The items of this are those words, the end of a
+text and SHAPES forms (length, digits, bytes beyond ASCII, final punctuation) that stand for all
+other words. Each of the other words used LEAST times or more is then moved from its form's class
+to the best one by the same gain, from the classes of all its neighbours in training; this is done
+in Spark, and the classes are a column of the word table. Only rarer and unseen words keep the
+class of their form. Transitions are counted anew over all training tokens with these classes.
+A text's probability is the product over its tokens of P(class | class before) and P(word | class),
+for rare words P(form | class) P(word | form).
 Transitions are interpolated with class frequencies by the number of distinct followers
-(Witten-Bell); words of a shape are discounted by D = n1 / (n1 + 2 n2), and what that frees is
+(Witten-Bell); rare words are discounted by D = n1 / (n1 + 2 n2), and what that frees is
 the probability of a word unseen in training. Each factor sums to one over the words seen and
 one unseen word for each shape.
 
 Word counts cover all training texts and grow with them, so they are never broadcast: texts are
 dealt into blocks of about BLOCK_ROWS rows, each block asks for the counts of its distinct words
-by an equi-join on the word's 64-bit hash, and is scored together with the answers. Only the
-items' tables (their sizes are fixed by TOP, SHAPES and CLASSES) go to the driver and back.
+and classes by an equi-join on the word's 64-bit hash, and turns its texts into classes (a byte a
+token) and emissions with the answers. These are stored; transitions are counted and scored from
+them. Only the items' tables (their sizes are fixed by TOP, SHAPES and CLASSES) go to the driver
+and back.
 
 Defined results: null text counts as empty and has the end token alone. Without training texts
 all counts are 0; each token then has base score 0 and model score 0. Equal counts are ordered
@@ -35,10 +42,14 @@ from . import textnum as tn
 from .common import stored
 
 TOP = 1000
+#: Uses in training from which a word has a class of its own.
+LEAST = 5
 SHAPES = 24
 CLASSES = 48
 PASSES = 8
 BLOCK_ROWS = 2000
+#: Training tokens whose words are placed by one task.
+BUCKET_TOKENS = 1_000_000
 #: Distinct words held by one task before its counts are passed on.
 HELD = 1_500_000
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -205,50 +216,193 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     return cls
 
 
+def best_classes(grid: np.ndarray, right: np.ndarray, left: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The class to which moving each word, alone, from `cls` raises the likelihood most.
+
+    `grid`: counts of class pairs, these words' uses included; `right`, `left`: by word and class
+    of the token after and before it. Classes without uses take no words: as words are placed each
+    for itself, unlike words would meet there.
+    """
+    n, every = len(cls), np.arange(len(cls))
+
+    def side(grid: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Gain of the cells (class, k) that get the word's uses beside class k, less that of their margin."""
+        word, k = own.nonzero()
+        cells = grid[:, k].T - np.where((k == cls[word])[:, None], other[word], 0)
+        cells[np.arange(len(k)), cls[word]] -= own[word, k]
+        cells = np.maximum(cells, 0)
+        each = _f(cells + own[word, k][:, None]) - _f(cells)
+        gain = np.zeros_like(own)
+        full = np.flatnonzero(np.bincount(word, minlength=n))
+        if len(full):
+            gain[full] = np.add.reduceat(each, np.searchsorted(word, full), axis=0)
+        uses = own.sum(1)
+        margin = grid.sum(1) - other
+        margin[every, cls] -= uses
+        margin = np.maximum(margin, 0)
+        return gain - _f(margin + uses[:, None]) + _f(margin)
+
+    d = np.broadcast_to(np.diagonal(grid), right.shape).copy()
+    d[every, cls] -= (right + left)[every, cls]
+    d = np.maximum(d, 0)
+    gain = side(grid, right, left) + side(grid.T, left, right) + _f(d + right + left) + _f(d) - _f(d + right) - _f(d + left)
+    gain = np.where(grid.sum(0) + grid.sum(1) > 0, gain, -np.inf)
+    best = gain.argmax(1)
+    return np.where(gain[every, best] > gain[every, cls] + 1e-9, best, cls)
+
+
+def neighbours(docs: DataFrame, items: Items, cls: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, word, near): the classes before and after each use of the words that are no items of
+    their own, two bytes a use; one row a word and some batches of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held):
+            key, near = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.argsort(key, kind="stable")
+            kept, at = np.unique(key[order], return_index=True)
+            at = np.append(at, len(key))
+            data = np.ascontiguousarray(near[order])
+            for i in range(0, len(kept), 50_000):
+                some = at[i : i + 50_001]
+                body = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer((2 * (some - some[0])).astype(np.int32)), pa.py_buffer(data[some[0] : some[-1]])])
+                word = kept[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array((word % np.uint64(buckets)).astype(np.int32)), pa.array(word.view(np.int64)), body], names=["bucket", "word", "near"])
+
+        held, size = [], 0
+        for batch in batches:
+            for part in tn.chunks(batch, "text"):
+                key, form, bounds = tokens(part.column("text"))
+                item = items.of(key, form)
+                c = cls[item].astype(np.uint8)
+                around = np.full((len(c), 2), cls[-1], np.uint8)
+                around[1:, 0], around[:-1, 1] = c[:-1], c[1:]
+                around[bounds[:-1], 0] = cls[-1]
+                rest = (item >= len(items.keys)) & (item < len(items) - 1)
+                held.append((key[rest], around[rest]))
+                size += int(rest.sum())
+                if size > 4 * HELD:
+                    yield from out(held)
+                    held, size = [], 0
+        if size:
+            yield from out(held)
+
+    return docs.select("text").mapInArrow(run, "bucket int, word long, near binary")
+
+
+def classed_words(docs: DataFrame, counts: DataFrame, items: Items, cls: np.ndarray, pairs: np.ndarray, buckets: int) -> DataFrame:
+    """`counts` with the class of each word; -1 where it has that of its shape."""
+    member = np.eye(CLASSES)[cls]
+    grid = member.T @ pairs @ member
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right.column("word").to_numpy())
+        right = right.take(pa.array(order))
+        word, form, n = (right.column(x).to_numpy() for x in ("word", "shape", "count"))
+        item = items.of(word.view(np.uint64), form)
+        found = np.where(item < len(items.keys), cls[item], -1)
+        placed = np.flatnonzero((item >= len(items.keys)) & (form < SHAPES - 1) & (n >= LEAST))
+        index = np.full(len(word), -1)
+        index[placed] = np.arange(len(placed))
+        sides = np.zeros((2, len(placed), CLASSES))
+        for batch in left.to_batches():
+            at = index[np.searchsorted(word, batch.column("word").to_numpy())]
+            near = batch.column("near")
+            size = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1] if len(near) else np.zeros(1, np.int32)
+            uses = np.frombuffer(near.buffers()[2], np.uint8)[size[0] : size[-1]].reshape(-1, 2) if len(near) else np.zeros((0, 2), np.uint8)
+            at = np.repeat(at, np.diff(size) // 2)
+            for k in (0, 1):
+                cell = at[at >= 0] * CLASSES + uses[at >= 0, k]
+                sides[k] += np.bincount(cell, minlength=len(placed) * CLASSES).reshape(-1, CLASSES)
+        for i in range(0, len(placed), 2000):
+            some = placed[i : i + 2000]
+            found[some] = best_classes(grid, sides[1, i : i + 2000], sides[0, i : i + 2000], cls[item[some]])
+        return pa.table({"word": word, "shape": form, "count": n, "class": found.astype(np.int32)})
+
+    near = neighbours(docs, items, cls, buckets)
+    # The bucket of a hash as unsigned number, as in `neighbours`.
+    dealt = counts.withColumn("bucket", F.expr(f"cast((cast(word as decimal(20, 0)) + if(word < 0, 18446744073709551616BD, 0BD)) % {buckets} as int)"))
+    return near.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(place, "word long, shape int, count long, class int")
+
+
+def transitions(grid: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before)."""
+    freq = (grid.sum(0) + 0.5) / (grid.sum() + 0.5 * CLASSES)
+    kinds = (grid > 0).sum(1, keepdims=True) + 1.0
+    return np.log10((grid + kinds * freq) / (grid.sum(1, keepdims=True) + kinds))
+
+
 @dataclass
 class BrownModel:
     items: Items
     cls: np.ndarray
     follow: np.ndarray  # log10 P(class | class before)
     emit: np.ndarray  # log10 P(item | its class)
+    class_tokens: np.ndarray
     shape_tokens: np.ndarray
     discount: np.ndarray
     unseen: np.ndarray  # log10 P(unseen | shape)
     n_tokens: int
     n_words: int
 
-    def score(self, key: np.ndarray, form: np.ndarray, bounds: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
+    def emissions(self, key: np.ndarray, form: np.ndarray, count: np.ndarray, placed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each token and log10 P(token | class); `placed`: its class in the word table, or -1."""
+        shape = len(self.items.keys) + form
+        c = np.where(placed >= 0, placed, self.cls[shape])
         if not self.n_tokens:
-            return np.zeros(len(key))
-        item = self.items.of(key, form)
-        c = self.cls[item]
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[bounds[:-1]] = self.cls[-1]
-        out = self.follow[before, c] + self.emit[item]
-        own = (item >= len(self.items.keys)) & (form < SHAPES - 1)
+            return c, np.zeros(len(key))
         seen = np.log10(np.maximum(count - self.discount[form], 1e-9) / np.maximum(self.shape_tokens[form], 1))
-        return out + np.where(own, np.where(count > 0, seen, self.unseen[form]), 0.0)
+        rare = self.emit[shape] + np.where(form < SHAPES - 1, np.where(count > 0, seen, self.unseen[form]), 0.0)
+        return c, np.where(placed >= 0, np.log10(np.maximum(count, 1) / self.class_tokens[c]), rare)
 
 
-def fit_brown(pairs: np.ndarray, items: Items, by_shape: np.ndarray, n_tokens: int, n_words: int) -> BrownModel:
-    """`by_shape`: tokens, words, words seen once, twice of each shape outside the frequent ones."""
-    cls = exchange(pairs)
+def fit_brown(pairs: np.ndarray, items: Items, by_shape: np.ndarray, n_tokens: int, n_words: int, cls: np.ndarray | None = None, by_class: np.ndarray | None = None) -> BrownModel:
+    """`by_shape`: tokens, words, words seen once, twice of each shape outside the words with classes
+    of their own; `by_class`: tokens of those words by class. Without it they are the items'."""
+    cls = exchange(pairs) if cls is None else cls
     member = np.eye(CLASSES)[cls]
-    grid = member.T @ pairs @ member
-    freq = (grid.sum(0) + 0.5) / (grid.sum() + 0.5 * CLASSES)
-    kinds = (grid > 0).sum(1, keepdims=True) + 1.0
-    follow = np.log10((grid + kinds * freq) / (grid.sum(1, keepdims=True) + kinds))
-    item_count = pairs.sum(0) + 0.01
-    emit = np.log10(item_count / (member.T @ item_count)[cls])
     tokens_, words_, once, twice = by_shape
+    item_count = pairs.sum(0) + 0.01
+    if by_class is None:
+        class_tokens = member.T @ item_count
+    else:
+        item_count[len(items.keys) :] = tokens_ + 0.01
+        class_tokens = by_class + member[len(items.keys) :].T @ item_count[len(items.keys) :]
+    emit = np.log10(item_count / np.maximum(class_tokens, 1e-9)[cls])
     discount = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
     discount = np.clip(discount, 0.05, 0.95)
     unseen = np.log10(np.where(tokens_ > 0, discount * np.maximum(words_, 1) / np.maximum(tokens_, 1), 1.0))
-    return BrownModel(items, cls, follow, emit, tokens_, discount, unseen, n_tokens, n_words)
+    return BrownModel(items, cls, transitions(member.T @ pairs @ member), emit, class_tokens, tokens_, discount, unseen, n_tokens, n_words)
 
 
+def _steps(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, bounds by text) of the tokens of stored texts."""
+    size = batch.column("n_tokens").to_numpy()
+    bounds = np.append(0, np.cumsum(size))
+    c = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).astype(np.int64)
+    before = np.empty_like(c)
+    before[1:] = c[:-1]
+    before[bounds[:-1]] = end
+    return before, c, bounds
+
+
+def class_bigrams(coded: DataFrame, end: int) -> np.ndarray:
+    """Counts of class pairs over stored texts, left to right, the end before each text included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            before, c, _ = _steps(batch, end)
+            total += np.bincount(before * CLASSES + c, minlength=len(total))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "count"])
+
+    table = coded.select("n_tokens", "classes").mapInArrow(run, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count")).toArrow()  # at most CLASSES ** 2 rows
+    out = np.zeros(CLASSES * CLASSES)
+    out[table["pair"].to_numpy()] = table["count"].to_numpy()
+    return out.reshape(CLASSES, CLASSES)
+
+
+CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
@@ -262,13 +416,17 @@ def brown_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     end = int(np.array([END]).view(np.int64)[0])
     top = [r.word for r in counts.filter(F.col("word") != end).orderBy(F.desc("count"), "word").limit(TOP).collect()]
     items = Items(np.sort(np.array(top, np.int64).view(np.uint64)))
-    frequent = F.broadcast(spark.createDataFrame([(x,) for x in top], "word long"))  # TOP rows
+    pairs = item_bigrams(train, items)
+    cls = exchange(pairs)
+    words = stored(classed_words(train, counts, items, cls, pairs, max(1, n_tokens // BUCKET_TOKENS)), "words")
     n = F.col("count")
-    of_shape = counts.join(frequent, "word", "left_anti").groupBy("shape").agg(F.sum("count").alias("t"), F.count("*").alias("w"), F.count(F.when(n == 1, 1)).alias("o"), F.count(F.when(n == 2, 1)).alias("b"))
-    by_shape = np.zeros((4, SHAPES))
+    of_shape = words.filter("class < 0").groupBy("shape").agg(F.sum("count").alias("t"), F.count("*").alias("w"), F.count(F.when(n == 1, 1)).alias("o"), F.count(F.when(n == 2, 1)).alias("b"))
+    by_shape, by_class = np.zeros((4, SHAPES)), np.zeros(CLASSES)
     for r in of_shape.collect():
         by_shape[:, r["shape"]] = r.t, r.w, r.o, r.b
-    model = fit_brown(item_bigrams(train, items), items, by_shape, n_tokens, n_words)
+    for r in words.filter("class >= 0").groupBy("class").agg(F.sum("count").alias("t")).collect():
+        by_class[r["class"]] = r.t
+    model = fit_brown(pairs, items, by_shape, n_tokens, n_words, cls, by_class)
     shared = spark.sparkContext.broadcast(model)  # its size is fixed by TOP, SHAPES and CLASSES
 
     blocks = max(1, -(-plain.select("doc_id").count() // block_rows))
@@ -280,24 +438,37 @@ def brown_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
         return pa.table({"block": pa.array(np.full(len(key), table.column("block")[0].as_py(), np.int32)), "word": pa.array(key.view(np.int64))})
 
     asked = dealt.groupBy("block").applyInArrow(wanted, "block int, word long")
-    answers = asked.join(counts.select("word", "count"), "word").select("block", "word", "count")
+    answers = asked.join(words.select("word", "count", "class"), "word").select("block", "word", "count", "class")
 
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
         model = shared.value
-        key_of, order = right.column("word").to_numpy().view(np.uint64), None
+        key_of = right.column("word").to_numpy().view(np.uint64)
         order = np.argsort(key_of)
-        known, times = np.append(key_of[order], np.uint64(0)), np.append(right.column("count").to_numpy()[order], 0)
+        known, times, classes = np.append(key_of[order], np.uint64(0)), np.append(right.column("count").to_numpy()[order], 0), np.append(right.column("class").to_numpy()[order], -1)
         out = []
         for batch in left.combine_chunks().to_batches():
             for part in tn.chunks(batch, "text"):
                 key, form, bounds = tokens(part.column("text"))
                 at = np.searchsorted(known[:-1], key)
-                count = np.where((at < len(known) - 1) & (known[at] == key), times[at], 0)
+                found = (at < len(known) - 1) & (known[at] == key)
+                count, placed = np.where(found, times[at], 0), np.where(found, classes[at], -1)
                 base = tn.sums(np.log10((count + 1.0) / (model.n_tokens + model.n_words + 1)), bounds)
-                score = tn.sums(model.score(key, form, bounds, count), bounds)
-                size = np.diff(bounds)
-                columns = [part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(tn.sums(count > 0, bounds)), pa.array(np.full(len(size), model.n_tokens)), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / size, 300))]
-                out.append(pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")]))
+                c, emission = model.emissions(key, form, count, placed)
+                body = c.astype(np.uint8).tobytes()
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(bounds)), pa.array(tn.sums(count > 0, bounds)), pa.array(base), pa.array(tn.sums(emission, bounds)), pa.array([body[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())]
+                out.append(pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in CODED.split(", ")]))
         return pa.Table.from_batches(out)
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, RESULT)
+    coded = stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(code, CODED), "coded-texts")
+    end_class = int(cls[-1])
+    follow = transitions(class_bigrams(coded.filter(~F.col("held_out")), end_class)) if n_tokens else np.zeros((CLASSES, CLASSES))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, c, bounds = _steps(batch, end_class)
+            size = np.diff(bounds)
+            score = batch.column("emission").to_numpy() + tn.sums(follow[before, c], bounds)
+            columns = [*(batch.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(size), n_tokens)), batch.column("base_score"), pa.array(score), pa.array(10 ** np.minimum(-score / size, 300))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
+
+    return coded.mapInArrow(scored, RESULT)
