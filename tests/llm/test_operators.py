@@ -339,6 +339,25 @@ def test_pseudonyms(spark):
     assert pii.pseudonymised(df.limit(0), KEY).count() == 0
 
 
+def test_pseudonyms_in_general_layouts(spark):
+    phones = ["555-123-4567", "(017) 555-7713", "+1 555 123 4567", "+44 20 7946 0958", "020 7946 0958", "+442079460958", "1-555-123-4567", "555.123.4567"]
+    cards = ["3782 822463 10005", "3782-822463-10005", "4929-348385-146-306", "49 29 34 83 85 14 63 06"]
+    dates = ["12/31/1985", "1/5/1985", "1.5.1985", "1985-1-5"]
+    values = [("phone", x) for x in phones] + [("card", x) for x in cards] + [("date", x) for x in dates]
+    texts = [f"see {x}, ok" for _, x in values] + ["No.4929348385146306", "in 2023 555-123-4567, 555-987-6543 x", "13/32/1985 v1.2.3 10.5 1,000 20-30"]
+    rows = pii.pseudonymised(frame(spark, list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    for (kind, old), r in zip(values, rows, strict=False):
+        (p,) = r.pii
+        digits = re.sub("[^0-9]", "", p.new)
+        assert (p.kind, p.old) == (kind, old) and p.new != old and r.text == f"see {p.new}, ok"
+        assert kind == "date" or re.sub("[0-9]", "0", p.new) == re.sub("[0-9]", "0", old)
+        assert kind != "card" or luhn(digits) == 0
+    month, day, year = map(int, rows[len(phones) + len(cards)].pii[0].new.split("/"))
+    assert day > 12 and datetime.date(year, month, day)
+    assert [[p.kind for p in r.pii] for r in rows[-3:]] == [["card"], ["phone", "phone"], []] and rows[-1].text == texts[-1]
+    assert rows[-3].text.startswith("No.") and rows[-2].text.startswith("in 2023 ")
+
+
 def test_feistel_is_a_bijection(spark):
     from pyspark.sql import functions as F
 

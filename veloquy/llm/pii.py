@@ -1,13 +1,14 @@
 """Format-preserving pseudonyms by keyed Feistel networks, in built-in functions only.
 
-Found and validated: payment card numbers (13 to 19 digits, plain or in groups of four, Luhn
-check), telephone numbers (+country, area code in parentheses), social security numbers, IPv4
-addresses (octets up to 255), dates of 1900 to 2099 (ISO, or day and month first by either / or
-.; real calendar days only) and e-mail addresses. Each value's digits (for e-mail: letters and
+Found and validated: payment card numbers (13 to 19 digits, plain or with single separators
+anywhere, Luhn check), telephone numbers (with country code, area code in parentheses, trunk zero
+or three groups of 3, 3 and 4 digits; 8 to 15 digits), social security numbers, IPv4 addresses
+(octets up to 255), dates of 1900 to 2099 (ISO, or by / or . with the day first, else the month;
+one or two digits; real calendar days only) and e-mail addresses. Each value's digits (for e-mail: letters and
 digits of the local part) are permuted by alternating modular additions of a keyed hash, a
 bijection of the values of its format: equal values stay linked across documents, different
 ones stay different, and a card keeps a valid check digit, a date stays a date. What fails its
-validation stays as it is.
+validation stays as it is; digits that only might have been a card are searched for the other kinds.
 
 Defined results: null text stays null, with no counts; empty text stays empty. No row is
 compared with another, so ties, repeated rows and other columns don't matter; all columns are
@@ -21,16 +22,29 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KINDS = ("email", "card", "phone", "ssn", "ip", "date")
-_L, _R = r"(?<![0-9A-Za-z.+\-])", r"(?![0-9A-Za-z])"
+_L, _R = r"(?<![0-9A-Za-z])(?<![0-9][.+\-])", r"(?![0-9A-Za-z])"
+_PHONES = (
+    r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}[\- ][0-9]{4}",
+    r"(?:\+?1[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}",
+    r"\+1[ .\-]?[0-9]{3}[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}",
+    r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,5}\)[ .\-]?)?[0-9]{1,5}(?:[ .\-][0-9]{2,8}){1,4}",
+    r"\+[0-9]{8,15}",
+    r"\(0[0-9]{1,4}\)[ .\-]?[0-9]{3,8}(?:[ .\-][0-9]{2,4}){0,3}",
+    r"(?:1[ .\-])?[0-9]{3}(?<p>[ .\-])[0-9]{3}\k<p>[0-9]{4}(?![.\-][0-9])",
+    r"0[0-9]{1,4}(?<q>[ .\-])[0-9]{2,8}(?:\k<q>[0-9]{2,4}){0,4}(?![.\-][0-9])",
+)
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}+",
-    "card": _L + r"(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})" + _R,
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}[\- ][0-9]{4}" + _R,
+    "card": _L + r"(?:[0-9]{13,19}|[0-9]{4}(?<c>[ .\-])[0-9]{4}\k<c>[0-9]{4}\k<c>[0-9]{4}(?:\k<c>[0-9]{3})?|[0-9]{4}(?<a>[ .\-])[0-9]{6}\k<a>[0-9]{4,5})" + _R,
     "ssn": _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R,
     "ip": _L + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _R,
+    "date": _L + r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})" + _R,
+    "phone": r"(?<![0-9A-Za-z+])(?<![0-9][.\-])(?:" + "|".join(_PHONES) + ")" + _R,
 }
-_DIGITS = "|".join(PATTERNS[k] for k in KINDS if k != "email")
+#: Separators anywhere; only the Luhn check tells such cards from other numbers in a row.
+_LOOSE_CARD = _L + r"[0-9](?:[ .\-]?[0-9]){12,18}(?![ .\-]?[0-9A-Za-z])"
+_STRICT = "|".join(PATTERNS[k] for k in PATTERNS if k != "email")
+_DIGITS = _STRICT + "|" + _LOOSE_CARD
 _ALL = PATTERNS["email"] + "|" + _DIGITS
 _FIRST_DAY, _LEFT_DAYS, _RIGHT_DAYS = "1900-01-01", 17, 4297  # 17 * 4297 days reach to 2099-12-31
 
@@ -96,9 +110,11 @@ def _card(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    own = F.regexp_replace(F.regexp_extract(m, r"\(.*$", 0), "[^0-9]", "")
-    country = F.regexp_replace(F.substring_index(m, "(", 1), "[^0-9]", "")
-    return _refilled(m, F.concat(country, permuted_digits(key, "phone", own)))
+    """Country code or trunk zero stay, the rest is permuted."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    kept = F.regexp_replace(F.regexp_extract(m, r"^(?:\+[0-9]{1,3}(?=[ .\-(])|\+[0-9]|1(?=[ .\-(])|0(?=[0-9]))", 0), "[^0-9]", "")
+    own = F.substring(digits, F.length(kept) + 1, F.length(digits))
+    return F.when(F.length(digits).between(8, 15), _refilled(m, F.concat(kept, permuted_digits(key, "phone", own))))
 
 
 def _ssn(key: str, m: Column) -> Column:
@@ -115,18 +131,36 @@ def _ip(key: str, m: Column) -> Column:
     return F.when(real, F.concat_ws(".", text(out.l), text(out.r)))
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.transform(F.array(x), f).getItem(0)
+
+
 def _date(key: str, m: Column) -> Column:
-    iso = m.rlike("^[0-9]{4}-")
-    year = F.when(iso, F.substring(m, 1, 4)).otherwise(F.substring(m, 7, 4))
-    month = F.when(iso, F.substring(m, 6, 2)).otherwise(F.substring(m, 4, 2))
-    day = F.when(iso, F.substring(m, 9, 2)).otherwise(F.substring(m, 1, 2))
-    value = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
     first = F.to_date(F.lit(_FIRST_DAY))
-    place = F.date_diff(value, first)
-    out = feistel(key, F.lit("date"), F.floor(place / _RIGHT_DAYS), place % _RIGHT_DAYS, F.lit(_LEFT_DAYS), F.lit(_RIGHT_DAYS))
-    moved = F.date_add(first, (out.l * _RIGHT_DAYS + out.r).cast("int"))
-    shown = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
-    return F.when(value.isNotNull() & year.between("1900", "2099"), shown)
+    iso = m.rlike("^[0-9]{4}-")
+
+    def moved(place: Column) -> Column:
+        out = feistel(key, F.lit("date"), F.floor(place / _RIGHT_DAYS), place % _RIGHT_DAYS, F.lit(_LEFT_DAYS), F.lit(_RIGHT_DAYS))
+        return _let(out, lambda o: (o.l * _RIGHT_DAYS + o.r).cast("int"))
+
+    def walk(s: Column, _: Column) -> Column:
+        # A month-first date goes on to the next day above 12, so that it can't be read day-first.
+        return F.when(F.dayofmonth(F.date_add(first, s)) > 12, s).otherwise(moved(s))
+
+    def shown(d: Column) -> Column:
+        """`d`: (value, whether its month comes first)."""
+        place = F.when(d.turned, F.aggregate(F.sequence(F.lit(1), F.lit(64)), moved(F.date_diff(d.value, first)), walk)).otherwise(moved(F.date_diff(d.value, first)))
+        order = F.when(iso, "yyyy-MM-dd").when(d.turned, "MM/dd/yyyy").otherwise("dd/MM/yyyy")
+        order = F.when(m.rlike("(^|[^0-9])[0-9]([^0-9]|$)"), F.replace(F.replace(order, F.lit("MM"), F.lit("M")), F.lit("dd"), F.lit("d"))).otherwise(order)
+        order = F.when(m.contains("."), F.translate(order, "/", ".")).otherwise(order)
+        return F.when(d.value.isNotNull() & F.year(d.value).between(1900, 2099), F.call_function("date_format", F.date_add(first, place), order))
+
+    as_date = lambda y, mo, d: F.try_to_timestamp(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+    parts = F.split(m, "[-/.]")
+    read = lambda p: F.struct(F.when(iso, as_date(p[0], p[1], p[2])).otherwise(as_date(p[2], p[1], p[0])).alias("day_first"), F.when(~iso, as_date(p[2], p[0], p[1])).alias("month_first"))
+    value = _let(_let(parts, read), lambda r: F.struct(F.coalesce(r.day_first, r.month_first).alias("value"), (r.day_first.isNull() & r.month_first.isNotNull()).alias("turned")))
+    return _let(value, shown)
 
 
 def _email(key: str, m: Column) -> Column:
@@ -159,13 +193,14 @@ _MAKERS = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _
 
 
 def _kind(m: Column) -> Column:
-    kind = F.when(m.contains("@"), "email").when(m.contains("("), "phone").when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-    kind = kind.when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip").when(F.length(m) < 13, "date")
-    return kind.otherwise("card")
+    kind = F.when(m.contains("@"), "email").when(m.contains("(") | m.startswith("+"), "phone").when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+    kind = kind.when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
+    kind = kind.when(m.rlike(r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([/.])[0-9]{1,2}\2[0-9]{4})$"), "date")
+    return kind.when(F.length(F.regexp_replace(m, "[^0-9]", "")) < 13, "phone").otherwise("card")
 
 
 def _found(key: str, text: Column, pattern: str) -> Column:
-    """Array of struct(kind, new) for each match; `new` is null where validation fails."""
+    """Array of struct(kind, old, new) for each match; `new` is null where validation fails."""
 
     def one(m: Column) -> Column:
         kind = _kind(m)
@@ -177,13 +212,27 @@ def _found(key: str, text: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0)), one)
 
 
+def _searched(key: str, text: Column, pattern: str) -> Column:
+    """For each match of `pattern` an array of struct(kind, old, new) that make it up: itself, or
+    where it is no card after all, what the strict patterns find in it and the text between."""
+
+    def one(f: Column) -> Column:
+        none = F.lit(None).cast("string")
+        between = lambda p, g: F.array(F.struct(none.alias("kind"), p.alias("old"), none.alias("new")), F.coalesce(g, F.struct(none.alias("kind"), F.lit("").alias("old"), none.alias("new"))))
+        inner = F.flatten(F.zip_with(F.split(f.old, _STRICT, -1), _found(key, f.old, _STRICT), between))
+        return F.when(f.new.isNull() & (f.kind == "card") & f.old.rlike("[^0-9]"), inner).otherwise(F.array(f))
+
+    return F.transform(_found(key, text, pattern), one)
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with the text replaced and an array column `pii` of struct(kind, old, new) added."""
     text = F.col(text_col).cast("string")
-    has = F.when(text.contains("@"), _found(key, text, _ALL)).when(text.rlike("[0-9]"), _found(key, text, _DIGITS))
+    has = F.when(text.contains("@"), _searched(key, text, _ALL)).when(text.rlike("[0-9]"), _searched(key, text, _DIGITS))
     cut = F.when(text.contains("@"), F.split(text, _ALL, -1)).otherwise(F.split(text, _DIGITS, -1))
-    whole = F.array_join(F.flatten(F.zip_with(cut, "__found", lambda p, f: F.array(p, F.coalesce(f.new, f.old, F.lit(""))))), "")
+    shown = lambda pieces: F.array_join(F.transform(pieces, lambda f: F.coalesce(f.new, f.old)), "")
+    whole = F.array_join(F.flatten(F.zip_with(cut, "__found", lambda p, f: F.array(p, F.coalesce(shown(f), F.lit(""))))), "")
     out = docs.withColumn("__found", has)
     out = out.withColumn(text_col, F.when(F.size("__found") > 0, whole).otherwise(text))
-    pii = F.when(text.isNotNull(), F.filter(F.coalesce("__found", F.array()), lambda f: f.new.isNotNull()))
+    pii = F.when(text.isNotNull(), F.filter(F.flatten(F.coalesce("__found", F.array())), lambda f: f.new.isNotNull()))
     return out.withColumn("__pii", pii).drop("__found").select(*docs.columns, F.col("__pii").alias("pii"))
