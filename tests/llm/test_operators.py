@@ -434,6 +434,23 @@ def test_quality_held_out(spark):
     assert quality_classifier.fit_quality([], np.array([])).score(pa.array(["a"])).tolist() == [0.5]
 
 
+def test_quality_threshold_is_that_of_all_labelled_rows(spark, docs):
+    """Fitted on few rows, the cut still leaves the labels' share of all labelled rows above it."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality").filter("quality is not null")
+    rows = docs.join(labels, "doc_id").toPandas().sort_values("doc_id")
+    few = rows.groupby("quality").head(4)
+    share = float(rows.quality.mean())
+    model = quality_classifier.fit_quality(few.text.tolist(), few.quality.to_numpy(), share)
+    raw = model.raw(quality_classifier.features(pa.array(rows.text.tolist(), pa.string())))
+    got = quality_classifier.quality_scores(docs.select("doc_id", "text"), model, labels, share).toPandas().set_index("doc_id").score
+    assert len(got) == docs.count()
+    order = np.sort(raw)
+    at = order[math.ceil((1 - share) * len(raw) - 1e-9) - 1]
+    cut = (at + order[order > at].min()) / 2
+    assert ((got[rows.doc_id].to_numpy() >= 0.7) == (raw > cut)).all()
+    assert np.allclose(got[rows.doc_id].to_numpy(), 1 / (1 + np.exp(-np.clip(raw - cut + math.log(0.7 / 0.3), -30, 30))))
+
+
 def test_classifier_queries_cover_all_rows(spark, docs):
     for q in (registry.op8_toxicity, registry.op9_pairwise_quality, registry.op1_language_id):
         rows = q(spark, SMALL).toPandas()

@@ -3,8 +3,9 @@
 Each text has measures of its form (length, letters, case, symbols, repetition, lines). Each
 measure is cut at sample quantiles into indicator features, so that a weighted sum can follow any
 shape. Weights are learned from preference pairs (a text labelled 1 over one labelled 0) by
-logistic loss on the difference of the two texts' features. The threshold is the score quantile
-that the share of preferred texts gives; the reported score is a logistic of the distance to it,
+logistic loss on the difference of the two texts' features. The weights are learned on a sample;
+the threshold is the quantile, over all labelled training texts, that the share of preferred ones
+gives; the reported score is a logistic of the distance to it,
 0.7 at the threshold.
 
 Defined results: null text counts as empty. Without labelled rows, or with labels of one class,
@@ -18,10 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .common import stored
 from .grams import distinct_words, strings
 from .quality_rules import measure
+from .toxicity import with_score
 
 BINS = 16
 PAIRS = 200_000
@@ -107,3 +112,34 @@ def fit_quality(texts: list[str], labels: np.ndarray, prior: float | None = None
     at = min(int(np.searchsorted(below, 1 - prior)), len(raw) - 2)
     threshold = float(raw[order[at : at + 2]].mean())
     return QualityModel(cuts, w.reshape(-1, BINS), threshold, 1.0)
+
+
+@dataclass
+class _Raw:
+    """The model's sum of weights as a score."""
+
+    model: QualityModel
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        return self.model.raw(features(texts))
+
+
+def threshold_of(raw: DataFrame, prior: float) -> float | None:
+    """The cut of column `raw` that leaves the share `prior` of the rows above it, half way to the
+    next value; ranks within a millionth of the rows."""
+    at = raw.agg(F.percentile_approx("raw", 1 - prior, 1_000_000)).first()[0]
+    if at is None:
+        return None
+    above = raw.filter(F.col("raw") > at).agg(F.min("raw")).first()[0]
+    return at if above is None else (at + above) / 2
+
+
+def quality_scores(docs: DataFrame, model: QualityModel, labels: DataFrame, prior: float | None) -> DataFrame:
+    """`docs` (doc_id, text) as (doc_id, score): each text is measured once, then the threshold is taken
+    over all rows with an id in `labels`."""
+    if model.fixed is not None:
+        return with_score(docs, model).select("doc_id", "score")
+    raw = stored(with_score(docs, _Raw(model), name="raw").select("doc_id", "raw"), "quality")
+    found = threshold_of(raw.join(labels, "doc_id"), prior)
+    z = (F.col("raw") - F.lit(model.threshold if found is None else found)) * model.slope + float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    return raw.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))

@@ -16,7 +16,7 @@ from .near_dup import near_duplicates
 from .oracles import ORACLES as ORACLES
 from .pieces import with_decoded, with_pieces
 from .pii import pseudonymised
-from .quality_classifier import THRESHOLD, fit_quality
+from .quality_classifier import THRESHOLD, fit_quality, quality_scores
 from .quality_rules import COVERAGE_LIMITS, quality_rules
 from .toxicity import fit_toxicity, with_score
 
@@ -103,8 +103,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = labels_of(spark, sf_dir, "quality").filter(crc_mod("doc_id", 4) != 2)
     sample = joined_sample(documents(spark, sf_dir), train, "doc_id", "text", "quality")
-    model = fit_quality(sample["text"].tolist(), sample["label"].to_numpy(), label_share(train, "quality"))
-    found = with_score(documents(spark, sf_dir).select("doc_id", "text"), model)
+    share = label_share(train, "quality")
+    model = fit_quality(sample["text"].tolist(), sample["label"].to_numpy(), share)
+    found = quality_scores(documents(spark, sf_dir).select("doc_id", "text"), model, train.filter("quality is not null"), share)
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
