@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline as cp
 from test_near_dup import brute as brute_groups
-from test_operators import brute_rules
+from test_document_operators import brute_rules
 from veloquy.llm import quality_rules
 
 SMALL = "/root/testdata/sf0.001"

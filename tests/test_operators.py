@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from columns import SPEAKERS, many, one
 from veloquy.functions import text as tx
 from veloquy.functions.query import Query, parse_query
 from veloquy.operators import attribution as at
@@ -14,16 +15,6 @@ from veloquy.sources import captions
 from veloquy.streaming import tokens
 
 CUE = "array<struct<start: double, end: double, text: string>>"
-SPEAKERS = captions.SPEAKERS
-
-
-def one(spark, column, value, kind="string"):
-    return spark.createDataFrame([(value,)], f"v {kind}").select(column(F.col("v")).alias("x")).first().x
-
-
-def many(spark, column, values, kind="string"):
-    rows = spark.createDataFrame(list(enumerate(values)), f"i int, v {kind}").select("i", column(F.col("v")).alias("x"))
-    return [r.x for r in sorted(rows.collect(), key=lambda r: r.i)]
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from test_operators import SPEAKERS, many, one
+from columns import SPEAKERS, many, one
 from veloquy.operators import attribution as at
 from veloquy.operators import prompts
 from veloquy.sources import pages
