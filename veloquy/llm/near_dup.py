@@ -3,7 +3,8 @@
 A text's set holds its distinct five-word shingles as 52-bit hashes (fewer words: the whole
 sequence as one; none: empty). 384 minima of strongly universal hashes (a * x + b modulo 2**64,
 upper half) make 64 bands of 6; two sets of similarity 0.75 miss all bands with probability
-4e-6. Texts with equal sets form one class; only class representatives go on:
+4e-6. Texts with equal sets form one class, a node with a number of its own; signatures are
+pre-aggregated to one row a class before they are shuffled, and only classes go on:
 
 1. Stars: in every bucket each member is compared with the one that shares most buckets with
    others (the original among its copies, as a rule).
@@ -12,14 +13,16 @@ upper half) make 64 bands of 6; two sets of similarity 0.75 miss all bands with
    occur too rarely in texts of other components to reach the similarity with anything in the
    bucket are done (an exact bound); the others are compared in pairs, each pair in the first
    bucket that it shares. Nothing is capped or dropped.
-4. Components over all links.
+4. Components over all links, then the least id of each.
 
 Pairs are first held against their signatures (four bits of each minimum; a pair of similarity
-0.75 has 258 agreeing minima with probability 1 - 1e-5), then against the full sets.
+0.75 has 258 agreeing minima with probability 1 - 1e-5), then the sets of the pairs left are fetched. Large joins are between stored or shuffled tables
+with one unique side, so that Spark can split a hot bucket, centre or class.
 
 Defined results: null or empty texts and texts without words have an empty set and are linked
 with nothing. A row with a null id takes part in nothing: its component is null and it is kept.
-Repeated rows give repeated result rows. An empty table gives an empty result. Columns other
+Repeated rows give repeated result rows. Rows of one id with different texts are classes of their
+own and each gets its own text's component. An empty table gives an empty result. Columns other
 than id and text are not read.
 """
 
@@ -34,13 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import stored
+from .common import discard, stored
 from .components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 64, 6
 #: Bits kept of each minimum, and how many minima must agree in all of them.
 PLANES, LEAST_AGREEING = 4, 258
+#: What tells the set of a text from others.
+CLASS = ("n_shingles", "digest1", "digest2")
+#: Rows of four longs that are broadcast at most.
+BROADCAST_ROWS = 250_000
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
@@ -77,7 +84,17 @@ def minima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _digests(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two sums of hashes that tell a set from others; 0 for an empty one."""
+    out = np.zeros((2, len(bounds) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    if len(full):
+        out[0, full] = np.add.reduceat(tn.mix64(values), bounds[full])
+        out[1, full] = np.add.reduceat(tn.mix64(values ^ _DIGEST_SALT), bounds[full])
+    return out
+
+
+def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, digest1, digest2, bands, planes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,11 +104,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 size = np.diff(bounds)
                 full = np.flatnonzero(size > 0)
                 least = minima(values, bounds)
-                digest = np.zeros((2, len(size)), np.uint64)
+                digest = _digests(values, bounds)
                 keys = np.zeros((len(full), BANDS), np.uint64)
                 if len(full):
-                    digest[0, full] = np.add.reduceat(tn.mix64(values), bounds[full])
-                    digest[1, full] = np.add.reduceat(tn.mix64(values ^ _DIGEST_SALT), bounds[full])
                     for b in range(BANDS):
                         key = np.full(len(full), b + 1, np.uint64)
                         for r in range(ROWS):
@@ -108,8 +123,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["doc_id", "n_shingles", "digest1", "digest2", "bands", "planes"],
                 )
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long, bands array<long>, planes array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long, bands array<long>, planes array<long>")
 
 
 def _agree(a: str, b: str) -> Column:
@@ -119,26 +133,47 @@ def _agree(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(d) for d in differ]) <= BANDS * ROWS - LEAST_AGREEING
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, digest1, digest2) of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.chunks(batch, "text"):
                 values, bounds = shingle_sets(part.column("text"))
+                one, two = _digests(values, bounds)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", *CLASS])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, items) of the classes in `wanted` (node, doc_id, digest1, digest2), from the text of
+    one row of each. Up to BROADCAST_ROWS of them are broadcast, more are joined by shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tn.chunks(batch, "text"):
+                values, bounds = shingle_sets(part.column("text"))
+                own = _digests(values, bounds).view(np.int64)
+                same = (own[0] == part.column("digest1").to_numpy()) & (own[1] == part.column("digest2").to_numpy())
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "items"]).filter(pa.array(same))
 
-    return docs.mapInArrow(run, "doc_id long, items array<long>")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "digest1", "digest2", "text")
+    return texts.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with similarity of at least `percent` / 100: sizes and signatures that allow
-    it, then full sets."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("planes").alias(f"planes_{x}"), F.col("items").alias(f"items_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    n_a, n_b = F.size("items_a"), F.size("items_b")
+    it, then full sets. `b` is the side that few pairs share, so its set is fetched first."""
+    side = lambda x, table: table.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in table.columns])
+    narrow = nodes.select("node", "n_shingles", "planes")
+    fits = (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")) & _agree("planes_a", "planes_b")
+    likely = stored(pairs.join(side("b", narrow), "b").join(side("a", narrow), "a").filter(fits).select("a", "b"), "likely")
     shared = F.size(F.array_intersect("items_a", "items_b"))
-    fits = (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & _agree("planes_a", "planes_b")
-    return both.filter(fits & (100 * shared >= percent * (n_a + n_b - shared))).select("a", "b")
+    enough = 100 * shared >= percent * (F.size("items_a") + F.size("items_b") - shared)
+    return likely.join(side("b", sets), "b").join(side("a", sets), "a").filter(enough).select("a", "b")
 
 
 def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,10 +182,10 @@ def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share at most the smaller `common`, so a link needs (100 + percent) * common >= percent *
     (both sizes), and an entry whose common shingles don't suffice even with the least set of
     its bucket has none."""
-    items = sets.join(placed.select("doc_id", "component").distinct(), "doc_id").select("doc_id", "component", F.explode("items").alias("item"))
+    items = sets.join(placed.select("node", "component").distinct(), "node").select("node", "component", F.explode("items").alias("item"))
     within = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low = high").select("item")
-    own = items.join(within, "item", "left_semi").groupBy("doc_id").agg(F.count("*").alias("own"))
-    known = placed.join(own, "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
+    own = items.join(within, "item", "left_semi").groupBy("node").agg(F.count("*").alias("own"))
+    known = placed.join(own, "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
     least = known.groupBy("key").agg(F.min("n_shingles").alias("least"))
     return known.join(least, "key").filter((100 + percent) * F.col("common") >= percent * (F.col("n_shingles") + F.col("least"))).drop("least")
 
@@ -161,45 +196,49 @@ def _mixed(entries: DataFrame) -> DataFrame:
     return entries.join(keys.select("key"), "key", "left_semi")
 
 
-def _pairs(entries: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one bucket in different components whose common shingles suffice and
     whose signatures agree, each in the first bucket that has both."""
-    known = entries.join(reps.select("doc_id", "bands", "planes"), "doc_id")
-    side = lambda x: known.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n_shingles", "common", "bands", "planes")])
+    known = entries.join(nodes.select("node", "bands", "planes"), "node")
+    side = lambda x: known.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n_shingles", "common", "bands", "planes")])
     enough = (100 + percent) * F.least("common_a", "common_b") >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b"))
-    crossing = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
+    crossing = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
     first = F.array_intersect("bands_a", "bands_b")[0] == F.col("key")
     found = side("a").join(side("b"), "key").filter(crossing & enough & _agree("planes_a", "planes_b") & first)
-    return found.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(signatures(docs, id_col, text_col), "signatures")
-    known = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("digest1", "digest2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = stored(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
-
-    spread = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = stored(spread.join(buckets, "key"), "buckets")
-    degree = shared.groupBy("doc_id").agg(F.sum("members").alias("degree"))
-    sets = _sets(plain.join(degree.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-    sets = stored(sets.join(reps.select("doc_id", "planes"), "doc_id"), "sets")
-    centre = shared.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", "degree").alias("centre"))
-    star = shared.join(centre, "key").filter("doc_id <> centre").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
-    links = _confirmed(star, sets, percent).checkpoint()
+    classes = signatures(plain).filter("doc_id is not null and n_shingles > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
+    nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    spread = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    buckets = stored(spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
+    shared = stored(spread.join(buckets, "key"), "shared")
+    discard(buckets)
+    degree = stored(shared.groupBy("node").agg(F.sum("members").alias("degree")), "degree")
+    wanted = stored(nodes.select("node", "doc_id", "digest1", "digest2").join(degree, "node", "left_semi"), "wanted")
+    sets = stored(_sets(plain, wanted), "sets")
+    centre = stored(shared.join(degree, "node").groupBy("key").agg(F.max_by("node", "degree").alias("a")), "centres")
+    star = shared.select("key", F.col("node").alias("b")).join(centre, "key").filter("a <> b").select("a", "b").distinct()
+    links = stored(_confirmed(star, nodes, sets, percent), "links")
     first = connected_components(links, "a", "b")
 
-    placed = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    placed = _linkable(_mixed(placed).checkpoint(), sets, percent)
-    rest = _pairs(_mixed(placed.checkpoint()), reps, percent)
-    more = _confirmed(rest, sets, percent)
+    placed = shared.join(first, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    mixed = stored(_mixed(placed), "mixed")
+    placed = stored(_linkable(mixed, sets, percent), "linkable")
+    more = _confirmed(_pairs(_mixed(placed), nodes, percent), nodes, sets, percent)
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
     final = connected_components(joined, "a", "b")
-
-    member = signed.select("doc_id", "n_shingles", "digest1", "digest2").join(classes, ["digest1", "digest2", "n_shingles"], "left")
-    member = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    discard(shared, degree, wanted, centre, links, sets, mixed, placed)
+
+    found = stored(nodes.select("node", "doc_id", *CLASS).join(final, "node"), "found")
+    least = stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    single = nodes.select("node", *CLASS, F.col("doc_id").alias("component_id")).join(final.select("node"), "node", "left_anti").drop("node")
+    of_class = found.join(least, "component").select(*CLASS, "component_id").unionByName(single)
+    # Empty sets are linked with nothing: spread over all tasks, they meet no class.
+    member = _sized(plain).withColumn("digest1", F.when(F.col("n_shingles") == 0, F.xxhash64("doc_id")).otherwise(F.col("digest1")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return member.join(of_class, [*CLASS], "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
