@@ -164,16 +164,23 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with similarity of at least `percent` / 100: sizes and signatures that allow
-    it, then full sets. `b` is the side that few pairs share, so its set is fetched first."""
-    side = lambda x, table: table.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in table.columns])
+def _side(table: DataFrame, x: str) -> DataFrame:
+    return table.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in table.columns])
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and signatures allow a similarity of `percent` / 100."""
     narrow = nodes.select("node", "n_shingles", "planes")
     fits = (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")) & _agree("planes_a", "planes_b")
-    likely = stored(pairs.join(side("b", narrow), "b").join(side("a", narrow), "a").filter(fits).select("a", "b"), "likely")
+    return pairs.join(_side(narrow, "b"), "b").join(_side(narrow, "a"), "a").filter(fits).select("a", "b")
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with similarity of at least `percent` / 100 by full sets. `b` is the side that
+    few pairs share, so its set is fetched first."""
     shared = F.size(F.array_intersect("items_a", "items_b"))
     enough = 100 * shared >= percent * (F.size("items_a") + F.size("items_b") - shared)
-    return likely.join(side("b", sets), "b").join(side("a", sets), "a").filter(enough).select("a", "b")
+    return likely.join(_side(sets, "b"), "b").join(_side(sets, "a"), "a").filter(enough).select("a", "b")
 
 
 def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,13 +230,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(_sets(plain, wanted), "sets")
     centre = stored(shared.join(degree, "node").groupBy("key").agg(F.max_by("node", "degree").alias("a")), "centres")
     star = shared.select("key", F.col("node").alias("b")).join(centre, "key").filter("a <> b").select("a", "b").distinct()
-    links = stored(_confirmed(star, nodes, sets, percent), "links")
+    links = stored(_confirmed(stored(_likely(star, nodes, percent), "likely"), sets, percent), "links")
     first = connected_components(links, "a", "b")
 
     placed = shared.join(first, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     mixed = stored(_mixed(placed), "mixed")
     placed = stored(_linkable(mixed, sets, percent), "linkable")
-    more = _confirmed(_pairs(_mixed(placed), nodes, percent), nodes, sets, percent)
+    more = _confirmed(stored(_pairs(_mixed(placed), nodes, percent), "pairs"), sets, percent)
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
     final = connected_components(joined, "a", "b")
     discard(shared, degree, wanted, centre, links, sets, mixed, placed)
