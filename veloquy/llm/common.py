@@ -22,6 +22,19 @@ def crc_mod(column: str, mod: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % mod, F.lit(0).cast("long"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with columns c0, c1, ..., which no name that an operator uses can clash with."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def renamed(out: DataFrame, docs: DataFrame, **added: Column | str) -> DataFrame:
+    """`out`, made from `numbered(docs)`, with the names of `docs` again and the columns `added`,
+    each in place of a column of its name that `docs` may have, as withColumn does."""
+    new = {name.lower() for name in added}
+    old = [F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns) if name.lower() not in new]
+    return out.select(*old, *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in added.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 

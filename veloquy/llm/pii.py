@@ -7,12 +7,13 @@ or three groups of 3, 3 and 4 digits; 8 to 15 digits), social security numbers,
 one or two digits; real calendar days only) and e-mail addresses. Each value's digits (for e-mail: letters and
 digits of the local part) are permuted by alternating modular additions of a keyed hash, a
 bijection of the values of its format: equal values stay linked across documents, different
-ones stay different, and a card keeps a valid check digit, a date stays a date. What fails its
+ones stay different, a card keeps a valid check digit, a social security number stays a valid one
+and a date a date. The domain of an e-mail address stays as it is. What fails its
 validation stays as it is; digits that only might have been a card are searched for the other kinds.
 
 Defined results: null text stays null, with no counts; empty text stays empty. No row is
 compared with another, so ties, repeated rows and other columns don't matter; all columns are
-carried along. An empty table gives an empty result.
+carried along, but `pii` takes the place of a column of that name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered, renamed
+
 ROUNDS = 10
 KINDS = ("email", "card", "phone", "ssn", "ip", "date")
 _L, _R = r"(?<![0-9A-Za-z])(?<![0-9][.+\-])", r"(?![0-9A-Za-z])"
@@ -44,11 +47,17 @@ PATTERNS = {
 #: Separators anywhere; only the Luhn check tells such cards from other numbers in a row.
 _LOOSE_CARD = _L + r"[0-9](?:[ .\-]?[0-9]){12,18}(?![ .\-]?[0-9A-Za-z])"
 _STRICT = "|".join(PATTERNS[k] for k in PATTERNS if k != "email")
-_DIGITS = _STRICT + "|" + _LOOSE_CARD
+#: The look-ahead spares the alternatives at all places that no number starts at.
+_DIGITS = "(?=[0-9+(])(?:" + _STRICT + "|" + _LOOSE_CARD + ")"
 _ALL = PATTERNS["email"] + "|" + _DIGITS
 _FIRST_DAY, _LEFT_DAYS, _RIGHT_DAYS = "1900-01-01", 17, 4297  # 17 * 4297 days reach to 2099-12-31
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.transform(F.array(x), f).getItem(0)
+
+
 def _round(key: str, tweak: Column, i: Column, x: Column, mod: Column) -> Column:
     """A keyed hash of one half below `mod`."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), x.cast("string")), 256)
@@ -73,67 +82,91 @@ def _ten(n: Column) -> Column:
 
 def permuted_digits(key: str, kind: str, digits: Column) -> Column:
     """The digit string's image among digit strings of its length (2 to 36)."""
-    n = F.length(digits)
-    u = F.floor(n / 2).cast("int")
-    out = feistel(key, F.concat(F.lit(kind), n.cast("string")), F.substring(digits, F.lit(1), u).cast("long"), F.substring(digits, u + 1, n - u).cast("long"), _ten(u), _ten(n - u))
-    return F.concat(F.lpad(out.l.cast("string"), u, "0"), F.lpad(out.r.cast("string"), n - u, "0"))
+
+    def moved(d: Column) -> Column:
+        n = F.length(d)
+        u = F.floor(n / 2).cast("int")
+        out = feistel(key, F.concat(F.lit(kind), n.cast("string")), F.substring(d, F.lit(1), u).cast("long"), F.substring(d, u + 1, n - u).cast("long"), _ten(u), _ten(n - u))
+        return _let(out, lambda o: F.concat(F.lpad(o.l.cast("string"), u, "0"), F.lpad(o.r.cast("string"), n - u, "0")))
+
+    return _let(digits, moved)
 
 
 def _luhn_sum(digits: Column) -> Column:
     """Luhn sum of a string with its check digit."""
-    n = F.length(digits)
 
-    def add(s: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int")
-        twice = (n - i) % 2 == 1
-        return s + F.when(twice, 2 * d - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+    def summed(own: Column) -> Column:
+        n = F.length(own)
+
+        def add(s: Column, i: Column) -> Column:
+            d = F.substring(own, i, F.lit(1)).cast("int")
+            twice = (n - i) % 2 == 1
+            return s + F.when(twice, 2 * d - F.when(d > 4, 9).otherwise(0)).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+
+    return _let(digits, summed)
 
 
 def _refilled(shape: Column, digits: Column) -> Column:
     """`shape` with its digits replaced, in order, by those of `digits`."""
 
-    def at(i: Column) -> Column:
-        c = F.substring(shape, i, F.lit(1))
-        before = F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), "[^0-9]", ""))
-        return F.when(c.rlike("[0-9]"), F.substring(digits, before, F.lit(1))).otherwise(c)
+    def filled(own: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            digit = c.between("0", "9")
+            return F.struct(F.concat(s.out, F.when(digit, F.substring(own, s.at, F.lit(1))).otherwise(c)).alias("out"), (s.at + digit.cast("int")).alias("at"))
+
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s.out)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), at), "")
+    return _let(digits, filled)
+
+
+def _only_digits(m: Column) -> Column:
+    return F.translate(m, "+-.() ", "")
 
 
 def _card(key: str, m: Column) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    body = permuted_digits(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
-    check = F.pmod(10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    return F.when(_luhn_sum(digits) % 10 == 0, _refilled(m, F.concat(body, check.cast("string"))))
+    def shown(digits: Column) -> Column:
+        body = permuted_digits(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
+        check = lambda b: F.pmod(10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10))
+        return F.when(_luhn_sum(digits) % 10 == 0, _refilled(m, _let(body, lambda b: F.concat(b, check(b).cast("string")))))
+
+    return _let(_only_digits(m), shown)
 
 
 def _phone(key: str, m: Column) -> Column:
     """Country code or trunk zero stay, the rest is permuted."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    kept = F.regexp_replace(F.regexp_extract(m, r"^(?:\+[0-9]{1,3}(?=[ .\-(])|\+[0-9]|1(?=[ .\-(])|0(?=[0-9]))", 0), "[^0-9]", "")
-    own = F.substring(digits, F.length(kept) + 1, F.length(digits))
-    return F.when(F.length(digits).between(8, 15), _refilled(m, F.concat(kept, permuted_digits(key, "phone", own))))
+    kept = _only_digits(F.regexp_extract(m, r"^(?:\+[0-9]{1,3}(?=[ .\-(])|\+[0-9]|1(?=[ .\-(])|0(?=[0-9]))", 0))
+
+    def shown(x: Column) -> Column:
+        own = F.substring(x.digits, F.length(x.kept) + 1, F.length(x.digits))
+        return F.when(F.length(x.digits).between(8, 15), _refilled(m, F.concat(x.kept, permuted_digits(key, "phone", own))))
+
+    return _let(F.struct(_only_digits(m).alias("digits"), kept.alias("kept")), shown)
 
 
 def _ssn(key: str, m: Column) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    real = ~m.rlike("^(000|666|9)") & ~m.rlike("-00-") & ~m.rlike("-0000$")
-    return F.when(real, _refilled(m, permuted_digits(key, "ssn", digits)))
+    """Permuted among the valid numbers: areas 001 to 899 but 666, groups from 01, serials from 0001."""
+    area, group, serial = (F.split(m, "-").getItem(i).cast("long") for i in range(3))
+    real = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
+    out = feistel(key, F.lit("ssn"), place, serial - 1, F.lit(898 * 99), F.lit(9999))
+
+    def shown(o: Column) -> Column:
+        rank = F.floor(o.l / 99)
+        return F.format_string("%03d-%02d-%04d", rank + F.when(rank >= 665, 2).otherwise(1), o.l % 99 + 1, o.r + 1)
+
+    return F.when(real, _let(out, shown))
 
 
 def _ip(key: str, m: Column) -> Column:
-    part = lambda i: F.split(m, r"\.").getItem(i).cast("long")
-    out = feistel(key, F.lit("ip"), part(0) * 256 + part(1), part(2) * 256 + part(3), F.lit(65536), F.lit(65536))
     text = lambda x: F.concat_ws(".", F.floor(x / 256).cast("string"), (x % 256).cast("string"))
-    real = (part(0) < 256) & (part(1) < 256) & (part(2) < 256) & (part(3) < 256)
-    return F.when(real, F.concat_ws(".", text(out.l), text(out.r)))
 
+    def shown(p: Column) -> Column:
+        out = feistel(key, F.lit("ip"), p[0] * 256 + p[1], p[2] * 256 + p[3], F.lit(65536), F.lit(65536))
+        return F.when((p[0] < 256) & (p[1] < 256) & (p[2] < 256) & (p[3] < 256), _let(out, lambda o: F.concat_ws(".", text(o.l), text(o.r))))
 
-def _let(x: Column, f) -> Column:
-    """f(x) with x computed once."""
-    return F.transform(F.array(x), f).getItem(0)
+    return _let(F.split(m, r"\.").cast("array<long>"), shown)
 
 
 def _date(key: str, m: Column) -> Column:
@@ -186,7 +219,7 @@ def _email(key: str, m: Column) -> Column:
 
     start = F.struct(F.substring(local, F.lit(1), cut).alias("l"), F.substring(local, cut + 1, n).alias("r"))
     out = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return F.concat(out.l, out.r, F.lit("@"), domain)
+    return _let(out, lambda o: F.concat(o.l, o.r, F.lit("@"), domain))
 
 
 _MAKERS = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
@@ -196,18 +229,20 @@ def _kind(m: Column) -> Column:
     kind = F.when(m.contains("@"), "email").when(m.contains("(") | m.startswith("+"), "phone").when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
     kind = kind.when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
     kind = kind.when(m.rlike(r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([/.])[0-9]{1,2}\2[0-9]{4})$"), "date")
-    return kind.when(F.length(F.regexp_replace(m, "[^0-9]", "")) < 13, "phone").otherwise("card")
+    return kind.when(F.length(_only_digits(m)) < 13, "phone").otherwise("card")
 
 
 def _found(key: str, text: Column, pattern: str) -> Column:
     """Array of struct(kind, old, new) for each match; `new` is null where validation fails."""
 
     def one(m: Column) -> Column:
-        kind = _kind(m)
-        new = F.lit(None).cast("string")
-        for name in KINDS:
-            new = F.when(kind == name, _MAKERS[name](key, m)).otherwise(new)
-        return F.struct(kind.alias("kind"), m.alias("old"), new.alias("new"))
+        def made(kind: Column) -> Column:
+            new = F.lit(None).cast("string")
+            for name in KINDS:
+                new = F.when(kind == name, _MAKERS[name](key, m)).otherwise(new)
+            return F.struct(kind.alias("kind"), m.alias("old"), new.alias("new"))
+
+        return _let(_kind(m), made)
 
     return F.transform(F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0)), one)
 
@@ -227,12 +262,12 @@ def _searched(key: str, text: Column, pattern: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with the text replaced and an array column `pii` of struct(kind, old, new) added."""
-    text = F.col(text_col).cast("string")
+    at = f"c{docs.columns.index(text_col)}"
+    text = F.col(at).cast("string")
     has = F.when(text.contains("@"), _searched(key, text, _ALL)).when(text.rlike("[0-9]"), _searched(key, text, _DIGITS))
     cut = F.when(text.contains("@"), F.split(text, _ALL, -1)).otherwise(F.split(text, _DIGITS, -1))
     shown = lambda pieces: F.array_join(F.transform(pieces, lambda f: F.coalesce(f.new, f.old)), "")
-    whole = F.array_join(F.flatten(F.zip_with(cut, "__found", lambda p, f: F.array(p, F.coalesce(shown(f), F.lit(""))))), "")
-    out = docs.withColumn("__found", has)
-    out = out.withColumn(text_col, F.when(F.size("__found") > 0, whole).otherwise(text))
-    pii = F.when(text.isNotNull(), F.filter(F.flatten(F.coalesce("__found", F.array())), lambda f: f.new.isNotNull()))
-    return out.withColumn("__pii", pii).drop("__found").select(*docs.columns, F.col("__pii").alias("pii"))
+    whole = F.array_join(F.flatten(F.zip_with(cut, "found", lambda p, f: F.array(p, F.coalesce(shown(f), F.lit(""))))), "")
+    out = numbered(docs).withColumn("found", has)
+    out = out.withColumn(at, F.when(F.size("found") > 0, whole).otherwise(text))
+    return renamed(out, docs, pii=F.when(F.col(at).isNotNull(), F.filter(F.flatten(F.coalesce("found", F.array())), lambda f: f.new.isNotNull())))
