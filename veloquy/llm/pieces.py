@@ -1,28 +1,31 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-Pieces are read from a model file. A unigram file's scores are log probabilities and are taken as
-they are; a BPE file's scores are merge ranks, of which Zipf's law makes log probabilities (see
-`zipf`), as sums of ranks would prefer many low-ranked fragments to one word. A text gets a space in front and is cut
-into units, each a run of spaces with what follows up to the next space (no piece crosses such a
-cut). Distinct units of one length are searched side by side: for every end position the hashes
-of all substrings that end there probe the sorted piece keys, the best sum of scores is taken
-over all starts at once, and its start is the backpointer (the earliest among equals). A
-character that no piece covers costs ten less than the least score and is written as byte pieces.
-
-The result is the segmentation of greatest total score, the one the unigram algorithm defines
-(for a BPE file it need not be the one that merging in order of rank gives). The space mark U+2581 itself, if it stands in a text, is written
-as bytes, so decoding gives back every text exactly.
+Pieces are read from a model file, of the unigram or the BPE kind. A text gets a space in front
+(if the file asks for it) and is cut into units, each a run of spaces with what follows up to the
+next space; no piece crosses such a cut. Distinct units of one length are searched side by side: for every end position
+the hashes of all substrings that end there probe the sorted piece keys, the best start is found
+for all units at once, and it is the backpointer (the earliest among equals).
+
+Unigram: the best sum of scores. A character that no piece covers costs ten less than the least
+score. BPE: scores of pieces are the order of merges and don't add up. Merging in that order ends
+in the one path on which every piece is what its own text merges to and no two neighbours would
+have merged otherwise; so a start counts only if the last piece before it may stand beside the new
+one (`_neighbours_hold`), and the search gives the pieces that merging gives. In both kinds
+uncovered characters are written as byte pieces.
+
+Other than the library, the space mark U+2581 itself, if it stands in a text, is written as bytes,
+so decoding gives back every text exactly. Files that ask for other normalisation, spaces at the
+end of words or pieces with spaces inside are refused.
 
 Defined results: null text gives null pieces, and null pieces decode to null; empty text gives
 no pieces and back. Texts are encoded one by one: repeated rows, ties and other columns change
-nothing; an empty table gives an empty result.
+nothing, but the added column takes the place of one of its name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textnum as tn
+from .common import numbered, renamed
 
 MARK = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 PENALTY = 10.0
-UNIGRAM = 1
+UNIGRAM, BPE = 1, 2
+#: Pairs of neighbours whose verdict a task remembers, as a power of two.
+MEMO_BITS = 18
 #: Units of one length that are searched together.
 SIDE_BY_SIDE = 20_000
 
@@ -65,34 +71,67 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
         at += size
 
 
+@dataclass
+class Merges:
+    """What tells which BPE pieces may be neighbours; by number of the sorted piece keys."""
+
+    rank: np.ndarray  # characters first, then pieces in order of merging
+    left: np.ndarray  # the two pieces that merge into one, -1 for a character
+    right: np.ndarray
+    sum: np.ndarray  # hash of the bytes before it is mixed
+    size: np.ndarray  # bytes
+    memo: tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class PieceModel:
     keys: np.ndarray  # sorted hashes of the pieces that match text
-    ids: np.ndarray  # their ids
+    ids: np.ndarray  # their ids; -1: a character that is only part of pieces
     scores: np.ndarray
     longest: int  # characters of the longest piece
     byte_ids: np.ndarray  # id of each byte's piece
     flat: np.ndarray  # bytes of all pieces as they decode
     bounds: np.ndarray
     missing: float
+    prefix: bool  # a space goes in front
+    merges: Merges | None = None
+
 
+def _merged(text: str, score: dict[str, float]) -> tuple[str, str] | None:
+    """The two parts that merge last into `text`; None if merging ends otherwise."""
+    parts = list(text)
+    while len(parts) > 2:
+        each = [score.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        best = max(range(len(each)), key=each.__getitem__)
+        if each[best] == -np.inf:
+            return None
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
 
-def zipf(scores: np.ndarray) -> np.ndarray:
-    """Log probabilities of pieces by Zipf's law from merge scores (higher: merged earlier)."""
-    rank = np.empty(len(scores))
-    rank[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
-    share = 1 / (rank + 2.7)
-    return np.log(share / share.sum()).astype(np.float32).astype(np.float64)
+
+def _keyed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, its unmixed form, size in bytes) of each text."""
+    data, offsets = tn.raw(pa.array(texts, pa.string()))
+    sums = tn.prefix(tn._BYTE_VALUE[data])
+    start, end = offsets[:-1], offsets[1:]
+    return tn.spans(sums, start, end), (sums[end] - sums[start]) * tn.powers(len(sums))[1][start], end - start
 
 
 def parse_model(data: bytes) -> PieceModel:
-    pieces, kind_of_model = [], UNIGRAM
+    pieces, trainer, rules = [], {}, {}
     for number, value in fields(data):
-        if number == 2:
-            kind_of_model = dict(fields(value)).get(3, UNIGRAM)
         if number == 1:
             one = dict(fields(value))
             pieces.append((one[1], float(np.frombuffer(one.get(2, b"\0" * 4), "<f4")[0]), one.get(3, NORMAL)))
+        elif number == 2:
+            trainer = dict(fields(value))
+        elif number == 3:
+            rules = dict(fields(value))
+    kind_of_model = trainer.get(3, UNIGRAM)
+    if kind_of_model not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and BPE models are known")
+    if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model changes texts in a way that decoding can't undo")
     shown, match, byte_ids = [], [], np.full(256, -1)
     for i, (raw, score, kind) in enumerate(pieces):
         if kind == BYTE:
@@ -102,24 +141,79 @@ def parse_model(data: bytes) -> PieceModel:
         elif kind in (NORMAL, USER):
             text = raw.replace(MARK, b" ")
             shown.append(text)
-            match.append((text, i, score))
+            match.append((text.decode(), i, score))
+            if kind == USER and kind_of_model == BPE or b" " in text.lstrip(b" "):
+                raise ValueError("pieces with spaces inside, and a user's own in a BPE model, are not known")
         else:
             shown.append(b"")
     if (byte_ids < 0).any():
         raise ValueError("the model has no piece for some bytes")
+    parts: dict[str, tuple[str, str] | None] = {}
+    if kind_of_model == BPE:
+        score_of = {t: s for t, _, s in match}
+        parts = {t: _merged(t, score_of) for t in score_of if len(t) > 1}
+        match = [m for m in match if len(m[0]) == 1 or parts[m[0]]]
+        match += [(c, -1, 0.0) for c in sorted({c for t, _, _ in match for c in t} - score_of.keys())]
     bounds = np.cumsum([0, *map(len, shown)])
-    texts = pa.array([t.decode() for t, _, _ in match])
-    data_, offsets = tn.raw(texts)
-    keys = tn.spans(tn.prefix(tn._BYTE_VALUE[data_]), offsets[:-1], offsets[1:])
+    keys, sums, sizes = _keyed([t for t, _, _ in match])
     order = np.argsort(keys)
     scores = np.array([s for _, _, s in match])
-    scores = scores if kind_of_model == UNIGRAM else zipf(scores)
-    return PieceModel(keys[order], np.array([i for _, i, _ in match])[order], scores[order], max(len(t.decode()) for t, _, _ in match), byte_ids, np.frombuffer(b"".join(shown), np.uint8), bounds, float(scores.min()) - PENALTY)
-
-
-@lru_cache(maxsize=2)
-def _parsed(data: bytes) -> PieceModel:
-    return parse_model(data)
+    merges = None
+    if kind_of_model == BPE:
+        texts = [match[i][0] for i in order]
+        place = {t: i for i, t in enumerate(texts)}
+        by_rank = sorted(range(len(texts)), key=lambda i: (len(texts[i]) > 1, -scores[order[i]] if len(texts[i]) > 1 else 0.0, i))
+        rank = np.empty(len(texts), np.int64)
+        rank[by_rank] = np.arange(len(texts))
+        split = np.array([[place[x] for x in parts[t]] if parts.get(t) else [-1, -1] for t in texts])
+        merges = Merges(rank, split[:, 0], split[:, 1], sums[order], sizes[order], (np.full(1 << MEMO_BITS, -1), np.zeros(1 << MEMO_BITS, bool)))
+    least = float(scores.min()) - PENALTY
+    return PieceModel(keys[order], np.array([i for _, i, _ in match])[order], scores[order], max(len(t) for t, _, _ in match), byte_ids, np.frombuffer(b"".join(shown), np.uint8), bounds, least, bool(rules.get(3, 1)), merges)
+
+
+def _neighbours_hold(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether merging the text of pieces `a` and `b` ends in just these two: from the cut, down
+    the parts on either side, no two that meet merge before the later one of them was made."""
+    m = model.merges
+    hold = np.ones(len(a), bool)
+    at, limit = np.arange(len(a)), np.full(len(a), len(m.rank))
+    a, b = a.copy(), b.copy()
+    power = tn.powers(int(m.size.max()) + 1)[0]
+    while len(at):
+        size = m.size[a] + m.size[b]
+        key = tn.mix64(m.sum[a] + power[m.size[a]] * m.sum[b] + size.astype(np.uint64))
+        found = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+        broken = (model.keys[found] == key) & (m.rank[found] < limit)
+        hold[at[broken]] = False
+        go = ~broken
+        at, a, b = at[go], a[go], b[go]
+        rank_a, rank_b = m.rank[a], m.rank[b]
+        more_a, more_b = m.right[a] >= 0, m.left[b] >= 0
+        by_a = more_a & ((rank_a > rank_b) | ~more_b)
+        limit = np.where(by_a, rank_a, rank_b + 1)
+        a, b = np.where(by_a, m.right[a], a), np.where(by_a | ~more_b, b, m.left[b])
+        go = more_a | more_b
+        at, a, b, limit = at[go], a[go], b[go], limit[go]
+    return hold
+
+
+def _remembered(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`_neighbours_hold`, computed once for pairs met lately."""
+    pair = a.astype(np.int64) * len(model.keys) + b
+    slot = (tn.mix64(pair.astype(np.uint64)) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+    known, verdict = model.merges.memo
+    hold = verdict[slot]
+    new = np.flatnonzero(known[slot] != pair)
+    if len(new):
+        one, first, back = np.unique(pair[new], return_index=True, return_inverse=True)
+        made = _neighbours_hold(model, a[new[first]], b[new[first]])
+        hold[new] = made[back.reshape(-1)]
+        place = slot[new[first]]
+        known[place], verdict[place] = one, made
+        # Two pairs of one place: the last key stays, with its own verdict.
+        twice = known[place] == one
+        verdict[place[twice]] = made[twice]
+    return hold
 
 
 def _best(model: PieceModel, sums: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +229,19 @@ def _best(model: PieceModel, sums: np.ndarray, char: np.ndarray) -> tuple[np.nda
         key = tn.spans(sums, char[:, starts], char[:, [end]])
         at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
         found = model.keys[at] == key
-        value = np.where(found, model.scores[at], -np.inf)
-        value[:, -1] = np.where(found[:, -1], value[:, -1], model.missing)
-        value = value + total[:, starts]
+        if model.merges is None:
+            value = np.where(found, model.scores[at], -np.inf)
+            value[:, -1] = np.where(found[:, -1], value[:, -1], model.missing)
+            value = value + total[:, starts]
+        else:
+            row, col = np.nonzero(found)
+            last = piece[row, starts[col]]
+            check = np.flatnonzero((last >= 0) & (starts[col] > 0))
+            holds = np.ones(len(row), bool)
+            holds[check] = _remembered(model, last[check], at[row[check], col[check]])
+            value = np.full(found.shape, -np.inf)
+            value[row[holds], col[holds]] = 1.0
+            value[:, -1] = np.maximum(value[:, -1], 0.0)
         top = value.argmax(1)
         total[:, end] = value[rows, top]
         back[:, end] = starts[top]
@@ -165,7 +269,7 @@ def _units(model: PieceModel, data: np.ndarray, start: np.ndarray, end: np.ndarr
             rows, pos, place = np.arange(len(unit)), np.full(len(unit), n), np.zeros(len(unit), np.int64)
             while len(rows):
                 which, begin = piece[rows, pos], back[rows, pos]
-                whole = which >= 0
+                whole = (which >= 0) & (model.ids[which] >= 0)
                 held.append((unit[rows[whole]], place[rows[whole]], model.ids[which[whole]]))
                 lone = rows[~whole]
                 if len(lone):
@@ -198,10 +302,10 @@ def encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     plain, offsets = tn.raw(texts)
     size = np.diff(offsets)
     full = np.flatnonzero(size > 0)
-    shift = np.cumsum(size > 0)
-    data = np.full(len(plain) + len(full), 32, np.uint8)
+    shift = np.cumsum(size > 0) * model.prefix
+    data = np.full(len(plain) + len(full) * model.prefix, 32, np.uint8)
     data[np.arange(len(plain)) + np.repeat(shift, size)] = plain
-    doc_start = offsets[:-1][full] + np.arange(len(full))
+    doc_start = offsets[:-1][full] + np.arange(len(full)) * model.prefix
     space = data == 32
     begin = space.copy()
     begin[1:] &= ~space[:-1]
@@ -224,7 +328,7 @@ def decode(model: PieceModel, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.n
     data = model.flat[at]
     offsets = piece_bounds[bounds]
     keep = np.ones(len(data), bool)
-    full = np.diff(offsets) > 0
+    full = (np.diff(offsets) > 0) & model.prefix
     lead = offsets[:-1][full]
     keep[lead[data[lead] == 32]] = False
     kept = np.zeros(len(data) + 1, np.int64)
@@ -232,20 +336,18 @@ def decode(model: PieceModel, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.n
     return data[keep], kept[offsets]
 
 
-def _mapped(docs: DataFrame, column: str, name: str, kind: T.DataType, model_bytes: bytes, work) -> DataFrame:
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index(column)
-    shared = docs.sparkSession.sparkContext.broadcast(model_bytes)  # one model file
+def _mapped(docs: DataFrame, column: str, name: str, kind: T.DataType, model: bytes | PieceModel, work) -> DataFrame:
+    plain = numbered(docs)
+    at = plain.columns[docs.columns.index(column)]
+    shared = docs.sparkSession.sparkContext.broadcast(parse_model(model) if isinstance(model, bytes) else model)  # one model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _parsed(shared.value)
+        model = shared.value
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
-            for part in work(model, batch, names[at]):
-                yield pa.RecordBatch.from_arrays([*part[0].columns, part[1]], names=[*names, "made"])
+            for part in work(model, batch, at):
+                yield pa.RecordBatch.from_arrays([*part[0].columns, part[1]], names=[*part[0].schema.names, "made"])
 
-    inner = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), T.StructField("made", kind)])
-    return docs.toDF(*names).mapInArrow(run, inner).toDF(*docs.columns, name)
+    return renamed(plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField("made", kind)])), docs, **{name: "made"})
 
 
 def _nulls(valid: np.ndarray) -> pa.Buffer | None:
