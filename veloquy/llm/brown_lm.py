@@ -16,7 +16,7 @@ the probability of a word unseen in training. Each factor sums to one over the w
 one unseen word for each shape.
 
 Word counts cover all training texts and grow with them, so they are never broadcast: texts are
-dealt into blocks of about BLOCK_ROWS rows, each block asks for the counts of its distinct words
+dealt into blocks of about BLOCK_BYTES or BLOCK_ROWS, whichever is less, each block asks for the counts of its distinct words
 and classes by an equi-join on the word's 64-bit hash, and turns its texts into classes (a byte a
 token) and emissions with the answers. These are stored; transitions are counted and scored from
 them. Only the items' tables (their sizes are fixed by TOP, SHAPES and CLASSES) go to the driver
@@ -24,7 +24,7 @@ and back.
 
 Defined results: null text counts as empty and has the end token alone. Without training texts
 all counts are 0; each token then has base score 0 and model score 0. Equal counts are ordered
-by hash. Repeated rows give repeated results; other columns are not read; an empty table gives
+by hash. Repeated rows (of one id and text) share a block and give repeated results; other columns are not read; an empty table gives
 an empty result. Null ids are dealt to a block by their text.
 """
 
@@ -47,6 +47,8 @@ LEAST = 5
 SHAPES = 24
 CLASSES = 48
 PASSES = 8
+#: Bytes of text and rows of a block on average.
+BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 2000
 #: Training tokens whose words are placed by one task.
 BUCKET_TOKENS = 1_000_000
@@ -429,7 +431,8 @@ def brown_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     model = fit_brown(pairs, items, by_shape, n_tokens, n_words, cls, by_class)
     shared = spark.sparkContext.broadcast(model)  # its size is fixed by TOP, SHAPES and CLASSES
 
-    blocks = max(1, -(-plain.select("doc_id").count() // block_rows))
+    whole = plain.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-whole["rows"] // block_rows), -(-whole["bytes"] // BLOCK_BYTES))
     dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def wanted(table: pa.Table) -> pa.Table:

@@ -6,9 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows of one label that a model is fitted on, and most characters of all of them.
+#: Most rows of one label that a model is fitted on, most characters of all of them, and the
+#: longest text among them, so that no single draw outgrows the driver.
 ROWS_A_LABEL = 2000
 SAMPLE_CHARS = 8_000_000
+LONGEST = 400_000
 
 
 def _drawn(id_col: str, label_col: str, rates: dict, seed: int) -> Column:
@@ -23,10 +25,11 @@ def _drawn(id_col: str, label_col: str, rates: dict, seed: int) -> Column:
 def labelled_sample(rows: DataFrame, id_col: str, text_col: str, label_col: str, rows_a_label: int = ROWS_A_LABEL, most_chars: int = SAMPLE_CHARS, seed: int = 11) -> pd.DataFrame:
     """(text, label) of about `rows_a_label` rows of each label, chosen by a hash of the id.
 
-    Rows without label or text are left out. The sample's bound holds whatever the input's
-    size: labels with fewer rows are taken whole, others at the rate that gives the bound.
+    Rows without label or text, and texts of more than LONGEST characters, are not drawn. The
+    sample's bound holds whatever the input's size: labels with fewer rows are taken whole, others
+    at the rate that gives the bound. Without rows the sample is empty.
     """
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label")).filter("label is not null and text is not null")
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label")).filter(F.col("label").isNotNull() & (F.length("text") <= LONGEST))
     size = rows.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean")).collect()
     if not size:
         return pd.DataFrame({"text": pd.Series(dtype=str), "label": pd.Series(dtype=object)})

@@ -10,7 +10,8 @@ the share of those letters times the language's posterior over the whole text.
 Defined results: null text, empty text and text without a letter give `und`, score 0 and no
 spans. A script unseen in training leaves all languages as candidates. Among equal scores the
 language that sorts first wins. With no labelled row at all every text is `und`. Rows are judged
-one by one: repeated rows and other columns change nothing; an empty table gives an empty result.
+one by one: repeated rows and other columns change nothing, but `language` takes the place of a
+column of that name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textnum as tn
+from .common import numbered, renamed
 from .grams import distinct_words, means, strings, word_grams
 
 LENGTHS = (1, 2, 3, 4)
@@ -125,10 +127,10 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, switch: float = SWITCH) -> np.n
     begin, size = ptr[:-1][order], size[order]
     steps = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(steps), side="left")
-    best = np.zeros(len(scores), np.int8)
+    best = np.zeros(len(scores), np.int32)
     stays = np.zeros(scores.shape, bool)
     state = np.zeros((len(size), scores.shape[1]))
-    label = np.zeros(len(scores), np.int8)
+    label = np.zeros(len(scores), np.int32)
     for t in range(steps):
         m = active[t]
         at, now = begin[:m] + t, state[:m]
@@ -140,7 +142,7 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, switch: float = SWITCH) -> np.n
             stays[at] = keep
             now = np.where(keep, now, change)
         state[:m] = now + scores[at]
-    last = state.argmax(1).astype(np.int8)
+    last = state.argmax(1).astype(np.int32)
     for t in range(steps - 1, -1, -1):
         m = active[t]
         at = begin[:m] + t
@@ -183,9 +185,8 @@ def identify(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndar
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """`docs` with a struct column `language` (lang_pred, score, spans) added; no shuffle."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = numbered(docs)
     at = docs.columns.index(text_col)
-    struct = T.StructType.fromDDL(RESULT)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a few languages
     words = [*model.languages, UNKNOWN]
 
@@ -193,13 +194,12 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
         model = shared.value
         known = pa.array(words)
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
-            for part in tn.chunks(batch, names[at]):
+            for part in tn.chunks(batch, f"c{at}"):
                 pred, score, (bounds, lang, first, size) = identify(part.column(at), model)
                 one = pa.StructArray.from_arrays([known.take(pa.array(lang.astype(np.int64))), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=["lang", "first_word", "n_words"])
                 spans = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), one)
                 found = pa.StructArray.from_arrays([known.take(pa.array(np.where(pred < 0, len(words) - 1, pred))), pa.array(score), spans], names=["lang_pred", "score", "spans"])
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*names, "language"])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "language"])
 
-    inner = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), T.StructField("language", struct)])
-    return docs.toDF(*names).mapInArrow(run, inner).toDF(*docs.columns, "language")
+    inner = T.StructType([*plain.schema, T.StructField("language", T.StructType.fromDDL(RESULT))])
+    return renamed(plain.mapInArrow(run, inner), docs, language="language")

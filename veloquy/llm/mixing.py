@@ -15,7 +15,7 @@ only if Spark finds the plan too large to broadcast by its written size.
 
 Defined results: null text has size 0; the null source is a source of its own, last in order.
 Sources without words have target 0. Identical rows share a hash and are taken together. An
-empty table gives an empty result. Other columns are carried along in `mixed`.
+empty table gives an empty result. Other columns are carried along in `mixed`, but one named `mix`.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, numbered, renamed, stored
 
 EPOCHS = 3
 HASH_CELLS = 4096
@@ -98,14 +98,15 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """`docs` with a struct column `mix` (size, source_size, target, repeats) added."""
+    """`docs` with a struct column `mix` (size, source_size, target, repeats) added, in place of a
+    column of that name."""
     plan = stored(mixing_plan(docs, id_col, text_col, source_col, seed=seed, **options), "plan")
-    names = docs.columns
-    kept = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), order_key(id_col, text_col, seed).alias("mark"))
-    out = kept.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    name = {c: f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col)}
+    kept = numbered(docs).withColumns({"size": n_words(F.col(name[text_col])), "mark": order_key(name[id_col], name[text_col], seed)})
+    out = kept.join(plan.withColumnRenamed("source", "s"), F.col(name[source_col]).eqNullSafe(F.col("s")))
     again = (F.col("mark") <= F.col("cut")) | ((F.col("size") <= F.col("small")) & (F.col("mark") <= F.col("cut_small")))
     repeats = F.col("whole") + F.coalesce(again, F.lit(False)).cast("int")
-    return out.select(*[F.col("row").getField(n).alias(n) for n in names], F.struct("size", "source_size", "target", repeats.alias("repeats")).alias("mix"))
+    return renamed(out, docs, mix=F.struct("size", "source_size", "target", repeats.alias("repeats")))
 
 
 def repeated(docs: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ characters in words. A text fails where a share is over its limit.
 
 Defined results: a null text counts as empty; texts without words have coverage 0 and fail
 (too few words). Repeated rows give repeated results; ties don't arise, as no row is compared
-with another. Columns of the input other than those named are carried along or left out as the
-caller asks, whatever their names.
+with another. Columns of the input are carried along; `measures`, `base_failed` and `kept` take the
+place of columns of those names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as tn
+from .common import numbered, renamed
 
 #: n-gram length in words -> largest share of word characters inside repeated n-grams.
 COVERAGE_LIMITS = {5: 0.20, 7: 0.18, 10: 0.15}
@@ -87,23 +88,19 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def quality_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with a struct column `measures` (MEASURES) added; whole texts, no shuffle."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("measures", MEASURES)])
+def _measured(docs: DataFrame, text_col: str) -> DataFrame:
+    """`numbered(docs)` with a struct column `measures` (MEASURES); whole texts, no shuffle."""
+    plain = numbered(docs)
     at = docs.columns.index(text_col)
-    names = [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
-            for part in tn.chunks(batch, names[at]):
+            for part in tn.chunks(batch, f"c{at}"):
                 found = measure(part.column(at))
                 struct = pa.StructArray.from_arrays([pa.array(np.asarray(found[f.name], np.int64)) for f in MEASURES], names=[f.name for f in MEASURES])
-                yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*names, "measures"])
+                yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*part.schema.names, "measures"])
 
-    plain = docs.toDF(*names)
-    inner = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), schema[-1]])
-    return plain.mapInArrow(run, inner).toDF(*[f.name for f in schema])
+    return plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField("measures", MEASURES)]))
 
 
 def verdict(m: str = "measures") -> tuple[F.Column, F.Column]:
@@ -121,4 +118,4 @@ def verdict(m: str = "measures") -> tuple[F.Column, F.Column]:
 def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with `measures`, `base_failed` and `kept` added."""
     base, kept = verdict()
-    return quality_measures(docs, text_col).withColumns({"base_failed": base, "kept": kept})
+    return renamed(_measured(docs, text_col), docs, measures="measures", base_failed=base, kept=kept)

@@ -143,7 +143,14 @@ def chunks(batch: pa.RecordBatch, column: str, most_rows: int = 4000) -> Iterato
 
 
 def sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Sum of values[ptr[i]:ptr[i + 1]] for each i, also for empty slices."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    """Sum of values[ptr[i]:ptr[i + 1]] for each i, also for empty slices. Floats are added up
+    slice by slice, so equal slices have equal sums wherever they stand."""
+    if values.dtype.kind == "f":
+        out = np.zeros(len(ptr) - 1)
+        full = np.flatnonzero(np.diff(ptr) > 0)
+        if len(full):
+            out[full] = np.add.reduceat(values, ptr[:-1][full])
+        return out
+    total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[ptr[1:]] - total[ptr[:-1]]

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textnum as tn
+from .common import numbered, renamed
 from .grams import distinct_words, means, strings, word_grams
 
 LENGTHS = (3, 4, 5)
@@ -169,18 +170,18 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, prior: float | None = Non
 
 
 def with_score(docs: DataFrame, model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """`docs` with the model's score of each whole text added; no shuffle. The model has a
-    `score` method on Arrow string arrays and a size that doesn't grow with the data."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    """`docs` with the model's score of each whole text added, in place of a column of that name;
+    no shuffle. The model has a `score` method on Arrow string arrays and a size that doesn't grow
+    with the data."""
+    plain = numbered(docs)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
-            for part in tn.chunks(batch, names[at]):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.asarray(model.score(part.column(at)), np.float64))], names=[*names, "score"])
+            for part in tn.chunks(batch, f"c{at}"):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.asarray(model.score(part.column(at)), np.float64))], names=[*part.schema.names, "score"])
 
-    inner = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), T.StructField("score", T.DoubleType())])
-    return docs.toDF(*names).mapInArrow(run, inner).toDF(*docs.columns, name)
+    inner = T.StructType([*plain.schema, T.StructField("score", T.DoubleType())])
+    return renamed(plain.mapInArrow(run, inner), docs, **{name: "score"})
