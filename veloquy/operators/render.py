@@ -30,6 +30,10 @@ def hit_lines(rows: DataFrame, most_text: int = 140) -> DataFrame:
 
 
 def listing_lines(items: DataFrame) -> DataFrame:
-    """Listing by (date, house, id) with `new_date` true where a date begins."""
-    w = Window.orderBy("date", "house", "id")
-    return items.withColumn("new_date", ~F.lag("date").over(w).eqNullSafe(F.col("date"))).orderBy("date", "house", "id")
+    """Listing by (date, house, id) with `new_date` true where a date begins: at its first row,
+    found by the least (house, id) of each date and a count among rows that share it. Null dates
+    stand first and begin none."""
+    first = items.groupBy("date").agg(F.min(F.struct("house", "id")).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("date", "house", "id").orderBy(F.lit(0)))
+    begins = (F.struct("house", "id").eqNullSafe(F.col("__first"))) & (place == 1)
+    return items.join(first, "date", "left").withColumn("new_date", F.coalesce(begins & F.col("date").isNotNull(), F.lit(False))).drop("__first").orderBy("date", "house", "id")

@@ -4,30 +4,38 @@ Statistics (number of rows, mean length, document frequency) come from the rows
 metadata filters, before phrases are looked at. Terms are alternatives; a term given twice
 counts twice; without terms nothing is found. Only query terms are counted, inside the row that
 holds them, so no token is ever shuffled: one aggregate gives all statistics, and the scores are
-a projection and a top-k.
+a projection and a top-k. Without a column of tokens the text itself is read: lengths are counts
+of runs, and only rows whose lower-cased text contains a term at all are looked at for it.
+
+A table that is searched often is better indexed once, see `postings`.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veloquy.functions.query import Query
-from veloquy.functions.text import normal_date, regex_tokens
+from veloquy.functions.text import TOKEN, lowered, normal_date
 
 K1, B = 1.5, 0.75
 
 
 def filtered(rows: DataFrame, since: str | None = None, until: str | None = None, speaker: str | None = None, committee: str | None = None, house: str | None = None) -> DataFrame:
     """Metadata filters. Dates are compared as normalised strings, so an empty date passes
-    `until` and fails `since`; names and titles are matched as literal substrings."""
+    `until` and fails `since`; names and titles are matched as literal substrings. A column
+    `date` of type date or timestamp is compared as it is, so that the bounds reach the files."""
+    kind = dict(rows.dtypes).get("date")
+    typed = kind in ("date", "timestamp", "timestamp_ntz")
+    day = lambda text: F.to_date(normal_date(F.lit(text)))
     if since:
-        rows = rows.filter(normal_date(F.col("date")) >= normal_date(F.lit(since)))
+        rows = rows.filter(F.col("date") >= day(since) if typed else normal_date(F.col("date")) >= normal_date(F.lit(since)))
     if until:
-        rows = rows.filter(normal_date(F.col("date")) <= normal_date(F.lit(until)))
+        rows = rows.filter((F.col("date") < F.date_add(day(until), 1)) if typed else normal_date(F.col("date")) <= normal_date(F.lit(until)))
     if speaker:
         rows = rows.filter(F.coalesce("speaker_name", F.lit("")).contains(speaker))
     if committee:
@@ -37,40 +45,49 @@ def filtered(rows: DataFrame, since: str | None = None, until: str | None = None
     return rows
 
 
-def _frequency(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term)).cast("double")
+def _of_tokens(tokens: Column) -> tuple[Column, Callable[[str], Column], Callable[[str], Column]]:
+    """(length, whether a term occurs, how often) of an array of tokens."""
+    return F.size(tokens), lambda t: F.array_contains(tokens, t), lambda t: F.size(F.filter(tokens, lambda x: x == t))
+
 
+def _of_text(text: Column) -> tuple[Column, Callable[[str], Column], Callable[[str], Column]]:
+    """As `_of_tokens`, for the tokens of a text."""
+    low = lowered(text)
+    alone = lambda t: rf"(?<![\p{{L}}\p{{N}}])\Q{t}\E(?![\p{{L}}\p{{N}}])"
+    return F.regexp_count(low, F.lit(TOKEN)), lambda t: low.contains(t) & low.rlike(alone(t)), lambda t: F.when(low.contains(t), F.regexp_count(low, F.lit(alone(t)))).otherwise(0)
 
-def statistics(rows: DataFrame, terms: list[str], tokens: Column) -> DataFrame:
+
+def statistics(rows: DataFrame, terms: list[str], text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
     """One row: n, mean_length and df_i for each term, by one aggregate with partial sums."""
-    counts = [F.sum(F.array_contains(tokens, t).cast("long")).alias(f"df_{i}") for i, t in enumerate(terms)]
-    return rows.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("mean_length"), *counts)
+    length, has, _ = _of_text(F.col(text_col)) if tokens_col is None else _of_tokens(F.col(tokens_col))
+    counts = [F.sum(has(t).cast("long")).alias(f"df_{i}") for i, t in enumerate(terms)]
+    return rows.agg(F.count("*").alias("n"), F.avg(length).alias("mean_length"), *counts)
+
+
+def weight(n: Column, df: Column) -> Column:
+    """What a term counts by its document frequency."""
+    return F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
+
+
+def saturated(f: Column, length: Column, mean_length: Column, k1: float = K1, b: float = B) -> Column:
+    return (f * (k1 + 1)) / (f + k1 * (1 - b + b * length / mean_length))
 
 
 def bm25(rows: DataFrame, query: Query, text_col: str = "text", tokens_col: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """`rows` that match with a `score` column, unordered."""
-    if tokens_col is None:
-        rows, tokens_col, drop = rows.withColumn("__tokens", regex_tokens(F.col(text_col))), "__tokens", True
-    else:
-        drop = False
     times = Counter(query.terms)
     terms = sorted(times)
-    tokens = F.col(tokens_col)
     if not terms:
-        out = rows.filter(F.lit(False)).withColumn("score", F.lit(0.0))
-        return out.drop("__tokens") if drop else out
-    stats = F.broadcast(statistics(rows, terms, tokens))  # always one row
-    n, length = F.col("n").cast("double"), F.size(tokens) / F.col("mean_length")
-    parts = []
-    for i, term in enumerate(terms):
-        df, f = F.col(f"df_{i}").cast("double"), _frequency(tokens, term)
-        weight = F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
-        parts.append(times[term] * weight * (f * (k1 + 1)) / (f + k1 * (1 - b + b * length)))
-    matched = rows.filter(F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in terms])))
+        return rows.filter(F.lit(False)).withColumn("score", F.lit(0.0))
+    length, has, often = _of_text(F.col(text_col)) if tokens_col is None else _of_tokens(F.col(tokens_col))
+    stats = F.broadcast(statistics(rows, terms, text_col, tokens_col))  # always one row
+    matched = rows.filter(reduce(lambda x, y: x | y, [has(t) for t in terms]))
     for phrase in query.phrases:
         matched = matched.filter(F.col(text_col).contains(phrase))
-    out = matched.crossJoin(stats).withColumn("score", reduce(lambda x, y: x + y, parts))
-    return out.drop("n", "mean_length", *[f"df_{i}" for i in range(len(terms))], *(["__tokens"] if drop else []))
+    matched = matched.withColumns({"__length": length.cast("double"), **{f"__f{i}": often(t).cast("double") for i, t in enumerate(terms)}})
+    each = [times[t] * weight(F.col("n").cast("double"), F.col(f"df_{i}").cast("double")) * saturated(F.col(f"__f{i}"), F.col("__length"), F.col("mean_length"), k1, b) for i, t in enumerate(terms)]
+    out = matched.crossJoin(stats).withColumn("score", reduce(lambda x, y: x + y, each))
+    return out.select(*rows.columns, "score")
 
 
 def top(hits: DataFrame, k: int, *tie: str) -> DataFrame:

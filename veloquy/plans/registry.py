@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from veloquy.functions import text as tx
 from veloquy.functions.query import parse_query
 from veloquy.operators import attribution as at
-from veloquy.operators import catalog, render
+from veloquy.operators import catalog, postings, render
 from veloquy.operators import search as se
+from veloquy.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +94,25 @@ def bm25_all_scores(spark, sf_dir):
     return _hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "moron de", None)
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, postings.Index]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return docs, postings.build(docs, new_path(spark, "index"), "doc_id", metadata=("lang", "source"))
+
+
+@query(_bm25_sql({"clown": 1, "theration": 1, "moron": 1}))
+def postings_topk(spark, sf_dir):
+    _, index = _index(spark, sf_dir)
+    return postings.search(index, parse_query("theration clown moron")).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(_bm25_sql({"idiot": 2, "with": 1, "that": 1}, "lang = 'en' and contains(coalesce(source, ''), 'src1')", "contains(d.text, 'of the')"))
+def postings_filtered(spark, sf_dir):
+    """Filters narrow what is counted, the phrase what is found."""
+    docs, index = _index(spark, sf_dir)
+    where = (F.col("lang") == "en") & F.coalesce("source", F.lit("")).contains("src1")
+    return postings.search(index, parse_query('idiot with idiot that "of the"'), where=where, texts=docs).select("doc_id", F.round("score", 4).alias("score"))
+
+
 @query("select term, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by term")
 def term_df(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -102,7 +122,7 @@ def term_df(spark, sf_dir):
 @query("select count(*) as n, round(avg(len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))), 4) as mean_length from documents")
 def doc_len_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return se.statistics(docs, [], tx.regex_tokens(F.col("text"))).select("n", F.round("mean_length", 4).alias("mean_length"))
+    return se.statistics(docs, []).select("n", F.round("mean_length", 4).alias("mean_length"))
 
 
 @query("select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) where term in ('moron', 'clown', 'the') group by doc_id, term")
@@ -173,11 +193,13 @@ def ordered_transcript(spark, sf_dir):
     return at.ordered_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query("select conv_id, count(*) as n_turns, list_distinct(list(role order by turn)) is not null as has_roles, count(distinct role) as n_roles from conversations group by conv_id")
+@query("""with f as (select conv_id, role, min(turn) as first_turn from conversations group by conv_id, role)
+    select conv_id, string_agg(role, '>' order by first_turn) as roles, count(*) as n_roles from f group by conv_id""")
 def distinct_speakers(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    """Distinct roles in order of their first turn."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
     first = F.array_distinct(F.transform("r", lambda x: x.role))
-    return rows.select("conv_id", "n_turns", first.isNotNull().alias("has_roles"), F.size(first).cast("long").alias("n_roles"))
+    return rows.select("conv_id", F.array_join(first, ">").alias("roles"), F.size(first).cast("long").alias("n_roles"))
 
 
 # ---- windows, sets, joins ---------------------------------------------------------------
@@ -280,19 +302,21 @@ def ellipsis(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.ellipsis(F.col("text")).alias("text"))
 
 
-@query("select page_id, left(regexp_replace(regexp_replace(url, '[\\s　]+', '_', 'g'), '[\\\\/:*?\"<>|]', '', 'g'), 20) as name from pages")
+@query("select page_id, left(regexp_replace(regexp_replace(url, '[\\s　]+', '_', 'g'), '[\\\\/:*?\"<>|]', '', 'g'), 80) as name from pages")
 def safe_names(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.safe_name(F.col("url"), 20).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.safe_name(F.col("url")).alias("name"))
 
 
-@query("select conv_id, turn, replace(replace(replace(replace(url_encode(left(text, 60)), '+', '%20'), '%2F', '/'), '%7E', '~'), '*', '%2A') as code from conversations")
+@query("select conv_id, turn, replace(replace(replace(replace(url_encode(text), '+', '%20'), '%2F', '/'), '%7E', '~'), '*', '%2A') as code from conversations")
 def percent_encoded(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.percent_encoded(F.substring("text", 1, 60)).alias("code"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.percent_encoded(F.col("text")).alias("code"))
 
 
-@query("select o_orderkey, date_diff('day', o_orderdate::date, date '1999-01-01') as days from orders")
+@query("select o_orderkey, case when o_orderkey % 5 = 4 then null else date_diff('day', o_orderdate::date, date '1999-01-01') end as days from orders")
 def age_in_days(spark, sf_dir):
-    day = F.date_format("o_orderdate", "yyyy/M/d")
+    """Dates in four spellings, and one that is none of them."""
+    spelt = F.array(*[F.date_format("o_orderdate", p) for p in ("yyyy/M/d", "yyyy-MM-dd", "yyyyMMdd", "yyyy年M月d日", "d MMM yyyy")])
+    day = F.element_at(spelt, (F.col("o_orderkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.days_since(day, F.lit("1999-01-01").cast("date")).cast("long").alias("days"))
 
 
@@ -362,12 +386,21 @@ def patch_apply(spark, sf_dir):
     return catalog.patched(table(spark, sf_dir, "documents").select("doc_id", "text"), patches, "doc_id", "text", "ord").select("doc_id", "text", "changed")
 
 
-_ROLE_PARTS = (("chair", ("system",)), ("minister", ("assist",)))
+_ROLES = ("委員長", "理事", "財務大臣", "副大臣", "政府参考人", "内閣法制局長官", "警察庁次長", "議員", "", "_return")
+
+
+def _role_sql(role: str) -> str:
+    cases = "".join(f" when {' or '.join(f"contains({role}, '{p}')" for p in parts)} then '{name}'" for name, parts in tx.ROLE_CLASSES)
+    return f"case when {role} = '{tx.RETURN}' then 'questioner'{cases} else 'other' end"
+
+
+_ROLE_OF = f"list_extract({list(_ROLES)}, (conv_id * 7 + turn) % {len(_ROLES)} + 1)"
 
 
-@query("select conv_id, turn, case when role = 'user' then 'questioner' when contains(role, 'system') then 'chair' when contains(role, 'assist') then 'minister' else 'other' end as klass from conversations")
+@query(f"select conv_id, turn, {_role_sql(_ROLE_OF)} as klass from conversations")
 def role_classify(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.role_class(F.col("role"), _ROLE_PARTS, "user").alias("klass"))
+    role = F.element_at(F.array(*map(F.lit, _ROLES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(_ROLES) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.role_class(role).alias("klass"))
 
 
 @query("""select role, count(*) as n, count(distinct conv_id) as n_meetings, sum((length(text) > 200)::int)::bigint as n_long, sum(length(text))::bigint as n_chars from conversations group by role""")
@@ -383,10 +416,9 @@ def id_anchors(spark, sf_dir):
 
 
 @query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as date, case when lag(strftime(o_orderdate, '%Y-%m-%d')) over (order by strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority, o_orderkey::varchar) is distinct from strftime(o_orderdate, '%Y-%m-%d') then true else false end as new_date
-    from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1995-02-01'""")
+    from orders""")
 def listing_dates(spark, sf_dir):
-    month = table(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= "1995-01-01") & (F.col("o_orderdate") < "1995-02-01"))
-    items = month.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("house"), F.col("o_orderkey").cast("string").alias("id"))
+    items = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("house"), F.col("o_orderkey").cast("string").alias("id"))
     return render.listing_lines(items).select("o_orderkey", "date", "new_date")
 
 
