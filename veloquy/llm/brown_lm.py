@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import stored
+from .common import small_batches, stored
 
 TOP = 1000
 #: Uses in training from which a word has a class of its own.
@@ -411,7 +411,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def brown_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row for each row of `docs`; the model learns from those where `held_out` is false."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
+    plain = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     train = plain.filter(~F.col("held_out"))
     counts = stored(word_counts(train), "word-counts")
     n_tokens, n_words = (int(x or 0) for x in counts.agg(F.sum("count"), F.count("*")).first())

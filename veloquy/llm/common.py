@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veloquy.storage import discard as discard
+from veloquy.storage import shared_dir as shared_dir
+from veloquy.storage import stored as stored
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def crc_mod(column: str, mod: int) -> Column:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """`docs` with columns c0, c1, ..., which no name that an operator uses can clash with."""
-    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
 
 def renamed(out: DataFrame, docs: DataFrame, **added: Column | str) -> DataFrame:
@@ -35,38 +36,11 @@ def renamed(out: DataFrame, docs: DataFrame, **added: Column | str) -> DataFrame
     return out.select(*old, *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in added.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is missing, a local master (tests, one machine) gets a temporary folder;
-    any other master is refused, since its executors would each write to a disk of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="veloquy-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: short lineage, computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.stored_at = path
-    return found
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that `stored` gave and that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def small_batches(docs: DataFrame) -> DataFrame:
+    """`docs`; texts go to Python in Arrow batches of at most BATCH_ROWS rows from now on, as both
+    sides hold a batch of whole texts in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs

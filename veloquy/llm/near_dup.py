@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import discard, stored
+from .common import discard, small_batches, stored
 from .components import connected_components
 
 SHINGLE = 5
@@ -217,7 +217,7 @@ def _pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     classes = signatures(plain).filter("doc_id is not null and n_shingles > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 

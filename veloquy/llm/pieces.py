@@ -41,6 +41,8 @@ PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
 #: Pairs of neighbours whose verdict a task remembers, as a power of two.
 MEMO_BITS = 18
+#: Bytes of texts whose distinct units are searched once.
+TEXT_BYTES = 2 << 20
 #: Units of one length that are searched together.
 SIDE_BY_SIDE = 20_000
 
@@ -355,7 +357,7 @@ def _nulls(valid: np.ndarray) -> pa.Buffer | None:
 
 
 def _encode_parts(model, batch, column):
-    for part in tn.chunks(batch, column):
+    for part in tn.chunks(batch, column, most_bytes=TEXT_BYTES):
         texts = part.column(column)
         ids, bounds = encode(model, texts)
         buffers = [_nulls(texts.is_valid().to_numpy(zero_copy_only=False)), pa.py_buffer(bounds.astype(np.int32).tobytes())]

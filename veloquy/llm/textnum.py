@@ -18,7 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of texts that are looked at together; arrays of eight bytes for each stay near the caches.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _random = np.random.default_rng(20240607)
 _BYTE_VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,12 +131,12 @@ def windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
     return start, spans(prefix(hashes), start, start + n)
 
 
-def chunks(batch: pa.RecordBatch, column: str, most_rows: int = 4000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most CHUNK_BYTES of text (or one row) and `most_rows` rows."""
+def chunks(batch: pa.RecordBatch, column: str, most_rows: int = 4000, most_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `most_bytes` of text (or one row) and `most_rows` rows."""
     offsets = raw(batch.column(column))[1]
     at = 0
     while at < batch.num_rows:
-        to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + most_bytes, side="right")) - 1
         to = min(max(to, at + 1), at + most_rows, batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
