@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ def first_of(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFram
 
 
 def with_status(items: DataFrame, fetched: DataFrame, keys: list[str], *newest: Column | str) -> DataFrame:
-    """`items` with `fetched` true where a row of that table (the first by `newest`) has its keys."""
+    """`items` with `fetched` true where a row of that table (the first by `newest`) has its keys.
+    Rows of blank keys have been fetched for nobody."""
+    for key in keys:
+        fetched = fetched.filter(F.btrim(F.col(key).cast("string")) != "")
     known = first_of(fetched.select(*keys, *[c for c in fetched.columns if c not in keys]), keys, *newest).select(*keys, F.lit(True).alias("fetched"))
     return items.join(known, keys, "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
 
@@ -28,13 +33,14 @@ def only_fetched(items: DataFrame, fetched: DataFrame, keys: list[str]) -> DataF
 
 def by_priority(tables: list[DataFrame], key: str, keep_all_of_first: bool = True) -> DataFrame:
     """Union of tables of one schema; a key that an earlier table has is left out of later ones.
-    Repeats within the first table stay if asked."""
+    Repeats within the first table stay if asked; of other repeats the least row stays."""
     tagged = [t.withColumn("priority", F.lit(i)) for i, t in enumerate(tables)]
     whole = tagged[0]
     for t in tagged[1:]:
         whole = whole.unionByName(t)
     w = Window.partitionBy(key)
-    ranked = whole.withColumn("__least", F.min("priority").over(w)).withColumn("__n", F.row_number().over(w.orderBy("priority")))
+    rest = [F.col(c) for c in tables[0].columns if c != key]
+    ranked = whole.withColumn("__least", F.min("priority").over(w)).withColumn("__n", F.row_number().over(w.orderBy("priority", *rest)))
     first = (F.col("priority") == 0) & F.lit(keep_all_of_first)
     return ranked.filter(first | ((F.col("__n") == 1) & (F.col("priority") == F.col("__least")))).drop("__least", "__n")
 
@@ -74,3 +80,57 @@ def calendar(spark, start: str, end: str, most_days: int = 60) -> DataFrame:
     low, high = sorted((start, end))
     days = F.sequence(F.greatest(F.to_date(F.lit(low)), F.date_sub(F.to_date(F.lit(high)), most_days)), F.to_date(F.lit(high)))
     return spark.range(1).select(F.explode(days).alias("day"))
+
+
+def listing_range(today: date, on: date | None = None, since: date | None = None, until: date | None = None, days: int = 7) -> tuple[date, date]:
+    """First and last day of a listing: one day if `on` is given; else missing ends are `days`
+    before today, and today."""
+    if on is not None:
+        return on, on
+    return since or today - timedelta(days=days), until or today
+
+
+def suggestions(items: DataFrame, query: str, k: int = 10, order: tuple[str, ...] = ("date", "house", "id")) -> DataFrame:
+    """The first `k` items not fetched yet whose title has the first word of a query in it."""
+    words = query.replace('"', "").split()
+    rows = items.filter(~F.coalesce("fetched", F.lit(False)))
+    if words:
+        rows = rows.filter(F.col("title").contains(words[0]))
+    return rows.orderBy(*order).limit(k)
+
+
+def unfinished(items: DataFrame, files: DataFrame, keys: list[str], kinds: list[str], kind: str = "kind") -> DataFrame:
+    """`items` that lack a file of one of `kinds`; `files` has a row (keys, kind) for each file."""
+    whole = files.filter(F.col(kind).isin(kinds)).groupBy(*keys).agg(F.count_distinct(kind).alias("__n")).filter(F.col("__n") == len(set(kinds)))
+    return items.join(whole.select(*keys), keys, "left_anti")
+
+
+def resolved(items: DataFrame, key: str) -> DataFrame:
+    """Items whose id is known."""
+    return items.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+
+
+def changes(rows: DataFrame, *by: str, **changed: Column) -> DataFrame:
+    """How many rows each step changed: one sum of a condition for each name, by group if asked."""
+    return rows.groupBy(*by).agg(*[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(name) for name, c in changed.items()])
+
+
+def last_known(known: DataFrame, id_col: str = "sid", valid: str = "valid") -> DataFrame:
+    """The greatest valid id, one row."""
+    return known.filter(valid).agg(F.max(id_col).alias(id_col))
+
+
+def ids_on(known: DataFrame, day: str, id_col: str = "sid", valid: str = "valid") -> DataFrame:
+    """Valid ids of one day, in order."""
+    return known.filter(F.col(valid) & (F.col("date") == day)).select(id_col, "name").orderBy(id_col)
+
+
+def sid_pages(pages: DataFrame, id_col: str = "sid", html: str = "html", least: int = 500) -> DataFrame:
+    """(sid, date, name, valid) of fetched pages; short pages and those without a date are not
+    valid, and pages that could not be fetched (null) are not remembered at all."""
+    from veloquy.functions.text import labelled_value, normal_date
+    from veloquy.sources.pages import DATE_LABEL, TITLE_LABEL
+
+    day = F.coalesce(normal_date(labelled_value(F.col(html), DATE_LABEL)), F.lit(""))
+    rows = pages.filter(F.col(html).isNotNull()).select(id_col, day.alias("date"), F.coalesce(labelled_value(F.col(html), TITLE_LABEL), F.lit("")).alias("name"), F.length(html).alias("__n"))
+    return rows.withColumn("valid", (F.col("__n") >= least) & (F.col("date") != "")).drop("__n")

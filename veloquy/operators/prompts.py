@@ -103,3 +103,23 @@ def turns(sections: DataFrame, key: str, text: str, primary: str, calls: str) ->
     back = (F.col("call.role_str") == RETURN) | (F.col("call.name") == F.col(primary))
     out = each.select(key, "at", F.when(back, F.col(primary)).otherwise(F.col("call.name")).alias("speaker"), F.when(back, "questioner").otherwise(role_class(F.col("call.role_str"))).alias("klass"), F.when(back, "議員").otherwise(F.col("call.role_str")).alias("role"), part.alias("text"))
     return out.filter("text <> ''")
+
+
+def correction_requests(cues: DataFrame, by: str, order: str, text: str, context: Column | None = None, size: int = 8) -> DataFrame:
+    """(by, batch, value): JSON requests of `size` cues each; ids count from 0 in a request."""
+    from veloquy.operators.catalog import batches
+
+    each = batches(cues.select(by, order, text), by, order, size)
+    found = each.groupBy(by, "batch").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(text).alias("t")))).alias("all"))
+    listed = F.transform("all", lambda x, i: F.struct(i.alias("id"), x["t"].alias("text"))).alias("cues")
+    return found.select(by, "batch", F.to_json(F.struct(listed, (F.lit(None).cast("string") if context is None else F.nullif(context, F.lit(""))).alias("context"))).alias("value"))
+
+
+def smoke_report(turns: DataFrame, section: str, text: str, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of turns (section, speaker, klass, role, text): the `k` most frequent roles, the respondents
+    in order, and sections of over 200 characters in which nobody answers."""
+    roles = turns.groupBy("role").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "role").limit(k)
+    answers = F.col("klass") != "questioner"
+    respondents = turns.filter(answers).select("speaker").distinct().orderBy("speaker")
+    silent = turns.groupBy(section).agg(F.sum(F.length(text)).alias("n_chars"), F.max(answers).alias("answered")).filter(~F.col("answered") & (F.col("n_chars") > 200))
+    return roles, respondents, silent.select(section, "n_chars")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloquy.functions.text import clock, days_since, ellipsis, jump_url
@@ -37,3 +37,46 @@ def listing_lines(items: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("date", "house", "id").orderBy(F.lit(0)))
     begins = (F.struct("house", "id").eqNullSafe(F.col("__first"))) & (place == 1)
     return items.join(first, "date", "left").withColumn("new_date", F.coalesce(begins & F.col("date").isNotNull(), F.lit(False))).drop("__first").orderBy("date", "house", "id")
+
+
+def compact_meta(rows: DataFrame) -> DataFrame:
+    """What other tools need of a meeting, one JSON object a row; what is empty is left out."""
+    some = lambda name: F.when(F.coalesce(F.col(name), F.lit("")) != "", F.col(name)).alias(name)
+    full = lambda name, column: F.when(F.size(name) > 0, column).alias(name)
+    speakers = F.transform("speakers", lambda s: F.struct(s.start.alias("start"), s["name"].alias("name"), s["group"].alias("group")))
+    return rows.select(F.to_json(F.struct(some("date"), some("title"), some("deli_id"), full("speakers", speakers), full("agenda", F.col("agenda")))).alias("value"))
+
+
+def speaker_events(rows: DataFrame, key: str) -> DataFrame:
+    """(key, i, value): one JSON line for each speaker of a meeting, in order."""
+    each = rows.select(key, F.posexplode("speakers").alias("i", "s"))
+    line = F.struct(F.lit("speaker").alias("type"), F.col("i"), F.col("s.start").alias("start"), F.col("s.name").alias("name"), F.col("s.group").alias("group"))
+    return each.select(key, "i", F.to_json(line, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def meta_records(rows: DataFrame, phase: str, generated_at: Column) -> DataFrame:
+    """(house, id, value): the metadata file of each meeting. Meetings that are on, or have no
+    speakers yet, are marked to be fetched again."""
+    live = F.coalesce("is_live", F.lit(False)) | (F.coalesce(F.size("speakers"), F.lit(0)) < 1)
+    text = lambda name: F.coalesce(F.col(name), F.lit("")).alias(name)
+    pipeline = F.struct(F.lit(phase).alias("phase"), F.when(live, F.lit(True)).alias("live")).alias("pipeline")
+    record = F.struct("house", "id", text("date"), text("title"), "page_url", F.coalesce("speakers", F.array().cast(dict(rows.dtypes)["speakers"])).alias("speakers"), "files", pipeline, generated_at.alias("generated_at"))
+    return rows.select("house", "id", F.to_json(record).alias("value"))
+
+
+def transcript_records(rows: DataFrame) -> DataFrame:
+    """(deli_id, value): the transcript of each meeting with its cues as recognised."""
+    return rows.select("deli_id", F.to_json(F.struct("deli_id", "title", "date", "hint", "cues"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_records(records: DataFrame, path: str, *by: str) -> None:
+    """Write the JSON of `value` as lines, in folders by the columns `by`."""
+    records.select(*by, "value").write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def duration_label(seconds: Column) -> Column:
+    """`H時間M分`, `M分S秒` or `S秒`, seconds rounded towards zero."""
+    s = seconds.cast("long")
+    h, m = F.floor(s / 3600), F.floor(s / 60) % 60
+    text = lambda *xs: F.concat(*[x.cast("string") if i % 2 == 0 else F.lit(x) for i, x in enumerate(xs)])
+    return F.when(h > 0, text(h, "時間", m, "分")).when(m > 0, text(m, "分", s % 60, "秒")).otherwise(text(s, "秒"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veloquy.functions import text as tx
@@ -358,24 +358,59 @@ def inline_loop(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", clean.alias("text"), (clean != F.col("text")).alias("changed"))
 
 
-@query()
+_EDGE = "'" + tx.TRIMMED.replace("\t", "").replace("\n", "") + "' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_SAID = "case when turn % 5 = 0 then 'ご視聴ありがとうございました。' when turn % 5 = 1 then repeat(role, 4) when turn % 5 = 2 then repeat('Thanks for watching', 2) else text end"
+
+
+@query(f"""with t as (select conv_id, turn, trim(coalesce({_SAID}, ''), {_EDGE}) as t from conversations)
+    select conv_id, turn, t <> '' and (t in {tx.INVENTED_PHRASES} or len(list_filter(range(2, 41), lambda u : length(t) % u = 0 and length(t) // u >= 3 and not contains(left(t, u), chr(10)) and repeat(left(t, u), length(t) // u) = t)) > 0
+        or len(list_filter({list(tx.INVENTED_PHRASES)}, lambda p : contains(t, p) and trim(replace(t, p, ''), {_EDGE}) = '')) > 0) as invented from t""")
 def hallucination_repeat(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_invented(F.col("text")).alias("invented"))
+    """Turns, every fifth an invented phrase, every fifth a word over and over."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_invented(F.expr(_SAID)).alias("invented"))
 
 
-@query()
+def _cues(rows: DataFrame) -> DataFrame:
+    """(conv_id, cues) of turns (conv_id, turn, said)."""
+    cues = F.transform(F.array_sort(F.collect_list(F.struct("turn", "said"))), lambda c: F.struct(c.turn.cast("double").alias("start"), (c.turn + 1).cast("double").alias("end"), c.said.alias("text")))
+    return rows.groupBy("conv_id").agg(cues.alias("cues"))
+
+
+def _fold_sql(said: str, step: str, shown: str = "s.text") -> str:
+    """SQL of a fold over each conversation's cues; `step` is the new list from `acc` and `x`."""
+    return f"""
+    with c as (select *, lag(text) over (partition by conv_id order by turn) as before from conversations),
+    l as (select conv_id, list({{'start': turn::double, 'end': (turn + 1)::double, 'text': {said}}} order by turn) as cues from c group by conv_id),
+    f as (select conv_id, list_reduce(list_transform(cues, lambda y : [y]), lambda acc, x : {step}) as kept from l),
+    e as (select conv_id, unnest(kept) as s, generate_subscripts(kept, 1) - 1 as place from f)
+    select conv_id, place::int as place, s.start as start, s."end" as "end", {shown} as text from e"""
+
+
+_ENDING = "case when turn % 3 = 2 then ' と思います' when turn % 3 = 1 then ' です。' else '' end"
+_ENDS = f"regexp_matches(regexp_replace(acc[-1].text, '[ \\t]+', '', 'g'), '(?:{'|'.join(tx.SENTENCE_ENDS)})[。！？]?$')"
+_NO_BLANKS = "regexp_replace(s.text, '[ \\t]+', '', 'g')"
+
+
+@query(_fold_sql(f"text || {_ENDING}", f"""case when {_ENDS} then list_concat(acc, x)
+    else list_concat(acc[:-2], [{{'start': acc[-1].start, 'end': x[1]."end", 'text': acc[-1].text || x[1].text}}]) end""", f"case when {_NO_BLANKS} = '' or regexp_matches({_NO_BLANKS}, '[。！？]$') then {_NO_BLANKS} else {_NO_BLANKS} || '。' end"))
 def sentence_merge(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    cues = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda c: F.struct(c.turn.cast("double").alias("start"), (c.turn + 1).cast("double").alias("end"), c.text.alias("text")))
-    merged = turns.groupBy("conv_id").agg(cues.alias("cues")).select("conv_id", at.merged_sentences(F.col("cues")).alias("s"))
+    """Turns, two of three ending a sentence, joined up to such ends."""
+    merged = _cues(table(spark, sf_dir, "conversations").withColumn("said", F.expr(f"text || {_ENDING}"))).select("conv_id", at.merged_sentences(F.col("cues")).alias("s"))
     return merged.select("conv_id", F.posexplode("s").alias("place", "s")).select("conv_id", "place", "s.*")
 
 
-@query()
+_ROLLED = "case when turn % 4 = 1 then coalesce(right(before, 30), '') || ' 、' || text when turn % 4 = 2 then before else text end"
+_MOST = "least(length(acc[-1].text), length(x[1].text), 200)"
+_CUT = f"coalesce(list_max(list_filter(range(6, {_MOST} + 1), lambda n : suffix(acc[-1].text, left(x[1].text, n)))), 0)"
+_REST = f"case when {_CUT} > 0 then ltrim(substr(x[1].text, {_CUT} + 1), ' 、。,.') else x[1].text end"
+
+
+@query(_fold_sql(_ROLLED, f"""case when acc[-1].text = x[1].text then list_concat(acc[:-2], [{{'start': acc[-1].start, 'end': x[1]."end", 'text': acc[-1].text}}])
+    when {_REST} = '' then acc else list_concat(acc, [{{'start': x[1].start, 'end': x[1]."end", 'text': {_REST}}}]) end"""))
 def rolling_captions(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    cues = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda c: F.struct(c.turn.cast("double").alias("start"), (c.turn + 1).cast("double").alias("end"), c.text.alias("text")))
-    kept = turns.groupBy("conv_id").agg(cues.alias("cues")).select("conv_id", at.without_rolling(F.col("cues")).alias("s"))
+    """Turns, some of which repeat the end or all of the one before."""
+    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("said", F.expr(_ROLLED))
+    kept = _cues(rows).select("conv_id", at.without_rolling(F.col("cues")).alias("s"))
     return kept.select("conv_id", F.posexplode("s").alias("place", "s")).select("conv_id", "place", "s.*")
 
 

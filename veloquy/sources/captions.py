@@ -6,11 +6,16 @@ Every reader lists and reads files through Spark, so a path may be in any store
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from datetime import datetime
 
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veloquy.functions.text import LOWER_HOUSE, UPPER_HOUSE
+from veloquy.functions.text import LOWER_HOUSE, UPPER_HOUSE, first_of_each, joined_url
 from veloquy.operators.attribution import speaker_at, without_rolling
 
 SPEAKERS = "array<struct<start: double, name: string, group: string>>"
@@ -50,7 +55,7 @@ def page_cues(text: Column) -> Column:
     Starts are compared by whole tenths of a second, halves up."""
     cues = F.transform(caption_cues(text), lambda c, i: F.struct(c.start.alias("start"), i.alias("ord"), c.end.alias("end"), c.text.alias("text")))
     tenth = lambda c: F.floor(F.round(c.start * 1000) / 100 + 0.5)
-    once = F.filter(cues, lambda c: ~F.exists(cues, lambda d: (d.ord < c.ord) & (d.text == c.text) & (tenth(d) == tenth(c))))
+    once = first_of_each(cues, lambda c: F.struct(tenth(c), c.text))
     ordered = F.transform(F.array_sort(once), lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.text.alias("text")))
     return without_rolling(ordered)
 
@@ -59,10 +64,11 @@ def caption_text(text: Column) -> Column:
     return F.array_join(F.transform(page_cues(text), lambda c: c.text), "\n")
 
 
-def subtitle_playlist(master: Column) -> Column:
-    """URI of the first subtitle track of a master playlist; null without one."""
-    found = F.regexp_extract(master, r'(?m)^#EXT-X-MEDIA(?=.*TYPE=SUBTITLES).*?URI="([^"]+)"', 1)
-    return F.nullif(found, F.lit(""))
+def subtitle_playlist(master: Column, address: Column | None = None) -> Column:
+    """URI of the first subtitle track of a master playlist, as it stands at `address` if that is
+    given; null without one."""
+    found = F.nullif(F.regexp_extract(master, r'(?m)^#EXT-X-MEDIA(?=.*TYPE=SUBTITLES).*?URI="([^"]+)"', 1), F.lit(""))
+    return found if address is None else joined_url(address, found)
 
 
 def file_base(path: Column, ending: str) -> Column:
@@ -129,6 +135,25 @@ def read_cues(spark: SparkSession, folder: str) -> DataFrame:
     return each.select(F.struct("tier", "path").alias("src_ord"), "house", "id", "date", "title", "page_url", "cue_idx", "cue.start", "cue.end", "cue.text", speaker["name"].alias("speaker_name"), speaker["group"].alias("speaker_group"), F.col("path").alias("meta_path"))
 
 
+# What recognisers make of frequent words, and the words.
+DEFAULT_GLOSSARY = {
+    "前回一致": "全会一致", "不対決議": "附帯決議", "規律多数": "起立多数", "規律を求めます": "起立を求めます", "起立を求めます。規律": "起立を求めます。起立",
+    "委員長報酷": "委員長報告", "報酷": "報告", "时代となりました": "議題となりました", "时代となります": "議題となります", "一定第": "日程第", "の报告": "の報告",
+    "青年貢献": "成年後見", "自理を弁識": "事理を弁識", "公権及び補佐": "後見及び保佐", "公権開始": "後見開始", "補佐開始": "保佐開始", "補助開始の審刊": "補助開始の審判",
+    "の審刊": "の審判", "応印要件": "押印要件", "に閣する": "に関する", "任意貢献契約": "任意後見契約", "任意貢権監督人": "任意後見監督人", "任意貢監督人": "任意後見監督人",
+    "貢献登記": "後見登記", "貢献開始": "後見開始", "法廷の重要な財産": "法定の重要な財産", "御異義なし": "御異議なし",
+    "体内直接投資": "対内直接投資", "体内直接投信": "対内直接投資", "财务金優": "財務金融", "财务金融": "財務金融", "財務金優": "財務金融",
+    "携帰音声通信": "携帯音声通信", "携帰": "携帯", "電気通信駅務": "電気通信役務", "電気通信駆務": "電気通信役務", "電気通信益務": "電気通信役務", "電気通信駅": "電気通信役",
+    "音声通信駅務": "音声通信役務", "益務を提供": "役務を提供", "新政英": "生成 AI",
+}
+
+
+def read_glossary(spark: SparkSession, path: str | None = None, include_defaults: bool = True) -> dict[str, str]:
+    """The default entries and those of a file (a few lines, read on the driver), which win."""
+    lines = [r.value for r in spark.read.text(path).collect()] if path else []
+    return parse_glossary(lines, DEFAULT_GLOSSARY if include_defaults else None)
+
+
 def parse_glossary(lines: list[str], base: dict[str, str] | None = None) -> dict[str, str]:
     """`wrong → right` or `wrong -> right` a line; `#` starts a comment line; later lines win."""
     out = dict(base or {})
@@ -137,3 +162,28 @@ def parse_glossary(lines: list[str], base: dict[str, str] | None = None) -> dict
         if line[:1] != "#" and len(pair) == 2 and all(pair):
             out[pair[0]] = pair[1]
     return out
+
+
+def kept_members(spark: SparkSession, path: str, rebuild: Callable[[], DataFrame], now: datetime, days: int = 7, refresh: bool = False) -> DataFrame:
+    """The roster stored at `path`; made anew by `rebuild` if it is missing, unreadable, older than
+    `days`, or if asked."""
+    if not refresh:
+        try:
+            table = spark.read.parquet(path)
+            written = table.select(F.max(F.unix_micros("_metadata.file_modification_time"))).first()[0]
+        except (AnalysisException, Py4JJavaError):
+            written = None
+        if written is not None and written / 1e6 >= now.timestamp() - days * 86400:
+            return table
+    rebuild().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_pages(spark: SparkSession, folder: str, glob: str = "*.html", encoding: str = "utf-8") -> DataFrame:
+    """(path, html) of downloaded pages in any encoding; bytes that don't fit become U+FFFD."""
+
+    @F.pandas_udf("string")
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", decoded("content").alias("html"))

@@ -5,37 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Endings of meeting titles.
-MEETINGS = ("委員会", "本会議", "審査会", "調査会", "公聴会")
+from veloquy.functions import text as tx
 
-
-def _first_by(rows: Column, key: str) -> Column:
-    """Elements of an array of structs with `ord` whose `key` no earlier element has."""
-    return F.filter(rows, lambda x: ~F.exists(rows, lambda y: (y.ord < x.ord) & (y[key] == x[key])))
+_MEETING = "|".join(tx.MEETINGS)
+# Class of the cell with a recording's length, labels of a page's date and title,
+# classes and heads of roster columns.
+LENGTH_CLASS = "s14_24"
+ROSTER_CLASS = "shu2td"
+DATE_LABEL, TITLE_LABEL = "開会日", "会議名"
+ROSTER_HEADS = {"name": ("氏名", "5"), "furigana": ("ふりがな", "6"), "district": ("選挙区", "7")}
 
 
 def daily_listing(html: Column) -> Column:
-    """array<struct<ord, id, title, duration>> of a day's listing; meetings only, first of each id."""
-    form = r'(?is)<A[^>]*deli_id=([0-9]+)[^>]*>([^<]+?)</A>.*?<TD[^>]*class="s14_24"[^>]*>([^<]+)</TD>'
-    part = lambda i: F.regexp_extract_all(html, F.lit(form), F.lit(i))
-    zipped = F.arrays_zip(part(1).alias("id"), part(2).alias("title"), part(3).alias("duration"))
-    rows = F.transform(zipped, lambda x, i: F.struct(i.alias("ord"), x["id"].alias("id"), F.btrim(x["title"]).alias("title"), F.btrim(x["duration"]).alias("duration")))
-    return _first_by(F.filter(rows, lambda x: x.title.rlike("|".join(MEETINGS))), "id")
+    """array<struct<ord, id, title, duration>> of a day's listing; meetings only, first of each id.
+    An entry reaches from its link to the next one and has a cell with its length."""
+
+    def entry(part: Column, i: Column) -> Column:
+        link = F.try_element_at(tx.elements(part, "a"), F.lit(1))
+        cell = F.filter(tx.elements(part, "td"), lambda e: tx.attribute(e.attrs, "class") == LENGTH_CLASS)
+        return F.struct(i.alias("ord"), tx.deli_id(tx.attribute(link.attrs, "href")).alias("id"), tx.plain(link.body).alias("title"), tx.plain(F.try_element_at(cell, F.lit(1)).body).alias("duration"))
+
+    rows = F.transform(F.split(html, r"(?i)(?=<a\b[^>]*deli_id=[0-9])"), entry)
+    rows = F.filter(rows, lambda x: x.id.isNotNull() & x.title.rlike(_MEETING) & (F.coalesce(x.duration, F.lit("")) != ""))
+    kept = tx.first_of_each(rows, lambda x: x.id)
+    return F.transform(kept, lambda x, i: F.struct(i.alias("ord"), x.id.alias("id"), x.title.alias("title"), x.duration.alias("duration")))
 
 
 def live_listing(html: Column) -> Column:
     """array<struct<id, title>> of what is on today."""
-    form = r"(?i)sid=([0-9]+)[^>]*>([^<]+(?:" + "|".join(MEETINGS) + "))"
-    return F.arrays_zip(F.regexp_extract_all(html, F.lit(form), F.lit(1)).alias("id"), F.regexp_extract_all(html, F.lit(form), F.lit(2)).alias("title"))
+    on = F.filter(tx.links(html), lambda x: x.href.rlike("sid=[0-9]") & x.label.rlike(f"^[^<]+(?:{_MEETING})"))
+    return F.transform(on, lambda x: F.struct(F.regexp_extract(x.href, "sid=([0-9]+)", 1).alias("id"), F.regexp_extract(x.label, f"^[^<]+(?:{_MEETING})", 0).alias("title")))
 
 
 def calendar_titles(pages: DataFrame, html: str = "html") -> DataFrame:
     """(date, title) of a month's calendar; of cells with one date the last counts."""
-    form = r'(?s)<td[^>]*\bclickable\b[^>]*\btitle="([^"]*)"[^>]*>\s*<a[^>]*\bname="([0-9]{4}-[0-9]{2}-[0-9]{2})"'
-    part = lambda i: F.regexp_extract_all(F.col(html), F.lit(form), F.lit(i))
-    cells = F.transform(F.arrays_zip(part(2).alias("date"), part(1).alias("titles")), lambda x, i: F.struct(i.alias("ord"), x["date"].alias("date"), F.filter(F.transform(F.split(x["titles"], "\n"), lambda t: F.btrim(t)), lambda t: t != "").alias("titles")))
-    cells = F.filter(cells, lambda x: F.size(x.titles) > 0)
-    last = F.filter(cells, lambda x: ~F.exists(cells, lambda y: (y.ord > x.ord) & (y.date == x.date)))
+
+    def cell(e: Column) -> Column:
+        day = tx.attribute(F.try_element_at(tx.elements(e.body, "a"), F.lit(1)).attrs, "name")
+        titles = F.filter(F.transform(F.split(tx.attribute(e.attrs, "title"), "\n"), lambda t: F.btrim(t)), lambda t: t != "")
+        return F.struct(day.alias("date"), titles.alias("titles"))
+
+    active = F.filter(tx.elements(F.col(html), "td"), lambda e: F.array_contains(F.split(tx.attribute(e.attrs, "class"), r"\s+"), "clickable"))
+    cells = F.filter(F.transform(active, cell), lambda x: x.date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & (F.size(x.titles) > 0))
+    last = tx.first_of_each(F.reverse(cells), lambda x: x.date)
     return pages.select(F.explode(last).alias("c")).select("c.date", F.explode("c.titles").alias("title"))
 
 
@@ -48,31 +60,54 @@ def with_ids(titles: DataFrame, live: DataFrame, known: DataFrame) -> DataFrame:
 
 def factions(html: Column) -> Column:
     """array<struct<ord, code, name>> of the roster's pages, first of each code."""
-    form = r'<A\s+HREF="([0-9]+)kaiha\.htm">([^<]+)</A>'
-    zipped = F.arrays_zip(F.regexp_extract_all(html, F.lit(form), F.lit(1)).alias("code"), F.regexp_extract_all(html, F.lit(form), F.lit(2)).alias("name"))
-    return _first_by(F.transform(zipped, lambda x, i: F.struct(i.alias("ord"), x["code"].alias("code"), F.btrim(x["name"]).alias("name"))), "code")
+    page = r"^([0-9]+)kaiha\.htm$"
+    rows = F.transform(F.filter(tx.links(html), lambda x: x.href.rlike(page)), lambda x: F.struct(F.regexp_extract(x.href, page, 1).alias("code"), tx.plain(x.label).alias("name")))
+    return F.transform(tx.first_of_each(rows, lambda x: x.code), lambda x, i: F.struct(i.alias("ord"), x.code.alias("code"), x["name"].alias("name")))
 
 
 def member_name(raw: Column) -> tuple[Column, Column]:
     """(without spaces, with spaces) of a name, honorific and outer spaces off."""
-    kept = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"^[\s　]+|[\s　]+$", ""), "君+$", ""), r"[\s　]+$", "")
+    kept = F.regexp_replace(raw, r"^[\s　]+|[\s　]*君*[\s　]*$", "")
     return F.regexp_replace(kept, r"[\s　]+", ""), kept
 
 
 def members(html: Column) -> Column:
-    """array<struct<name, name_with_spaces, furigana, district>> of a roster page."""
+    """array<struct<name, name_with_spaces, furigana, district>> of a roster page. The columns are
+    those under their heads, or, on a page without heads, those of the usual classes."""
+
+    def cell(e: Column) -> Column:
+        column = F.regexp_extract(tx.attribute(e.attrs, "class"), f"(?i)^{ROSTER_CLASS}([0-9]+)$", 1)
+        return F.struct(column.alias("column"), F.regexp_replace(F.regexp_replace(e.body, r"<[^>]*>", ""), r"^\s+|\s+$", "").alias("text"))
 
-    def cells(i: int, header: str) -> Column:
-        found = F.regexp_extract_all(html, F.lit(rf'(?i)<TD\s+class="shu2td{i}">\s*<TT[^>]*>\s*([^<]+?)\s*</TT>'), F.lit(1))
-        return F.when(F.btrim(F.try_element_at(found, F.lit(1))) == header, F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
+    def table(cells: Column) -> Column:
+        def under(head: str, usual: str) -> Column:
+            at = F.coalesce(F.try_element_at(F.filter(cells, lambda c: c.text == head), F.lit(1)).column, F.lit(usual))
+            return F.filter(cells, lambda c: (c.column == at) & (c.text != head))
 
-    names, readings, places = cells(5, "氏名"), cells(6, "ふりがな"), cells(7, "選挙区")
-    n = F.least(F.size(names), F.size(readings), F.size(places))
-    zipped = F.slice(F.arrays_zip(names.alias("n"), readings.alias("f"), places.alias("d")), F.lit(1), n)
-    rows = F.transform(zipped, lambda x: F.struct(member_name(x["n"])[0].alias("name"), member_name(x["n"])[1].alias("name_with_spaces"), F.btrim(F.regexp_replace(x["f"], r"\s+", " ")).alias("furigana"), F.btrim(x["d"]).alias("district")))
+        names, readings, places = (under(*ROSTER_HEADS[k]) for k in ("name", "furigana", "district"))
+        n = F.least(F.size(names), F.size(readings), F.size(places))
+        return F.slice(F.arrays_zip(names.alias("n"), readings.alias("f"), places.alias("d")), F.lit(1), n)
+
+    cells = F.filter(F.transform(tx.elements(html, "td"), cell), lambda c: (c.column != "") & (c.text != ""))
+    rows = F.transform(tx.once(cells, table), lambda x: F.struct(member_name(x["n"].text)[0].alias("name"), member_name(x["n"].text)[1].alias("name_with_spaces"), F.btrim(F.regexp_replace(x["f"].text, r"\s+", " ")).alias("furigana"), F.btrim(x["d"].text).alias("district")))
     return F.filter(rows, lambda x: x["name"] != "")
 
 
+def upper_detail(html: Column, script: Column, address: Column, described: Column | None = None) -> Column:
+    """struct(m3u8, is_live, date, title, speakers) of an upper-house page and its player's script;
+    for a live one `described` is the JSON found at `text.channel_url`."""
+    recorded = tx.stream_url(script)
+    live = tx.live_url(tx.channel_url(script), F.lit(None).cast("string") if described is None else described)
+    speakers = F.transform(tx.speaker_links(html, tx.UPPER_SPEAKER, False), lambda s: F.struct(s.start.alias("start"), s["name"].alias("name"), s["group"].alias("group")))
+    return F.struct(F.coalesce(recorded, live).alias("m3u8"), (recorded.isNull() & live.isNotNull()).alias("is_live"), F.coalesce(tx.labelled_value(html, DATE_LABEL), F.lit("")).alias("date"), F.coalesce(tx.labelled_value(html, TITLE_LABEL), F.lit("")).alias("title"), speakers.alias("speakers"), address.alias("page_url"))
+
+
+def lower_detail(html: Column, target: Column) -> Column:
+    """struct(deli_id, m3u8, date, title, speakers, agenda) of a lower-house page."""
+    speakers = F.transform(tx.speaker_links(html, tx.LOWER_SPEAKER, True), lambda s: F.struct(s.start.alias("start"), s["name"].alias("name"), s["group"].alias("group")))
+    return F.struct(tx.deli_id(target).alias("deli_id"), tx.hidden_stream_url(html).alias("m3u8"), tx.first_date(html).alias("date"), tx.meeting_name(html).alias("title"), speakers.alias("speakers"), tx.agenda_items(html).alias("agenda"))
+
+
 def unfenced(raw: Column) -> Column:
     """A response without its code fence."""
     t = F.btrim(raw, F.lit(" \t\r\n"))
