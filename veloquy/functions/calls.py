@@ -51,15 +51,17 @@ def speaker_calls(text: Column, names: Column) -> Column:
 
     def found(form: Column) -> Column:
         part = lambda i: F.regexp_extract_all(text, form, F.lit(i))
-        calls = F.arrays_zip(part(0).alias("all"), part(1).alias("name"), part(2).alias("role"))
+        # What stands before each call tells where it is.
+        between = F.slice(F.split(text, form, -1), F.lit(1), F.size(part(0)))
+        calls = F.arrays_zip(between.alias("before"), part(0).alias("all"), part(1).alias("name"), part(2).alias("role"))
 
         def step(s: Column, c: Column) -> Column:
-            at = F.call_function("locate", c["all"], text, s["after"])
+            at = s["after"] + F.length(c.before)
             role = F.when(c.role.isin(*ADDRESSES), RETURN).otherwise(c.role)
-            one = F.struct(c["name"].alias("name"), role.alias("role_str"), (at - 1).alias("start"))
+            one = F.struct(c["name"].alias("name"), role.alias("role_str"), at.alias("start"))
             return F.struct(F.concat(s["calls"], F.array(one)).alias("calls"), (at + F.length(c["all"])).alias("after"))
 
-        return F.aggregate(calls, F.struct(none.alias("calls"), F.lit(1).alias("after")), step, lambda s: s["calls"])
+        return F.aggregate(calls, F.struct(none.alias("calls"), F.lit(0).alias("after")), step, lambda s: s["calls"])
 
     form = F.concat(F.lit("("), listed, F.lit(")" + _AFTER))
     return F.when(text.isNull() | (F.coalesce(F.size(usable), F.lit(0)) < 1), none).otherwise(once(form, found))

@@ -8,16 +8,19 @@ labels for what has been fetched.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veloquy.functions import calls
 from veloquy.functions import text as tx
 from veloquy.functions.query import parse_query
 from veloquy.operators import attribution as at
-from veloquy.operators import catalog, postings, render
+from veloquy.operators import catalog, postings, prompts, render
 from veloquy.operators import search as se
 from veloquy.storage import new_path
+from veloquy.streaming import tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -460,3 +463,126 @@ def listing_dates(spark, sf_dir):
 @query("select '{\"doc_id\":' || doc_id || ',\"quality\":' || coalesce(quality::varchar, 'null') || '}' as value from documents left join labels using (doc_id)")
 def json_lines(spark, sf_dir):
     return render.json_lines(table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left"))
+
+
+# ---- status, records and calls ----------------------------------------------------------
+
+
+@query("select doc_id, source as title from documents where doc_id not in (select doc_id from labels) and contains(source, 'src1') order by doc_id limit 10")
+def suggestions(spark, sf_dir):
+    """Ten items not fetched whose title has the query's first word."""
+    items = catalog.with_status(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title")), table(spark, sf_dir, "labels"), ["doc_id"], F.desc("quality"))
+    return catalog.suggestions(items, '"src1" moron', order=("doc_id",)).select("doc_id", "title")
+
+
+@query("select strftime(o_orderdate, '%Y-%m-%d') as day, count(*) as n from orders where o_orderdate::date between date '1995-12-24' and date '1995-12-31' group by 1")
+def listing_range(spark, sf_dir):
+    """The week up to today, as listings without dates have it."""
+    since, until = catalog.listing_range(date(1995, 12, 31))
+    rows = se.filtered(table(spark, sf_dir, "orders").withColumn("date", F.col("o_orderdate")), since=since.isoformat(), until=until.isoformat())
+    return rows.groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("""with f as (select doc_id, 'meta' as kind from labels union all select doc_id, 'html' from labels where quality = 1)
+    select doc_id from documents where doc_id not in (select doc_id from f group by doc_id having count(distinct kind) = 2)""")
+def unfinished(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    files = labels.select("doc_id", F.lit("meta").alias("kind")).unionByName(labels.filter("quality = 1").select("doc_id", F.lit("html").alias("kind")))
+    return catalog.unfinished(table(spark, sf_dir, "documents").select("doc_id"), files, ["doc_id"], ["meta", "html"])
+
+
+@query(f"""select lang, sum((length(text) > 200 and len(list_distinct(string_split(text, '')))::double / length(text) < 0.05)::int)::bigint as loops, coalesce(sum(({_replace_sql('text')} <> text)::int), 0)::bigint as glossary,
+    sum((text is null)::int)::bigint as missing from documents group by lang""")
+def change_counts(spark, sf_dir):
+    text = F.col("text")
+    return catalog.changes(table(spark, sf_dir, "documents"), "lang", loops=tx.is_loop(text), glossary=tx.replaced(text, _PAIRS) != text, missing=text.isNull())
+
+
+@query("select conv_id, turn, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as text from conversations")
+def html_escaped(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.html_escaped(F.col("text")).alias("text"))
+
+
+@query("select event_id, case when s >= 3600 then (s // 3600) || '時間' || (s // 60 % 60) || '分' when s >= 60 then (s // 60) || '分' || (s % 60) || '秒' else s || '秒' end as label from (select event_id, floor(value * 37)::bigint as s from events)")
+def duration_label(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", render.duration_label(F.col("value") * 37).alias("label"))
+
+
+@query("""with b as (select conv_id, (row_number() over (partition by conv_id order by turn) - 1) // 8 as batch, (row_number() over (partition by conv_id order by turn) - 1) % 8 as id, turn, text from conversations)
+    select conv_id, batch, to_json({'cues': list({'id': id, 'text': text} order by turn), 'context': 'conv ' || conv_id})::varchar as value from b group by conv_id, batch""")
+def correction_requests(spark, sf_dir):
+    """Turns in requests of eight, with what they belong to."""
+    turns = table(spark, sf_dir, "conversations")
+    return prompts.correction_requests(turns, "conv_id", "turn", "text", F.concat(F.lit("conv "), F.col("conv_id").cast("string")))
+
+
+@query("""with t as (select conv_id, turn, unnest(generate_series(0, turn % 3)) as i from conversations)
+    select conv_id * 1000 + turn as meeting, i::int as i, to_json({'type': 'speaker', 'i': i, 'start': turn * 10.0::double + i, 'name': 'n' || i, 'group': case when i = 1 then null else 'g' end})::varchar as value from t""")
+def speaker_events(spark, sf_dir):
+    one = lambda i: F.struct((F.col("turn") * 10.0 + i).alias("start"), F.concat(F.lit("n"), i.cast("string")).alias("name"), F.when(i != 1, "g").alias("group"))
+    meetings = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("meeting"), F.transform(F.sequence(F.lit(0), (F.col("turn") % 3).cast("int")), one).alias("speakers"))
+    return render.speaker_events(meetings, "meeting")
+
+
+_SID_HTML = "'<dl><dt>開会日</dt><dd>' || case when page_id % 5 = 0 then '' else '2026年' || (page_id % 12 + 1) || '月3日' end || '</dd><dt>会議名</dt><dd> 委員会' || page_id || '</dd></dl>' || html"
+
+
+@query(f"""select page_id, case when page_id % 5 = 0 then '' else '2026-' || lpad((page_id % 12 + 1)::varchar, 2, '0') || '-03' end as date, '委員会' || page_id as name, length({_SID_HTML}) >= 500 and page_id % 5 <> 0 as valid from pages""")
+def sid_pages(spark, sf_dir):
+    return catalog.sid_pages(table(spark, sf_dir, "pages").withColumn("html", F.expr(_SID_HTML)), "page_id")
+
+
+@query("select max(page_id) as page_id from pages where page_id % 5 <> 0")
+def last_sid(spark, sf_dir):
+    return catalog.last_known(table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5 != 0).alias("valid")), "page_id")
+
+
+@query("select page_id, 'p' || page_id as name from pages where page_id % 5 <> 0 and page_id % 12 = 3")
+def sids_on(spark, sf_dir):
+    known = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), (F.col("page_id") % 5 != 0).alias("valid"), F.when(F.col("page_id") % 12 == 3, "2026-04-03").otherwise("2026-05-03").alias("date"))
+    return catalog.ids_on(known, "2026-04-03", "page_id")
+
+
+# Four ways to open a speech: a call, a mention, a call of two words, a return to the questioner.
+_OPENED = ("山田財務大臣お答えします。", "山田大臣に伺います。", "三浦審議官はい、", "鈴木花子君次に、")
+_OPEN_SQL = f"{list(_OPENED)}[turn % 4 + 1]"
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoken = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, _OPENED)), (F.col("turn") % 4 + 1).cast("int")), "text"))
+    names = F.array(*map(F.lit, ("山田", "三浦", "鈴木花子", "鈴木", "今")))
+    return spoken.select((F.col("conv_id") * 1000 + F.col("turn")).alias("section"), "text", F.lit("鈴木花子").alias("primary"), calls.speaker_calls(F.col("text"), names).alias("calls"))
+
+
+@query("""with c as (select conv_id * 1000 + turn as section, turn % 4 as k, length(text) as start from conversations)
+    select section, start::int as start, ['山田', '', '三浦', '鈴木花子'][k + 1] as name, ['財務大臣', '', '審議官', '_return'][k + 1] as role_str from c where k <> 1""")
+def speaker_calls(spark, sf_dir):
+    found = _sections(spark, sf_dir).select("section", F.explode("calls").alias("c"))
+    return found.select("section", "c.start", "c.name", "c.role_str")
+
+
+@query(f"""with c as (select conv_id * 1000 + turn as section, turn % 4 as k, text, {_OPEN_SQL} as o from conversations),
+    p as (select section, 0 as place, '鈴木花子' as speaker, 'questioner' as klass, case when k = 1 then text || o || text else text end as text from c
+    union all select section, 1, case k when 0 then '山田' when 2 then '三浦' else '鈴木花子' end, case k when 0 then 'minister' when 2 then 'bureaucrat' else 'questioner' end, o || text from c where k <> 1)
+    select section, place::int as place, speaker, klass, trim(text, ' 　' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as text from p""")
+def call_turns(spark, sf_dir):
+    """Sections cut at their calls."""
+    return prompts.turns(_sections(spark, sf_dir), "section", "text", "primary", "calls").select("section", F.col("at").alias("place"), "speaker", "klass", "text")
+
+
+@query("""with t as (select conv_id, sum(length(text)) as n_chars, bool_or(role = 'assistant') as answered from conversations group by conv_id)
+    select conv_id, n_chars::bigint as n_chars from t where not answered and n_chars > 200""")
+def silent_sections(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("klass", F.when(F.col("role") == "assistant", "minister").otherwise("questioner")).withColumn("speaker", F.col("role"))
+    return prompts.smoke_report(turns, "conv_id", "text")[2]
+
+
+@query("""with f as (select conv_id, turn, text, case when conv_id % 3 = 1 then 'new' else 'old' end as state from conversations where conv_id % 4 <> 3)
+    select conv_id::varchar as path, turn::int as cue_idx, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as n_tokens, state from (select *, row_number() over (partition by conv_id order by turn) - 1 as place from f) where place = turn""")
+def token_refresh(spark, sf_dir):
+    """A token table after some files have changed and others have gone."""
+    of_file = _cues(table(spark, sf_dir, "conversations").withColumn("said", F.col("text"))).select(F.col("conv_id").cast("string").alias("path"), "conv_id", "cues")
+    before = of_file.select("path", F.lit(1).alias("mtime"), "cues")
+    now = of_file.filter("conv_id % 4 <> 3").select("path", F.when(F.col("conv_id") % 3 == 1, 2).otherwise(1).alias("mtime"), "cues")
+    held = tokens.refreshed(now, tokens.refreshed(before, None))
+    return held.select("path", "cue_idx", F.size("tokens").cast("long").alias("n_tokens"), F.when(F.col("mtime") == 2, "new").otherwise("old").alias("state"))
