@@ -190,17 +190,17 @@ def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     (both sizes), and an entry whose common shingles don't suffice even with the least set of
     its bucket has none."""
     items = sets.join(placed.select("node", "component").distinct(), "node").select("node", "component", F.explode("items").alias("item"))
-    within = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low = high").select("item")
+    within = stored(items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low = high").select("item"), "within")
     own = items.join(within, "item", "left_semi").groupBy("node").agg(F.count("*").alias("own"))
-    known = placed.join(own, "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
-    least = known.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    known = stored(placed.join(own, "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"), "known")
+    least = stored(known.groupBy("key").agg(F.min("n_shingles").alias("least")), "least")
     return known.join(least, "key").filter((100 + percent) * F.col("common") >= percent * (F.col("n_shingles") + F.col("least"))).drop("least")
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
     """Entries of buckets with more than one component."""
     keys = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return entries.join(keys.select("key"), "key", "left_semi")
+    return entries.join(stored(keys.select("key"), "mixed-keys"), "key", "left_semi")
 
 
 def _pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from veloquy.functions.text import ends_sentence, punctuated
 
 
-def speaker_at(speakers: Column, start: Column) -> Column:
+def by_start(speakers: Column) -> Column:
+    """An array of struct(start, ...) in order of start, equal starts as they stood."""
+    return F.transform(F.array_sort(F.transform(speakers, lambda s, i: F.struct(s.start.alias("k"), i.alias("i"), s.alias("s")))), lambda x: x.s)
+
+
+def speaker_at(speakers: Column, start: Column, ordered: bool = False) -> Column:
     """The last of an array of struct(start, ...) that starts at or before `start`; the first
-    one if none does; null without speakers. Equal starts: the later one."""
-    ordered = F.transform(F.array_sort(F.transform(speakers, lambda s, i: F.struct(s.start.alias("k"), i.alias("i"), s.alias("s")))), lambda x: x.s)
-    before = F.filter(ordered, lambda s: s.start <= start)
-    return F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at(ordered, F.lit(1)))
+    one if none does; null without speakers. Equal starts: the later one. `ordered`: the array
+    comes from `by_start`, so that the cues of a meeting needn't sort it again."""
+    known = speakers if ordered else by_start(speakers)
+    before = F.filter(known, lambda s: s.start <= start)
+    return F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at(known, F.lit(1)))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str], clamp: bool = True) -> DataFrame:
@@ -33,8 +39,9 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str],
     return out.select("__row.*", *[F.col(f"__found.{n}").alias(v) for v, n in zip(value, names, strict=True)])
 
 
-def with_next(rows: DataFrame, by: str, at: str, name: str = "next_start") -> DataFrame:
-    return rows.withColumn(name, F.lead(at).over(Window.partitionBy(by).orderBy(at)))
+def with_next(rows: DataFrame, by: str, at: str, name: str = "next_start", *tie: str) -> DataFrame:
+    """`rows` with the next start of their group; rows of equal start in order of `tie`."""
+    return rows.withColumn(name, F.lead(at).over(Window.partitionBy(by).orderBy(at, *tie)))
 
 
 def interval_groups(cues: DataFrame, speakers: DataFrame, by: str, at: str, speaker_key: str, text: str, tie: str) -> DataFrame:

@@ -64,14 +64,16 @@ def top_per_group(rows: DataFrame, group: str, k: int, *order: Column | str) ->
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def batches(rows: DataFrame, by: str, order: str, size: int = 8) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order)
+def batches(rows: DataFrame, by: str, order: str, size: int = 8, *tie: str) -> DataFrame:
+    """`rows` with their place in order, by eights, from 0; rows of equal order by `tie`."""
+    w = Window.partitionBy(by).orderBy(order, *tie)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
-def within_budget(rows: DataFrame, by: str, order: str, text: str, most: int) -> DataFrame:
-    """The longest prefix of each group whose texts have at most `most` characters together."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def within_budget(rows: DataFrame, by: str, order: str, text: str, most: int, *tie: str) -> DataFrame:
+    """The longest prefix of each group whose texts have at most `most` characters together; rows of
+    equal order by `tie`."""
+    w = Window.partitionBy(by).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("so_far", F.sum(F.length(text)).over(w).cast("long")).filter(F.col("so_far") <= most)
 
 

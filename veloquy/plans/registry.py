@@ -355,10 +355,36 @@ def unique_char_ratio(spark, sf_dir):
     return docs.select("doc_id", F.round(tx.unique_ratio(F.col("text")), 6).alias("ratio"), tx.is_loop(F.col("text")).alias("is_loop"))
 
 
-@query()
+_LOOPED = "coalesce(text, '') || ' ' || repeat(substr('ab cd', 1, (1 + doc_id % 4)::int), (8 + doc_id % 5)::int)"
+_UNITS = (1, 2, 3, 4)
+_LINE_ENDS = "(chr(10), chr(13), chr(133), chr(8232), chr(8233))"
+
+
+def _loops_sql() -> str:
+    """A backreference in SQL: from each character, how far the text repeats itself u characters on."""
+    same = ", ".join(f"coalesce(c = lead(c, {u}) over w and c not in {_LINE_ENDS}, false) as same{u}" for u in _UNITS)
+    run = ", ".join(f"min(case when not same{u} then i end) over (partition by doc_id order by i rows between current row and unbounded following) - i as run{u}" for u in _UNITS)
+    size = "case " + " ".join(f"when run{u} >= {9 * u} then {u} * (1 + run{u} // {u})" for u in _UNITS) + " end"
+    loop = "length(text) > 200 and len(list_distinct(string_split(text, '')))::double / length(text) < 0.05"
+    return f"""
+    with recursive d as (select doc_id, {_LOOPED} as text from documents),
+    ch as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from d),
+    s as (select doc_id, i, {same} from ch window w as (partition by doc_id order by i)),
+    r as (select doc_id, i, {run} from s),
+    m as (select doc_id, i, {size} as size from r where {" or ".join(f"run{u} >= {9 * u}" for u in _UNITS)}),
+    walk as (select doc_id, min(i) as i, arg_min(size, i) as size from m group by doc_id
+        union all select m.doc_id, min(m.i), arg_min(m.size, m.i) from walk join m on m.doc_id = walk.doc_id and m.i >= walk.i + walk.size group by m.doc_id),
+    cut as (select ch.doc_id, ch.i, case when ch.i = walk.i then '{tx.UNCLEAR}' when ch.i < walk.i + walk.size then '' else ch.c end as c from ch asof left join walk on ch.doc_id = walk.doc_id and ch.i >= walk.i),
+    joined as (select doc_id, string_agg(c, '' order by i) as made from cut group by doc_id)
+    select doc_id, case when {loop} then '{tx.UNCLEAR}' else made end as text, case when {loop} then true else made <> text end as changed from d join joined using (doc_id)"""
+
+
+@query(_loops_sql())
 def inline_loop(spark, sf_dir):
+    """Documents with a loop of 8 to 12 units at their end."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.repeat(F.substring(F.lit("ab cd"), F.lit(1), (1 + F.col("doc_id") % 4).cast("int")), (8 + F.col("doc_id") % 5).cast("int")))
     clean = tx.without_loops(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", clean.alias("text"), (clean != F.col("text")).alias("changed"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).select("doc_id", clean.alias("text"), (clean != F.col("text")).alias("changed"))
 
 
 _EDGE = "'" + tx.TRIMMED.replace("\t", "").replace("\n", "") + "' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

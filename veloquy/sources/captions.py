@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veloquy.functions.text import LOWER_HOUSE, UPPER_HOUSE, first_of_each, joined_url
-from veloquy.operators.attribution import speaker_at, without_rolling
+from veloquy.operators.attribution import by_start, speaker_at, without_rolling
 
 SPEAKERS = "array<struct<start: double, name: string, group: string>>"
 META = (
@@ -130,8 +130,9 @@ def read_cues(spark: SparkSession, folder: str) -> DataFrame:
     date, title = parsed_base(F.col("base"))
     third = third.select(F.lit(3).alias("tier"), "path", F.lit(LOWER_HOUSE).alias("house"), F.coalesce("deli_id", F.lit("")).alias("id"), F.coalesce(third["date"], date).alias("date"), F.coalesce(third["title"], title).alias("title"), F.lit("").alias("page_url"), none.alias("speakers"), "cues")
     rows = first.unionByName(second).unionByName(third)
+    rows = rows.withColumn("speakers", by_start(F.coalesce("speakers", none)))
     each = rows.select("tier", "path", "house", "id", "date", "title", "page_url", "speakers", F.posexplode("cues").alias("cue_idx", "cue"))
-    speaker = speaker_at(F.coalesce("speakers", none), F.col("cue.start"))
+    speaker = speaker_at(F.col("speakers"), F.col("cue.start"), ordered=True)
     return each.select(F.struct("tier", "path").alias("src_ord"), "house", "id", "date", "title", "page_url", "cue_idx", "cue.start", "cue.end", "cue.text", speaker["name"].alias("speaker_name"), speaker["group"].alias("speaker_group"), F.col("path").alias("meta_path"))
 
 
