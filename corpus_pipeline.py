@@ -1,8 +1,13 @@
 """The document pipeline: rules, near duplicates, pseudonyms, mixing, pieces.
 
 Each stage takes (spark, docs, sf_dir) with `docs` as its predecessor wrote them and returns a
-DataFrame; all but the last return the columns of the documents table. Rows with nulls in any
-column pass through as each operator defines.
+DataFrame; all but the last return the columns of the documents table, whatever other columns
+there are. Defined results: null and empty texts have no words, so the rules reject them; a
+stage that gets such rows all the same passes them on (near duplicates keep them, pseudonyms leave
+them, the mix counts them as size 0, pieces are null or empty). Texts of any length are worked on
+whole. Of rows that repeat an id and its text one stays; other rows of one id stay unless all of
+them are near duplicates of smaller ids; rows without id are compared with nothing and stay. Ties
+between near duplicates go to the least id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +33,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of least id."""
-    dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stored(dropped, "dropped"), "doc_id", "left_anti").select(*COLUMNS)
+    found = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("doc_id").alias("rows"))
+    found = stored(found.filter("not kept or rows > 1"), "found")
+    left = docs.select(*COLUMNS).join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti")
+    again = found.filter("kept").select("doc_id")
+    if not again.isEmpty():
+        once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(again, "doc_id", "left_anti").unionByName(once)
+    return left.select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
