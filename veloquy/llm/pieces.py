@@ -41,8 +41,12 @@ PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
 #: Pairs of neighbours whose verdict a task remembers, as a power of two.
 MEMO_BITS = 18
+#: First bits of hashes that are looked at before the sorted keys.
+SIEVE_BITS = 20
 #: Bytes of texts whose distinct units are searched once.
 TEXT_BYTES = 2 << 20
+#: Units, and pieces of them, that a task remembers from batch to batch.
+MEMO_UNITS, MEMO_IDS = 300_000, 2_000_000
 #: Units of one length that are searched together.
 SIDE_BY_SIDE = 20_000
 
@@ -85,6 +89,20 @@ class Merges:
     memo: tuple[np.ndarray, np.ndarray]
 
 
+@dataclass
+class Units:
+    """Units met lately and their pieces: those of unit i are ids[start[i]:start[i] + size[i]]."""
+
+    keys: np.ndarray  # sorted
+    start: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def none(cls) -> Units:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
 @dataclass
 class PieceModel:
     keys: np.ndarray  # sorted hashes of the pieces that match text
@@ -96,7 +114,19 @@ class PieceModel:
     bounds: np.ndarray
     missing: float
     prefix: bool  # a space goes in front
-    merges: Merges | None = None
+    merges: Merges | None
+    units: Units
+    sieve: np.ndarray  # whether any key begins with these SIEVE_BITS
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the piece of each hash, whether there is one)."""
+        found = self.sieve[(key >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)]
+        some = key[found]
+        place = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        at = np.zeros(key.shape, np.int64)
+        at[found] = place
+        found[found] = self.keys[place] == some
+        return at, found
 
 
 def _merged(text: str, score: dict[str, float]) -> tuple[str, str] | None:
@@ -170,7 +200,9 @@ def parse_model(data: bytes) -> PieceModel:
         split = np.array([[place[x] for x in parts[t]] if parts.get(t) else [-1, -1] for t in texts])
         merges = Merges(rank, split[:, 0], split[:, 1], sums[order], sizes[order], (np.full(1 << MEMO_BITS, -1), np.zeros(1 << MEMO_BITS, bool)))
     least = float(scores.min()) - PENALTY
-    return PieceModel(keys[order], np.array([i for _, i, _ in match])[order], scores[order], max(len(t) for t, _, _ in match), byte_ids, np.frombuffer(b"".join(shown), np.uint8), bounds, least, bool(rules.get(3, 1)), merges)
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    sieve[(keys >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+    return PieceModel(keys[order], np.array([i for _, i, _ in match])[order], scores[order], max(len(t) for t, _, _ in match), byte_ids, np.frombuffer(b"".join(shown), np.uint8), bounds, least, bool(rules.get(3, 1)), merges, Units.none(), sieve)
 
 
 def _neighbours_hold(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,8 +216,8 @@ def _neighbours_hold(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndar
     while len(at):
         size = m.size[a] + m.size[b]
         key = tn.mix64(m.sum[a] + power[m.size[a]] * m.sum[b] + size.astype(np.uint64))
-        found = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-        broken = (model.keys[found] == key) & (m.rank[found] < limit)
+        made, exists = model.find(key)
+        broken = exists & (m.rank[made] < limit)
         hold[at[broken]] = False
         go = ~broken
         at, a, b = at[go], a[go], b[go]
@@ -229,8 +261,7 @@ def _best(model: PieceModel, sums: np.ndarray, char: np.ndarray) -> tuple[np.nda
     for end in range(1, n + 1):
         starts = np.arange(max(0, end - model.longest), end)
         key = tn.spans(sums, char[:, starts], char[:, [end]])
-        at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-        found = model.keys[at] == key
+        at, found = model.find(key)
         if model.merges is None:
             value = np.where(found, model.scores[at], -np.inf)
             value[:, -1] = np.where(found[:, -1], value[:, -1], model.missing)
@@ -315,13 +346,39 @@ def encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(begin)
     end = np.append(start[1:], len(data))
     key = tn.spans(tn.prefix(tn._BYTE_VALUE[data]), start, end)
-    _, one, number = np.unique(key, return_index=True, return_inverse=True)
-    ids, bounds = _units(model, data, start[one], end[one])
-    at, unit_bounds = _gather(bounds, number.reshape(-1))
+    key, one, number = np.unique(key, return_index=True, return_inverse=True)
+    known = _known_units(model, key, data, start[one], end[one])
+    per_unit = known.size[number.reshape(-1)]
+    before = np.cumsum(per_unit) - per_unit
+    at = np.repeat(known.start[number.reshape(-1)] - before, per_unit) + np.arange(int(per_unit.sum()))
     per_text = np.searchsorted(start, np.append(doc_start, len(data)))
     out = np.zeros(len(size) + 1, np.int64)
-    out[full + 1] = np.diff(unit_bounds[per_text])
-    return ids[at], np.cumsum(out)
+    out[full + 1] = tn.sums(per_unit, per_text)
+    return known.ids[at], np.cumsum(out)
+
+
+def _known_units(model: PieceModel, key: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Units:
+    """The pieces of the distinct units data[start:end] of sorted hashes `key`; searched only for
+    those that the batches before have not had. At most MEMO_UNITS and MEMO_IDS are remembered."""
+    held = model.units
+    at = np.minimum(np.searchsorted(held.keys, key), max(len(held.keys) - 1, 0))
+    seen = held.keys[at] == key if len(held.keys) else np.zeros(len(key), bool)
+    new = np.flatnonzero(~seen)
+    ids, bounds = _units(model, data, start[new], end[new])
+    where, size = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    where[seen], size[seen] = held.start[at[seen]], held.size[at[seen]]
+    where[new], size[new] = len(held.ids) + bounds[:-1], np.diff(bounds)
+    found = Units(key, where, size, np.concatenate([held.ids, ids]))
+    if len(held.keys) + len(new) <= MEMO_UNITS and len(found.ids) <= MEMO_IDS:
+        keys = np.concatenate([held.keys, key[new]])
+        order = np.argsort(keys, kind="stable")
+        model.units = Units(keys[order], np.concatenate([held.start, where[new]])[order], np.concatenate([held.size, size[new]])[order], found.ids)
+    else:  # start anew from the units of this batch, the frequent ones among them
+        begin = np.cumsum(size) - size
+        some = int(min(len(key), MEMO_UNITS) if size.sum() <= MEMO_IDS else 0)
+        own = found.ids[np.repeat(where[:some] - begin[:some], size[:some]) + np.arange(int(size[:some].sum()))]
+        model.units = Units(key[:some], begin[:some], size[:some], own)
+    return found
 
 
 def decode(model: PieceModel, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
