@@ -19,6 +19,7 @@ from veloquy.functions.query import parse_query
 from veloquy.operators import attribution as at
 from veloquy.operators import catalog, postings, prompts, render
 from veloquy.operators import search as se
+from veloquy.sources import captions, pages
 from veloquy.storage import new_path
 from veloquy.streaming import tokens
 
@@ -612,3 +613,77 @@ def token_refresh(spark, sf_dir):
     now = of_file.filter("conv_id % 4 <> 3").select("path", F.when(F.col("conv_id") % 3 == 1, 2).otherwise(1).alias("mtime"), "cues")
     held = tokens.refreshed(now, tokens.refreshed(before, None))
     return held.select("path", "cue_idx", F.size("tokens").cast("long").alias("n_tokens"), F.when(F.col("mtime") == 2, "new").otherwise("old").alias("state"))
+
+
+# ---- readers and prompts ----------------------------------------------------------------
+
+
+@query("select count(*) as n, min(turn) as first_turn from conversations where contains(role, 'assist')")
+def speaker_filter(spark, sf_dir):
+    rows = se.filtered(table(spark, sf_dir, "conversations").withColumn("speaker_name", F.col("role")), speaker="assist")
+    return rows.agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
+
+
+@query("select conv_id, (turn - min(turn) over (partition by conv_id))::int as place, turn + (turn * 7 % 1000) / 1000.0::double as start, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from conversations where regexp_matches(text, '\\S')")
+def caption_file(spark, sf_dir):
+    """Turns written as a caption file and read again."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    stamp = F.concat(F.lit("0:"), two(F.floor(F.col("turn") / 60)), F.lit(":"), two(F.col("turn") % 60), F.lit("."), F.lpad((F.col("turn") * 7 % 1000).cast("string"), 3, "0"))
+    block = F.concat(F.col("turn").cast("string"), F.lit("\n"), stamp, F.lit(" --> "), stamp, F.lit("\n"), F.btrim(F.regexp_replace("text", r"\s+", " ")))
+    files = at.ordered_text(table(spark, sf_dir, "conversations").withColumn("block", block), "conv_id", "turn", "block", "\n\n")
+    cues = files.select("conv_id", F.posexplode(captions.caption_cues(F.concat(F.lit("WEBVTT\n\n"), F.col("block")))).alias("place", "cue"))
+    return cues.select("conv_id", "place", "cue.start", "cue.text")
+
+
+@query("""with m as (select conv_id, count(*) as n, list(distinct role order by role) as roles from conversations group by conv_id),
+    t as (select conv_id, '会議' || conv_id || '（2026-05-01）。' as head, '発言者: ' || array_to_string(roles, '、') || '。' as who, '議題: 財務金融。' as what from m)
+    select conv_id, head || chr(10) || who || case when length(head) + length(who) + length(what) <= 60 then chr(10) || what else '' end as prompt from t""")
+def prompt_tiers(spark, sf_dir):
+    """The most important lines of each meeting that fit into sixty characters."""
+    roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    speakers = F.transform("roles", lambda r: F.struct(F.lit(0.0).alias("start"), r.alias("name"), F.lit("委員長").alias("group")))
+    lines = prompts.tiers(F.concat(F.lit("会議"), F.col("conv_id").cast("string")), F.lit("2026-05-01"), speakers, F.array(F.lit("財務金融に関する件")), F.array().cast("array<string>"))
+    return roles.select("conv_id", prompts.within(lines, 60).alias("prompt"))
+
+
+_DETAIL = (
+    "'<td>予算委員会 (' || page_id || '時間)</td> 2026年5月' || (page_id % 28 + 1) || '日 <a href=\"i?deli_id=1&time=20.5\">山田(会派' || page_id || ')</a><a href=\"i?time=3\">乙</a><a href=\"i?time=20.52\">山田(会派)</a>"
+    "<td width=\"595\" bgcolor=\"#CCCCFF\">議題 <b>' || page_id || '</b></td><input id=\"vtag_src_base_vod\" value=\"http://v/' || page_id || '.m3u8\">' || html"
+)
+
+
+@query("""select page_id, page_id::varchar as deli_id, 'https://v/' || page_id || '.m3u8' as m3u8, '2026-05-' || lpad((page_id % 28 + 1)::varchar, 2, '0') as date, '予算委員会' as title,
+    '3.0 乙 ;20.5 山田 会派' || page_id as speakers, '議題 ' || page_id as agenda from pages""")
+def lower_detail(spark, sf_dir):
+    """Pages with a recording's details in front."""
+    x = pages.lower_detail(F.expr(_DETAIL), F.concat(F.lit("http://x/?deli_id="), F.col("page_id").cast("string")))
+    found = table(spark, sf_dir, "pages").select("page_id", x.alias("x"))
+    said = F.array_join(F.transform("x.speakers", lambda s: F.concat_ws(" ", s.start.cast("string"), s["name"], s["group"])), ";")
+    return found.select("page_id", "x.deli_id", "x.m3u8", "x.date", "x.title", said.alias("speakers"), F.element_at("x.agenda", 1).alias("agenda"))
+
+
+_LISTED = "'<table><tr><td><a href=\"i?deli_id=' || page_id || '\">本会議</a></td><td class=\"s14_24\">' || page_id || '分</td><tr><td><a href=\"i?deli_id=7\">会見</a><td class=\"s14_24\">1分</td><a href=\"i?deli_id=' || page_id || '\">本会議</a><td class=\"s14_24\">2分</td></table>' || html"
+
+
+@query("select page_id, page_id::varchar as id, '本会議' as title, page_id || '分' as duration from pages")
+def daily_listing(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(pages.daily_listing(F.expr(_LISTED))).alias("x"))
+    return found.select("page_id", "x.id", "x.title", "x.duration")
+
+
+_ROSTER = "'<TD class=\"shu2td5\"><TT>氏名</TT></TD><TD class=\"shu2td6\"><TT>ふりがな</TT></TD><TD class=\"shu2td7\"><TT>選挙区</TT></TD><TD class=\"shu2td5\"><TT>甲　' || page_id || '君</TT></TD><TD class=\"shu2td6\"><TT>こう</TT></TD><TD class=\"shu2td7\"><TT>東京' || page_id || '</TT></TD>' || html"
+
+
+@query("select page_id, '甲' || page_id as name, '甲　' || page_id as name_with_spaces, 'こう' as furigana, '東京' || page_id as district from pages")
+def roster(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(pages.members(F.expr(_ROSTER))).alias("x"))
+    return found.select("page_id", "x.name", "x.name_with_spaces", "x.furigana", "x.district")
+
+
+@query("""with t as (select conv_id, turn, case turn % 3 when 0 then '{"corrections":[{"id":1,"text":"a"},{"id":"x"}]}' when 1 then '```json\n[{"id":2,"text":"b"}]\n```' else text end as raw from conversations)
+    select conv_id, turn, case turn % 3 when 0 then 1 else 2 end as id, case turn % 3 when 0 then 'a' else 'b' end as text from t where turn % 3 < 2""")
+def response_corrections(spark, sf_dir):
+    """Responses as an object, as a fenced array, and as something else."""
+    raw = F.when(F.col("turn") % 3 == 0, '{"corrections":[{"id":1,"text":"a"},{"id":"x"}]}').when(F.col("turn") % 3 == 1, '```json\n[{"id":2,"text":"b"}]\n```').otherwise(F.col("text"))
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(pages.corrections(raw)).alias("x"))
+    return found.select("conv_id", "turn", "x.id", "x.text")
