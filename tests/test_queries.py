@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB, and those without for rows."""
+"""Every query against its SQL in DuckDB."""
 
 import duckdb
 import pytest
@@ -28,6 +28,5 @@ def test_same_rows(spark, duck, name):
     assert order([tuple(r[c] for c in names) for r in df.collect()]) == order([tuple(r[i] for i in at) for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_has_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
