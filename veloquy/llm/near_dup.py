@@ -194,13 +194,19 @@ def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = items.join(within, "item", "left_semi").groupBy("node").agg(F.count("*").alias("own"))
     known = stored(placed.join(own, "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"), "known")
     least = stored(known.groupBy("key").agg(F.min("n_shingles").alias("least")), "least")
-    return known.join(least, "key").filter((100 + percent) * F.col("common") >= percent * (F.col("n_shingles") + F.col("least"))).drop("least")
+    found = known.join(least, "key").filter((100 + percent) * F.col("common") >= percent * (F.col("n_shingles") + F.col("least"))).drop("least")
+    found = stored(found, "linkable")
+    discard(within, known, least)
+    return found
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
     """Entries of buckets with more than one component."""
     keys = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return entries.join(stored(keys.select("key"), "mixed-keys"), "key", "left_semi")
+    keys = stored(keys.select("key"), "keys")
+    found = stored(entries.join(keys, "key", "left_semi"), "mixed")
+    discard(keys)
+    return found
 
 
 def _pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -230,16 +236,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(_sets(plain, wanted), "sets")
     centre = stored(shared.join(degree, "node").groupBy("key").agg(F.max_by("node", "degree").alias("a")), "centres")
     star = shared.select("key", F.col("node").alias("b")).join(centre, "key").filter("a <> b").select("a", "b").distinct()
-    links = stored(_confirmed(stored(_likely(star, nodes, percent), "likely"), sets, percent), "links")
+    likely = stored(_likely(star, nodes, percent), "likely")
+    links = stored(_confirmed(likely, sets, percent), "links")
     first = connected_components(links, "a", "b")
 
     placed = shared.join(first, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    mixed = stored(_mixed(placed), "mixed")
-    placed = stored(_linkable(mixed, sets, percent), "linkable")
-    more = _confirmed(stored(_pairs(_mixed(placed), nodes, percent), "pairs"), sets, percent)
+    mixed = _mixed(placed)
+    linkable = _linkable(mixed, sets, percent)
+    rest = _mixed(linkable)
+    pairs = stored(_pairs(rest, nodes, percent), "pairs")
+    more = _confirmed(pairs, sets, percent)
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
     final = connected_components(joined, "a", "b")
-    discard(shared, degree, wanted, centre, links, sets, mixed, placed)
+    discard(shared, degree, wanted, centre, likely, links, sets, mixed, linkable, rest, pairs)
 
     found = stored(nodes.select("node", "doc_id", *CLASS).join(final, "node"), "found")
     least = stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
