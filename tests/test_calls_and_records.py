@@ -159,3 +159,13 @@ def test_sid_pages(spark, least):
     got = {r.sid: (r.date, r["name"], r.valid) for r in catalog.sid_pages(df).collect()}
     assert got == {1: ("2026-05-05", "甲委員会", True), 2: ("2026-05-05", "甲委員会", False), 3: ("", "", False)}
     assert catalog.last_known(catalog.sid_pages(df)).first().sid == 1 and [r.sid for r in catalog.ids_on(catalog.sid_pages(df), "2026-05-05").collect()] == [1]
+
+
+def test_loops_are_counted_and_the_text_is_kept(spark, tmp_path):
+    texts = ["はい" + "ああ" * 12 + "です" + "x" * 10, "plain", "ab" * 200, None]
+    got = many(spark, tx.loops_out, texts)
+    assert [(g.text, g.loops, g.original) for g in got] == [(f"はい{tx.UNCLEAR}です{tx.UNCLEAR}", 2, texts[0]), ("plain", 0, None), (tx.UNCLEAR, 1, texts[2]), (None, 0, None)]
+    assert many(spark, lambda c: tx.record_url(c, "q="), ["a b", "", None]) == ["q=a%20b", "", ""]
+    (tmp_path / "a.meta.json").write_text("not json")
+    (tmp_path / "b.meta.json").write_text('{"house":"h","id":"1","title":"t"}')
+    assert [r.path[-11:] for r in captions.unreadable_meta(spark, str(tmp_path)).collect()] == ["a.meta.json"]

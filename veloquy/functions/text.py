@@ -82,6 +82,12 @@ def percent_encoded(text: Column) -> Column:
     return out
 
 
+def record_url(title: Column, search: str) -> Column:
+    """Address of a search for a meeting in the official record; `search` ends before the words. ''
+    without a title."""
+    return F.when(F.coalesce(title, F.lit("")) == "", "").otherwise(F.concat(F.lit(search), percent_encoded(title)))
+
+
 def days_since(date_text: Column, as_of: Column) -> Column:
     return F.date_diff(as_of, any_date(date_text))
 
@@ -141,9 +147,20 @@ def is_loop(text: Column, least: int = 200, ratio: float = 0.05) -> Column:
     return F.coalesce((F.length(text) > least) & (unique_ratio(text) < ratio), F.lit(False))
 
 
+#: A short unit ten times or more in a row.
+LOOP = r"(.{1,4}?)\1{9,}"
+
+
 def without_loops(text: Column) -> Column:
     """Whole-text loops replaced, else each short unit repeated ten times or more in a row."""
-    return F.when(is_loop(text), UNCLEAR).otherwise(F.regexp_replace(text, r"(.{1,4}?)\1{9,}", UNCLEAR))
+    return F.when(is_loop(text), UNCLEAR).otherwise(F.regexp_replace(text, LOOP, UNCLEAR))
+
+
+def loops_out(text: Column) -> Column:
+    """struct(text, loops, original): `without_loops`, how many loops it replaced, and the text as it
+    was, null where nothing was."""
+    loops = F.when(is_loop(text), 1).otherwise(F.regexp_count(text, F.lit(LOOP)))
+    return F.struct(without_loops(text).alias("text"), F.coalesce(loops, F.lit(0)).alias("loops"), F.when(loops > 0, text).alias("original"))
 
 
 def is_invented(text: Column) -> Column:

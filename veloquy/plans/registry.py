@@ -316,6 +316,11 @@ def percent_encoded(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.percent_encoded(F.col("text")).alias("code"))
 
 
+@query("select page_id, 'https://records.example/?keyword=' || replace(replace(replace(replace(url_encode(url), '+', '%20'), '%2F', '/'), '%7E', '~'), '*', '%2A') as link from pages")
+def record_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.record_url(F.col("url"), "https://records.example/?keyword=").alias("link"))
+
+
 @query("select o_orderkey, case when o_orderkey % 5 = 4 then null else date_diff('day', o_orderdate::date, date '1999-01-01') end as days from orders")
 def age_in_days(spark, sf_dir):
     """Dates in four spellings, and one that is none of them."""

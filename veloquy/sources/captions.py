@@ -87,10 +87,21 @@ def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     return spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(folder).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
 
 
+def _parsed_meta(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
+    rows = _files(spark, folder, "*.meta.json").withColumn("meta", F.from_json("content", META, {"mode": "PERMISSIVE"}))
+    return rows, F.col("meta").isNotNull() & F.coalesce("meta.house", "meta.id", "meta.title").isNotNull()
+
+
+def unreadable_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the `*.meta.json` that `read_meta` leaves out, to be warned of."""
+    rows, readable = _parsed_meta(spark, folder)
+    return rows.filter(~F.coalesce(readable, F.lit(False))).select("path")
+
+
 def read_meta(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each readable `*.meta.json`; unreadable ones are left out."""
-    rows = _files(spark, folder, "*.meta.json").withColumn("meta", F.from_json("content", META, {"mode": "PERMISSIVE"}))
-    rows = rows.filter(F.col("meta").isNotNull() & (F.coalesce("meta.house", "meta.id", "meta.title").isNotNull()))
+    rows, readable = _parsed_meta(spark, folder)
+    rows = rows.filter(readable)
     return rows.select("path", "mtime", file_base(F.col("path"), ".meta.json").alias("base"), "meta.*")
 
 
