@@ -232,7 +232,11 @@ def _kind(m: Column) -> Column:
     return kind.when(F.length(_only_digits(m)) < 13, "phone").otherwise("card")
 
 
-def _found(key: str, text: Column, pattern: str) -> Column:
+def _matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
+
+
+def _found(key: str, matches: Column) -> Column:
     """Array of struct(kind, old, new) for each match; `new` is null where validation fails."""
 
     def one(m: Column) -> Column:
@@ -244,30 +248,30 @@ def _found(key: str, text: Column, pattern: str) -> Column:
 
         return _let(_kind(m), made)
 
-    return F.transform(F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0)), one)
+    return F.transform(matches, one)
 
 
-def _searched(key: str, text: Column, pattern: str) -> Column:
-    """For each match of `pattern` an array of struct(kind, old, new) that make it up: itself, or
+def _searched(key: str, matches: Column) -> Column:
+    """For each match an array of struct(kind, old, new) that make it up: itself, or
     where it is no card after all, what the strict patterns find in it and the text between."""
 
     def one(f: Column) -> Column:
         none = F.lit(None).cast("string")
         between = lambda p, g: F.array(F.struct(none.alias("kind"), p.alias("old"), none.alias("new")), F.coalesce(g, F.struct(none.alias("kind"), F.lit("").alias("old"), none.alias("new"))))
-        inner = F.flatten(F.zip_with(F.split(f.old, _STRICT, -1), _found(key, f.old, _STRICT), between))
+        inner = F.flatten(F.zip_with(F.split(f.old, _STRICT, -1), _found(key, _matches(f.old, _STRICT)), between))
         return F.when(f.new.isNull() & (f.kind == "card") & f.old.rlike("[^0-9]"), inner).otherwise(F.array(f))
 
-    return F.transform(_found(key, text, pattern), one)
+    return F.transform(_found(key, matches), one)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with the text replaced and an array column `pii` of struct(kind, old, new) added."""
     at = f"c{docs.columns.index(text_col)}"
     text = F.col(at).cast("string")
-    has = F.when(text.contains("@"), _searched(key, text, _ALL)).when(text.rlike("[0-9]"), _searched(key, text, _DIGITS))
+    matches = F.when(text.contains("@"), _matches(text, _ALL)).when(text.rlike("[0-9]"), _matches(text, _DIGITS))
     cut = F.when(text.contains("@"), F.split(text, _ALL, -1)).otherwise(F.split(text, _DIGITS, -1))
     shown = lambda pieces: F.array_join(F.transform(pieces, lambda f: F.coalesce(f.new, f.old)), "")
     whole = F.array_join(F.flatten(F.zip_with(cut, "found", lambda p, f: F.array(p, F.coalesce(shown(f), F.lit(""))))), "")
-    out = numbered(docs).withColumn("found", has)
+    out = numbered(docs).withColumn("found", _searched(key, matches))
     out = out.withColumn(at, F.when(F.size("found") > 0, whole).otherwise(text))
     return renamed(out, docs, pii=F.when(F.col(at).isNotNull(), F.filter(F.flatten(F.coalesce("found", F.array())), lambda f: f.new.isNotNull())))
