@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .brown_lm import brown_scores
 from .common import crc_mod, documents
+from .divergence import divergence
 from .fingerprints import fingerprints
 from .labelled import joined_sample, label_share, labelled_sample
 from .language_id import fit_language, with_language
@@ -18,7 +19,9 @@ from .pieces import with_decoded, with_pieces
 from .pii import pseudonymised
 from .quality_classifier import THRESHOLD, fit_quality, quality_scores
 from .quality_rules import COVERAGE_LIMITS, quality_rules
+from .token_counts import with_budget
 from .toxicity import fit_toxicity, with_score
+from .vector_codes import compressed
 
 QUERIES: dict = {}
 
@@ -48,6 +51,8 @@ def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Pseudonyms made with another key can't be linked with these; production passes its own.
 PSEUDONYM_KEY = "documents-v1"
+WORD_MODEL = "file:///opt/tokenizers/word_bpe_49k.json"
+TOKEN_LIMIT = 2048
 PIECE_MODEL = "file:///opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -112,3 +117,22 @@ def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, and the code points of its longest prefix within the limit."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = with_budget(docs, piece_model(spark, WORD_MODEL), TOKEN_LIMIT)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", n_bytes.alias("n_bytes"), "tokens.n_tokens", (F.col("tokens.n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col("tokens.fits").alias("fits"))
