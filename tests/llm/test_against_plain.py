@@ -100,16 +100,9 @@ def test_quality_features_and_scores(texts):
         assert math.isclose(score, 1 / (1 + math.exp(-max(min(z, 30), -30))), rel_tol=1e-6)
 
 
-def test_mix_takes_the_documents_of_the_rule(spark):
-    rnd = random.Random(9)
-    rows = [(i, " ".join("w" for _ in range(rnd.choice([0, 1, 5, 40, 300]))), rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    marks = {r.doc_id: r.m for r in df.select("doc_id", mixing.order_key("doc_id", "text", mixing.SEED).alias("m")).collect()}
-    got = {r.doc_id: r.mix for r in mixing.mixed(df).collect()}
-    sizes, source = {i: len(WORD.findall(t)) for i, t, _ in rows}, {i: s for i, _, s in rows}
-    names = sorted({s for s in source.values() if s}) + [None]
-    total = {s: sum(sizes[i] for i in sizes if source[i] == s) for s in names}
-    # Water-filling by rounds.
+def water_filling(total):
+    """Targets by rounds: sources above three times their size stop there, the rest is shared anew."""
+    names = sorted(s for s in total if s is not None) + ([None] if None in total else [])
     weight, target, open_ = {s: k % 3 + 1 for k, s in enumerate(names)}, {}, set(names)
     left = float(sum(total.values()))
     while open_:
@@ -120,26 +113,67 @@ def test_mix_takes_the_documents_of_the_rule(spark):
         target |= {s: 3.0 * total[s] for s in over}
         left -= sum(target[s] for s in over)
         open_ -= over
-    for s in names:
-        own = sorted((i for i in sizes if source[i] == s), key=marks.get)
-        whole = min(int(target[s] // total[s]), 3)
-        more = target[s] - whole * total[s]
-        taken, extra, after = set(), 0, []
-        for k, i in enumerate(own):
-            if extra + sizes[i] > more:
-                after = own[k:]
-                break
-            taken.add(i)
-            extra += sizes[i]
-        room, used = more - extra, 0
-        for i in after:
-            if sizes[i] <= math.floor(room / 2):
-                used += sizes[i]
-                if used - sizes[i] / 2 > room:
-                    break
-                taken.add(i)
-        assert math.isclose(got[own[0]].target, target[s], rel_tol=1e-9)
-        assert {i: got[i].repeats for i in own if sizes[i]} == {i: whole + (i in taken) for i in own if sizes[i]}
+    return target
+
+
+def mixed_by_source(spark, rows):
+    """[(source, target, size, repeats of each row)] of the mix of (id, words, source)."""
+    df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    by = {}
+    for r in mixing.mixed(df.repartition(3)).collect():
+        assert r.mix.size == len(r.text) // 2 and 0 <= r.mix.repeats <= 3
+        by.setdefault(r.source, []).append(r.mix)
+    want = water_filling({s: sum(m.size for m in ms) for s, ms in by.items()})
+    for s, ms in by.items():
+        assert all(math.isclose(m.target, want[s], rel_tol=1e-9) for m in ms)
+    return {s: (want[s], [m.size for m in ms], [m.repeats for m in ms]) for s, ms in by.items()}
+
+
+def misses(found):
+    return {s: abs(target - sum(n * r for n, r in zip(sizes, repeats, strict=True))) for s, (target, sizes, repeats) in found.items()}
+
+
+def test_small_sources_have_the_best_subset(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice([0, 1, 5, 40, 300, rnd.randrange(2000)]), rnd.choice(["a", "b", "c", "d", "e", None])) for i in range(60)]
+    rows = [r for k, r in enumerate(rows) if sum(x[2] == r[2] for x in rows[:k]) < mixing.AROUND]
+    found = mixed_by_source(spark, rows)
+    for s, (target, sizes, repeats) in found.items():
+        whole = min(int(target // sum(sizes)), 3)
+        sums = {0}
+        for n in sizes:
+            sums |= {x + n for x in sums}
+        assert set(repeats) <= {whole, whole + 1}
+        assert math.isclose(misses(found)[s], min(abs(target - whole * sum(sizes) - x) for x in sums), abs_tol=1e-6)
+
+
+def test_large_sources_and_few_long_documents(spark):
+    rnd = random.Random(10)
+    rows = [(i, rnd.choice([0, 1, 5, 40, 300]), rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(900)]
+    assert max(misses(mixed_by_source(spark, rows)).values()) < 1
+    # One long document among short ones, and sources of one document or of equal ones.
+    rows = [(1, 90_000, "a"), *[(10 + i, 7, "a") for i in range(40)], *[(100 + i, 1000 + i % 2, "b") for i in range(200)], (900, 1000, "c")]
+    got = misses(mixed_by_source(spark, rows))
+    assert got["a"] <= 45_000 and got["b"] <= 500 and got["c"] == 0
+    assert misses(mixed_by_source(spark, [(1, 1000, "a"), (2, 1000, "b")])) == {"a": 1000 - 2000 / 3, "b": 4000 / 3 - 1000}
+    # Where the cut falls into long documents, shorter ones behind it fill what is missing.
+    rows = [(i, 5000, "a") for i in range(60)] + [(100 + i, 3, "a") for i in range(8000)] + [(9000, 200_000, "b")]
+    assert misses(mixed_by_source(spark, rows))["a"] <= 1.5
+
+
+def test_identical_rows_are_taken_one_by_one(spark):
+    for n in (10, 300):
+        found = mixed_by_source(spark, [(1, 100, "a")] * n + [(2, 100, "b")] * n)
+        assert max(misses(found).values()) <= 50 and len(found["a"][1]) == n
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mix_is_near_its_targets_at_every_size(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "source")
+    sums = mixing.mixed(docs).groupBy("source").agg({"mix.target": "max", "mix.source_size": "max"}).collect()
+    taken = {r.source: r.taken for r in mixing.mixed(docs).selectExpr("source", "mix.size * mix.repeats as taken").groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "taken").collect()}
+    targets = {r.source: r[1] for r in sums}
+    assert len(targets) == 20 and all(abs(taken[s] - t) <= 0.02 * t for s, t in targets.items())
 
 
 def test_mail_pseudonyms(spark):
