@@ -40,7 +40,17 @@ def test_index_finds_what_the_scan_finds(rows, index, text):
 
 def test_index_reads_its_terms_folders_only(index):
     plan = postings.search(index, Query(("budget", "road")))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:40] and "PushedFilters: [In(term" in plan.replace("IsNotNull(term), ", "")
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:40] and "PushedFilters: [In(__term" in plan.replace("IsNotNull(__term), ", "")
+
+
+def test_columns_may_have_any_name_and_keys_are_unique(spark):
+    rows = spark.createDataFrame([(1, "budget road", 5, "x", 2), (9, "budget", 6, "y", 3)], "bucket long, text string, length int, term string, f int")
+    named = postings.build(rows, new_path(spark, "index"), "bucket", metadata=("length", "term", "f"))
+    assert [r.bucket for r in postings.search(named, Query(("budget",))).collect()] == [9, 1]
+    assert [r.bucket for r in postings.search(named, Query(("budget",)), where=(F.col("length") == 5) & (F.col("term") == "x") & (F.col("f") == 2)).collect()] == [1]
+    for bad in ([(1, "a"), (1, "b")], [(1, "a"), (None, "b")]):
+        with pytest.raises(ValueError):
+            postings.build(spark.createDataFrame(bad, "key long, text string"), new_path(spark, "index"), "key")
 
 
 def test_phrases_need_texts_and_an_empty_table_finds_nothing(spark, rows, index):

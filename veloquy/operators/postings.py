@@ -1,4 +1,5 @@
-"""A search index: postings by term, and the lengths of rows.
+"""A search index made once: postings by term, and the lengths of rows. One that follows changing
+files is in `segments`.
 
 Two Parquet tables. `postings` has one row (term, key, f, length) for each term of each row,
 in folders by a hash of the term and sorted by term within files, so that a query reads the
@@ -7,7 +8,8 @@ and the metadata columns that searches filter by, without texts. A search reads
 text, but for phrases. Scores are those of `search.bm25` over the same rows.
 
 Building shuffles one row for each distinct term of each row by (bucket, term and key), so the
-postings of a frequent term are written by many tasks.
+postings of a frequent term are written by many tasks. The index's own columns begin with two
+underscores, so key and metadata may have any other name; keys that are null or repeat are refused.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veloquy.functions.query import Query
 from veloquy.functions.text import regex_tokens
@@ -38,12 +41,13 @@ class Index:
     rows: DataFrame
     key: str
     buckets: int
+    df: dict[str, int] = field(default_factory=dict)  # of terms looked up without filters
 
     @property
     def whole(self) -> tuple[int, float]:
         """(rows, mean length) without filters, read once."""
         if not hasattr(self, "_whole"):
-            r = self.rows.agg(F.count("*"), F.avg("length")).first()
+            r = self.rows.agg(F.count("*"), F.avg("__length")).first()
             self._whole = (r[0], r[1] or 0.0)
         return self._whole
 
@@ -52,20 +56,24 @@ def build(rows: DataFrame, path: str, key: str, text_col: str = "text", tokens_c
     """Write the index of `rows` under `path`; keys must be unique."""
     tokens = regex_tokens(F.col(text_col)) if tokens_col is None else F.col(tokens_col)
     split = rows.select(F.col(key), *metadata, tokens.alias("__tokens"))
-    split.select(key, *metadata, F.size("__tokens").alias("length")).write.mode("overwrite").parquet(f"{path}/rows")
+    split.select(key, *metadata, F.size("__tokens").alias("__length")).write.mode("overwrite").parquet(f"{path}/rows")
+    spark = rows.sparkSession
+    n, known, distinct = spark.read.parquet(f"{path}/rows").agg(F.count("*"), F.count(key), F.countDistinct(key)).first()
+    if not n == known == distinct:
+        raise ValueError("keys are null or repeat")
     # A row's tokens are in one task, so its counts are complete before anything is shuffled.
-    each = split.select(key, F.size("__tokens").alias("length"), F.explode("__tokens").alias("term")).groupBy("term", key, "length").agg(F.count("*").cast("int").alias("f"))
-    dealt = each.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    dealt = dealt.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    return open_index(rows.sparkSession, path, key, buckets)
+    each = split.select(key, F.size("__tokens").alias("__length"), F.explode("__tokens").alias("__term")).groupBy("__term", key, "__length").agg(F.count("*").cast("int").alias("__f"))
+    dealt = each.withColumn("__bucket", bucket_of(F.col("__term"), buckets))
+    dealt = dealt.repartitionByRange("__bucket", "__term", key).sortWithinPartitions("__bucket", "__term", key)
+    dealt.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/postings")
+    return open_index(spark, path, key, buckets)
 
 
 def open_index(spark: SparkSession, path: str, key: str, buckets: int = BUCKETS) -> Index:
     rows = spark.read.parquet(f"{path}/rows")
     # An index of no terms has no folders to tell the columns by.
-    postings = spark.read.schema(f"term string, {key} {rows.schema[key].dataType.simpleString()}, length int, f int, bucket int").parquet(f"{path}/postings")
-    return Index(postings, rows, key, buckets)
+    kind = T.StructType().add("__term", "string").add(key, rows.schema[key].dataType).add("__length", "integer").add("__f", "integer").add("__bucket", "integer")
+    return Index(spark.read.schema(kind).parquet(f"{path}/postings"), rows, key, buckets)
 
 
 def search(index: Index, query: Query, k: int | None = 10, where: Column | None = None, texts: DataFrame | None = None, text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -77,18 +85,25 @@ def search(index: Index, query: Query, k: int | None = 10, where: Column | None
     if query.phrases and texts is None:
         raise ValueError("phrases are looked up in texts")
     places = sorted({zlib.crc32(t.encode()) % index.buckets for t in terms})
-    found = index.postings.filter(F.col("bucket").isin(places) & F.col("term").isin(terms)).select("term", key, "f", "length")
+    found = index.postings.filter(F.col("__bucket").isin(places) & F.col("__term").isin(terms)).select("__term", key, "__f", "__length")
     n, mean_length = index.whole
     if where is not None:
         kept = index.rows.filter(where)
         found = found.join(kept.select(key), key, "left_semi")
-        n, mean_length = kept.agg(F.count("*"), F.avg("length")).first()
+        n, mean_length = kept.agg(F.count("*"), F.avg("__length")).first()
     # One number for each term of the query.
-    df = {r.term: r.df for r in found.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    count = lambda rows: {r[0]: r[1] for r in rows.groupBy("__term").agg(F.count("*")).collect()}
+    if where is None:
+        new = [t for t in terms if t not in index.df]
+        if new:
+            index.df |= dict.fromkeys(new, 0) | count(found.filter(F.col("__term").isin(new)))
+        df = {t: index.df[t] for t in terms}
+    else:
+        df = count(found)
     weights = {t: times[t] * math.log((n - d + 0.5) / (d + 0.5) + 1.0) for t, d in df.items()}
-    use = reduce(lambda c, t: c.when(F.col("term") == t, F.lit(weights[t])), weights, F.when(F.lit(False), F.lit(0.0)))
-    part = use * saturated(F.col("f").cast("double"), F.col("length").cast("double"), F.lit(mean_length or 1.0), k1, b)
-    out = found.withColumn("part", part).groupBy(key).agg(F.sum("part").alias("score"))
+    use = reduce(lambda c, t: c.when(F.col("__term") == t, F.lit(weights[t])), weights, F.when(F.lit(False), F.lit(0.0)))
+    part = use * saturated(F.col("__f").cast("double"), F.col("__length").cast("double"), F.lit(mean_length or 1.0), k1, b)
+    out = found.groupBy(key).agg(F.sum(part).alias("score"))
     if query.phrases:
         hits = texts.select(key, text_col).join(out, key)
         out = reduce(lambda d, p: d.filter(F.col(text_col).contains(p)), query.phrases, hits).select(key, "score")

@@ -17,7 +17,7 @@ from veloquy.functions import calls
 from veloquy.functions import text as tx
 from veloquy.functions.query import parse_query
 from veloquy.operators import attribution as at
-from veloquy.operators import catalog, postings, prompts, render
+from veloquy.operators import catalog, postings, prompts, render, segments
 from veloquy.operators import search as se
 from veloquy.sources import captions, pages
 from veloquy.storage import new_path
@@ -98,23 +98,65 @@ def bm25_all_scores(spark, sf_dir):
     return _hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "moron de", None)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, postings.Index]:
+def _kept(hits: DataFrame, path: str) -> DataFrame:
+    """The few best hits of an index that is then deleted."""
+    spark, found = hits.sparkSession, hits.collect()
+    segments.clear(spark, path)
+    return spark.createDataFrame(found, hits.schema).select("doc_id", F.round("score", 4).alias("score"))
+
+
+def _index(spark: SparkSession, sf_dir: str, path: str) -> tuple[DataFrame, postings.Index]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return docs, postings.build(docs, new_path(spark, "index"), "doc_id", metadata=("lang", "source"))
+    return docs, postings.build(docs, path, "doc_id", metadata=("lang", "source"))
 
 
 @query(_bm25_sql({"clown": 1, "theration": 1, "moron": 1}))
 def postings_topk(spark, sf_dir):
-    _, index = _index(spark, sf_dir)
-    return postings.search(index, parse_query("theration clown moron")).select("doc_id", F.round("score", 4).alias("score"))
+    path = new_path(spark, "index")
+    _, index = _index(spark, sf_dir, path)
+    return _kept(postings.search(index, parse_query("theration clown moron")), path)
 
 
 @query(_bm25_sql({"idiot": 2, "with": 1, "that": 1}, "lang = 'en' and contains(coalesce(source, ''), 'src1')", "contains(d.text, 'of the')"))
 def postings_filtered(spark, sf_dir):
     """Filters narrow what is counted, the phrase what is found."""
-    docs, index = _index(spark, sf_dir)
+    path = new_path(spark, "index")
+    docs, index = _index(spark, sf_dir, path)
     where = (F.col("lang") == "en") & F.coalesce("source", F.lit("")).contains("src1")
-    return postings.search(index, parse_query('idiot with idiot that "of the"'), where=where, texts=docs).select("doc_id", F.round("score", 4).alias("score"))
+    return _kept(postings.search(index, parse_query('idiot with idiot that "of the"'), where=where, texts=docs), path)
+
+
+def _segments(spark: SparkSession, sf_dir: str, path: str) -> segments.SegmentIndex:
+    """Sources stand for files. A first state has other texts in src3, no src7 and a file that
+    goes away; then the index follows to the table as it is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.col("source").alias("path"), F.lit(2).alias("stamp"))
+    other = F.col("path") == "src3"
+    before = docs.filter("path is null or path <> 'src7'").withColumns({"text": F.when(other, F.upper("text")).otherwise(F.col("text")), "stamp": F.when(other, 1).otherwise(F.col("stamp"))})
+    gone = docs.filter("path = 'src1'").withColumns({"doc_id": -1 - F.col("doc_id"), "path": F.lit("gone")})
+    for state in (before.unionByName(gone), docs):
+        index = segments.update(spark, path, state.select("path", "stamp"), lambda files, s=state: s.join(files.withColumnsRenamed({"path": "p", "stamp": "t"}), F.col("path").eqNullSafe(F.col("p")) & (F.col("stamp") == F.col("t")), "left_semi"), "doc_id", metadata=("lang", "path"))
+    return index
+
+
+@query(_bm25_sql({"clown": 1, "theration": 1, "moron": 1}))
+def segments_topk(spark, sf_dir):
+    path = new_path(spark, "segments")
+    return _kept(segments.search(_segments(spark, sf_dir, path), parse_query("theration clown moron")), path)
+
+
+@query(_bm25_sql({"with": 1, "that": 1, "moron": 1}))
+def segments_block_maxima(spark, sf_dir):
+    """After a compaction, and with the bounds of blocks looked at first."""
+    path = new_path(spark, "segments")
+    _segments(spark, sf_dir, path)
+    return _kept(segments.search(segments.compact(spark, path), parse_query("with that moron"), direct=0), path)
+
+
+@query(_bm25_sql({"idiot": 2, "with": 1, "that": 1}, "lang = 'en' and contains(coalesce(source, ''), 'src1')", "contains(d.text, 'of the')"))
+def segments_filtered_phrase(spark, sf_dir):
+    path = new_path(spark, "segments")
+    where = (F.col("lang") == "en") & F.coalesce("path", F.lit("")).contains("src1")
+    return _kept(segments.search(_segments(spark, sf_dir, path), parse_query('idiot with idiot that "of the"'), where=where), path)
 
 
 @query("select term, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by term")
