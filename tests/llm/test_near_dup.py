@@ -98,3 +98,19 @@ def test_components_match_union_find(spark):
     touched = {i for e in edges if e[0] != e[1] for i in e}
     got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.component for r in got} == {i: root(i) for i in touched} and len(got) == len(touched)
+
+
+def test_texts_meet_their_classes_by_shuffle_too(spark):
+    """The join of texts and classes as it runs on large tables, where nothing is broadcast."""
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rnd.choices(words, k=60)) for _ in range(30)]
+    rows = [(i, base[i % 30] if i % 4 else base[i % 30] + f" x{i}") for i in range(240)] + [(999, None), (1000, "")]
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "-1")
+        got = result(spark, rows)
+    finally:
+        spark.conf.set(name, before)
+    assert got == brute(rows) == result(spark, rows)

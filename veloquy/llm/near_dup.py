@@ -46,8 +46,6 @@ BANDS, ROWS = 64, 6
 PLANES, LEAST_AGREEING = 4, 258
 #: What tells the set of a text from others.
 CLASS = ("n_shingles", "digest1", "digest2")
-#: Rows of four longs that are broadcast at most.
-BROADCAST_ROWS = 250_000
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
@@ -148,7 +146,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, items) of the classes in `wanted` (node, doc_id, digest1, digest2), from the text of
-    one row of each. Up to BROADCAST_ROWS of them are broadcast, more are joined by shuffle."""
+    one row of each. One join at every size; Spark broadcasts `wanted` only if what was written of it
+    is below its own threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +158,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "items"]).filter(pa.array(same))
 
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "digest1", "digest2", "text")
+    texts = docs.join(wanted, "doc_id").select("node", "digest1", "digest2", "text")
     return texts.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
 
