@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloquy.functions.text import ends_sentence, punctuated
+from veloquy.storage import stored
 
 
 def by_start(speakers: Column) -> Column:
@@ -39,6 +40,39 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str],
     return out.select("__row.*", *[F.col(f"__found.{n}").alias(v) for v, n in zip(value, names, strict=True)])
 
 
+def _both_sides(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str], tie: str | None) -> DataFrame:
+    """Rows of both tables: (__by, __at, __side, __tie, __row, __v), side 0 for `right`."""
+    rank = lambda df: F.col(tie) if tie else F.lit(0)
+    payload = F.struct(*[F.col(v).alias(f"__v{i}") for i, v in enumerate(value)])
+    b = right.select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.lit(0).alias("__side"), rank(right).alias("__tie"), payload.alias("__v"))
+    a = left.select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(b.schema["__tie"].dataType).alias("__tie"), F.struct(*left.columns).alias("__row"))
+    a = a.withColumn("__v", F.lit(None).cast(b.schema["__v"].dataType))
+    return a.unionByName(b.withColumn("__row", F.lit(None).cast(a.schema["__row"].dataType)))
+
+
+def as_of_ranges(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str], clamp: bool = True, tie: str | None = None) -> DataFrame:
+    """As `as_of`, for groups of any size: rows are dealt by ranges of (group, time), so one group
+    may lie in many tasks. Each range is summed up to its last row of `right` for each group; a
+    pass over these few rows (one for each group and each range it lies in) carries the last one of
+    the ranges before into each; then a row looks at its own range, and at what was carried where
+    nothing stands before it there. Rows of `right` at the same time are taken in order of `tie`.
+    Null groups are one group; rows with a null time come before all others."""
+    dealt = stored(_both_sides(left, right, by, at, value, tie).repartitionByRange("__by", "__at", "__side", "__tie").withColumn("__part", F.spark_partition_id()), "ranges")
+    order = F.when(F.col("__side") == 0, F.struct("__at", "__tie"))
+    ends = dealt.groupBy("__by", "__part").agg(F.max_by("__v", order).alias("__last"), F.min_by("__v", order).alias("__first"))
+    parts = Window.partitionBy("__by").orderBy("__part")
+    carried = ends.select(
+        F.col("__by").alias("__b"), F.col("__part").alias("__p"), F.last("__last", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"),
+        F.first("__first", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__start"),
+    )
+    local = Window.partitionBy("__part", "__by").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("__own", F.last("__v", ignorenulls=True).over(local)).filter("__side = 1").select("__by", "__part", "__row", "__own")
+    found = found.join(carried, F.col("__by").eqNullSafe(F.col("__b")) & (F.col("__part") == F.col("__p")))
+    best = F.coalesce("__own", "__carried", *(["__start"] if clamp else []))
+    found = found.select("__row", best.alias("__found"))
+    return found.select("__row.*", *[F.col(f"__found.__v{i}").alias(v) for i, v in enumerate(value)])
+
+
 def with_next(rows: DataFrame, by: str, at: str, name: str = "next_start", *tie: str) -> DataFrame:
     """`rows` with the next start of their group; rows of equal start in order of `tie`."""
     return rows.withColumn(name, F.lead(at).over(Window.partitionBy(by).orderBy(at, *tie)))

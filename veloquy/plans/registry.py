@@ -196,6 +196,14 @@ def asof_clamped(spark, sf_dir):
     return at.as_of(cues, speakers, "user_id", "ts", ["speaker"]).select("event_id", "user_id", "speaker")
 
 
+@query(f"""with {_SPEAKERS}, f as (select user_id, arg_min(speaker, ts) as first from sp group by user_id)
+    select cu.event_id, cu.user_id, coalesce(sp.speaker, f.first) as speaker from cu asof left join sp on cu.user_id = sp.user_id and cu.ts >= sp.ts left join f on cu.user_id = f.user_id""")
+def asof_ranges(spark, sf_dir):
+    """The same, with a user's events dealt over tasks by ranges of time."""
+    cues, speakers = _timeline(spark, sf_dir)
+    return at.as_of_ranges(cues, speakers, "user_id", "ts", ["speaker"]).select("event_id", "user_id", "speaker")
+
+
 @query(f"""with {_SPEAKERS}, f as (select user_id, arg_min(speaker, ts) as first from sp group by user_id),
     a as (select coalesce(sp.speaker, f.first) as speaker from cu asof left join sp on cu.user_id = sp.user_id and cu.ts >= sp.ts left join f on cu.user_id = f.user_id)
     select sp.user_id, sp.speaker, count(a.speaker) as n_cues from sp left join a on sp.speaker = a.speaker group by all""")
