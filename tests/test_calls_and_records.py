@@ -3,6 +3,7 @@
 import datetime
 import json
 import os
+import random
 import urllib.parse
 
 import pytest
@@ -40,6 +41,67 @@ def test_mentions_and_others_are_no_calls(spark):
     assert found(spark, ["山本大臣お答えします。"], []) == [[]] and found(spark, ["山本大臣お答えします。"], None) == [[]]
 
 
+LONG = "山田国土交通省総合政策局長お答えします。ええ。阿部こども家庭庁長官はい。山本さんが昨日申し上げた件について大臣。木原内閣府特命担当大臣。"
+
+
+def by_roster(spark, texts, names=NAMES):
+    rows = calls.roster_calls(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", spark.createDataFrame([(n,) for n in names], "name string"))
+    return [[(c["name"], c.role_str, c.start) for c in r.calls] for r in rows.orderBy("i").collect()]
+
+
+def test_titles_of_any_length_and_names_in_a_row(spark):
+    names = [*NAMES, "山田", "太郎"]
+    want = [("山田", "国土交通省総合政策局長", 0), ("阿部", "こども家庭庁長官", LONG.index("阿部")), ("木原", "内閣府特命担当大臣", LONG.index("木原"))]
+    texts = [LONG, "山田太郎財務大臣お答え。", "先。山田君。"]
+    for find in (found, by_roster):
+        assert find(spark, texts, names) == [want, [("山田太郎", "財務大臣", 0)], [("山田", "_return", 2)]]
+
+
+def test_one_automaton_finds_what_the_lists_find(spark):
+    rnd = random.Random(2)
+    parts = ["山本", "三浦", "鈴木", "花子", "大臣", "審議官", "君", "氏", "、", "。", "の", "に", "はい", "は", "と", "ところ", "デジタル", "総合政策", "局長", "今", "ABC", " "]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(1, 14))) for _ in range(400)]
+    names = ["山本", "三浦", "鈴木", "花子", "鈴木花子"]
+    assert by_roster(spark, texts, names) == found(spark, texts, names)
+    assert by_roster(spark, [None, "", "山本大臣お答え"], []) == [[], [], []]
+
+
+def test_long_texts_are_cut_at_sentences(spark):
+    body = "これは長い文です。" * 3000
+    text = body + "山本大臣お答えします。" + body + "三浦統括監はい。"
+    assert len(body.encode()) > 2 * calls.MOST_BYTES
+    assert by_roster(spark, [text]) == [[("山本", "大臣", len(body)), ("三浦", "統括監", 2 * len(body) + 11)]]
+    pieces = list(calls._pieces(text))
+    assert "".join(p for _, p in pieces) == text and all(len(p.encode()) <= calls.MOST_BYTES and text.startswith(p, i) for i, p in pieces)
+    assert "".join(p for _, p in calls._pieces("あ" * 30_000)) == "あ" * 30_000
+
+
+def test_neighbours_of_one_speaker_are_one_turn(spark):
+    rows = spark.createDataFrame([(1, "伺います。山本大臣お答えします。山本大臣続けます。鈴木花子君次に。", "鈴木花子", "甲党"), (2, "山本大臣どうぞ。", "鈴木花子", "甲党"), (3, "何もない。", "鈴木花子", "甲党"), (4, "", "x", None)], "k int, t string, p string, g string")
+    called = rows.withColumn("c", calls.speaker_calls(F.col("t"), F.array(*map(F.lit, ["山本", "鈴木花子"]))))
+    got = prompts.merged_turns(prompts.turns(called, "k", "t", "p", "c", "g"), "k").orderBy("k", "at").collect()
+    assert [(r.k, r.speaker, r.klass, r.role, r.group, r.text) for r in got] == [
+        (1, "鈴木花子", "questioner", "議員", "甲党", "伺います。"), (1, "山本", "minister", "大臣", "", "山本大臣お答えします。 山本大臣続けます。"), (1, "鈴木花子", "questioner", "議員", "", "鈴木花子君次に。"),
+        (2, "山本", "minister", "大臣", "", "山本大臣どうぞ。"), (3, "鈴木花子", "questioner", "議員", "甲党", "何もない。"),
+    ]
+
+
+def test_listing_to_read(spark):
+    rows = [("2026-05-15", "shugiin", "7", "予算委員会", "2時間", True, "u7"), ("2026-05-15", "sangiin", None, "本会議", None, None, None), ("x", "sangiin", "3", "t", "", False, "u3")]
+    items = spark.createDataFrame(rows, "date string, house string, id string, title string, duration string, fetched boolean, page_url string")
+    assert [r.value for r in render.listing_text(items).collect()] == [
+        "[3 件]", "── 2026-05-15 (金) ──", "  [参議院] 本会議", "    id=?", "    ", "  [衆議院] 予算委員会 / 2時間 ✓ 取込済", "    id=7  fetch 7", "    u7", "── x (?) ──", "  [参議院] t", "    id=3  fetch 3", "    u3",
+    ]
+    lines = [json.loads(r.value) for r in render.listing_json_lines(items).collect()]
+    assert lines[0] == {"type": "summary", "n_items": 3} and len(lines) == 4 and lines[1]["type"] == "item" and lines[1]["title"] == "予算委員会"
+    assert [r.value for r in render.listing_text(items.limit(0)).collect()] == ["[0 件]"]
+
+
+def test_days_since_two_spellings_as_a_beginning(spark):
+    texts = ["2026-05-01 (金)", "2026年5月1日", "2026-5-1", "20260501", "2026/5/1", "2026-13-01", " 2026-05-01", "", None]
+    assert many(spark, lambda c: tx.days_since(c, F.lit("2026-05-11").cast("date")), texts) == [10, 10, 10, None, None, None, None, None, None]
+
+
 def test_roles_classes_and_chunks(spark):
     assert many(spark, calls.ends_in_role, ["総括審議官", "局長、大臣", "大臣は"]) == [True, False, False]
     assert many(spark, calls.page_class, ["予算委員長", "甲党", None]) == ["chair", "questioner", "questioner"]
@@ -64,7 +126,7 @@ def test_addresses(spark):
 
 
 def test_detail_pages(spark):
-    html = "<dt>開会日</dt><dd>2026年5月15日</dd><dt> 会議名 </dt><dd> 予算委員会 </dd><a href='#5'>甲(乙党)</a>"
+    html = "<dt>開会日</dt><dd>2026年5月15日</dd><dt> 会議名 </dt><dd> 予算委員会 </dd><a href='#1'>目次</a><h3>発言者一覧</h3><ul><li><a href='#5'>甲(乙党)</a></li></ul><a href='#9'>注</a>"
     df = spark.createDataFrame([(html, 'x{url:"https://v/a.m3u8"}', None), (html, 'url:"",channel_info:{id:1,url:"https://c/d/info.json"}', '{"manifest":"m/x.m3u8"}'), (html, "", None)], "h string, s string, d string")
     got = [r.x for r in df.select(pages.upper_detail(F.col("h"), F.col("s"), F.lit("u"), F.col("d")).alias("x")).collect()]
     assert [(x.m3u8, x.is_live) for x in got] == [("https://v/a.m3u8", False), ("https://c/d/m/x.m3u8", True), (None, False)]

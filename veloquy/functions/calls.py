@@ -1,14 +1,21 @@
 """Speaker calls in captions, by a lexicon of names and roles.
 
-Without a morphological analyser the names come from the meeting's own lists: full names and
-surnames. A call is a name with a role (and what stands between them, up to LONGEST_TITLE
-characters without punctuation) or a form of address right behind it, unless a particle follows:
-then the person is only spoken of.
+Without a morphological analyser the names come from lists: full names and surnames. A call is a
+name (or several in a row) with a role, and before it the rest of a title of any length, or with a
+form of address right behind it, unless a particle follows: then the person is only spoken of. A
+title is up to three runs of one script each, and part of one more, without punctuation.
+
+`speaker_calls` takes a meeting's own short list for each row and stays in the JVM; `roster_calls`
+takes a whole roster, as one automaton over all its names that each task builds once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veloquy.functions.text import RETURN, once
@@ -28,11 +35,18 @@ NO_NAMES = (
     "東京", "日本", "国会", "参議院", "衆議院", "我が国", "我国", "我",
 )
 PARTICLES = ("の", "に", "が", "を", "へ", "は(?!い)", "と(?!ころ)", "も(?!ちろん|う)", "から", "より", "まで", "や(?!はり)")
-LONGEST_TITLE = 8
 PAGE_CHAIRS = ("委員長", "議長", "副議長")
 
 _ROLES = "|".join(sorted(CALLED_ROLES, key=len, reverse=True))
-_AFTER = f"((?:[^、。,.\\s]{{0,{LONGEST_TITLE}}}?(?:{_ROLES}))|(?:{'|'.join(ADDRESSES)}))(?!{'|'.join(PARTICLES)})"
+#: Characters of one script; what stands in none of them (punctuation, spaces) ends a title.
+_SCRIPTS = ("一-鿿㐀-䶿々〆〇ヶ", "ァ-ヵヷ-ヺー", "ぁ-ゖ", "A-Za-z0-9Ａ-Ｚａ-ｚ０-９・－-")
+_RUNS = "|".join(f"[{x}]++" for x in _SCRIPTS)
+_PART = "|".join(f"[{x}]*?" for x in _SCRIPTS)
+#: Written so that Java and Python read it alike.
+_AFTER = f"((?:(?:{_RUNS}){{0,3}}?(?:{_PART})(?:{_ROLES}))|(?:{'|'.join(ADDRESSES)}))(?!{'|'.join(PARTICLES)})"
+#: Names of a roster at most; each task holds all of them.
+MOST_NAMES = 200_000
+MOST_BYTES = 40_000
 KIND = "array<struct<name: string, role_str: string, start: int>>"
 
 
@@ -63,10 +77,68 @@ def speaker_calls(text: Column, names: Column) -> Column:
 
         return F.aggregate(calls, F.struct(none.alias("calls"), F.lit(0).alias("after")), step, lambda s: s["calls"])
 
-    form = F.concat(F.lit("("), listed, F.lit(")" + _AFTER))
+    form = F.concat(F.lit("((?:"), listed, F.lit(")+)" + _AFTER))
     return F.when(text.isNull() | (F.coalesce(F.size(usable), F.lit(0)) < 1), none).otherwise(once(form, found))
 
 
+def _pieces(text: str) -> Iterator[tuple[int, str]]:
+    """(start, piece): a text cut behind the last end of a sentence before MOST_BYTES are full, or
+    there if no sentence ends."""
+    start = 0
+    while len(rest := text[start:].encode()) > MOST_BYTES:
+        head = rest[:MOST_BYTES].decode(errors="ignore")
+        stop = max(head.rfind(c) for c in "。！？\n") + 1 or len(head)
+        yield start, head[:stop]
+        start += stop
+    yield start, text[start:]
+
+
+_BEHIND = re.compile(_AFTER)
+
+
+def calls_in(text: str, automaton) -> list[tuple[str, str, int]]:
+    """(name, role_str, start) of the calls in a text; `automaton` has the names of a roster."""
+    found = []
+    for offset, piece in _pieces(text):
+        names: list[list[int]] = []  # [start, end] of names, those in a row joined
+        for last, length in automaton.iter_long(piece):
+            if names and names[-1][1] == last - length + 1:
+                names[-1][1] = last + 1
+            else:
+                names.append([last - length + 1, last + 1])
+        after = 0
+        for start, end in names:
+            if start < after or piece[start:end] in NO_NAMES:
+                continue
+            hit = _BEHIND.match(piece, end)
+            if hit:
+                found.append((piece[start:end], RETURN if hit[1] in ADDRESSES else hit[1], offset + start))
+                after = hit.end()
+    return found
+
+
+def roster_calls(rows: DataFrame, text_col: str, roster: DataFrame, name_col: str = "name", out: str = "calls") -> DataFrame:
+    """`rows` with the calls in `text_col` by the names of a roster (as `speaker_calls`), whoever the
+    meeting's list has. The roster is one row for each person, MOST_NAMES at most; no shuffle."""
+    listed = roster.select(name_col).filter(F.coalesce(F.col(name_col), F.lit("")) != "").distinct().limit(MOST_NAMES + 1).collect()
+    if len(listed) > MOST_NAMES:
+        raise ValueError("the roster has more names than a task can hold")
+    names = [r[0] for r in listed]
+
+    @F.pandas_udf(KIND)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n in names:
+            automaton.add_word(n, len(n))
+        automaton.make_automaton()
+        for texts in parts:
+            yield pd.Series([[{"name": n, "role_str": r, "start": s} for n, r, s in calls_in(t, automaton)] if t and names else [] for t in texts])
+
+    return rows.withColumn(out, run(F.col(text_col)))
+
+
 def page_class(group: Column) -> Column:
     """`chair` for a group that chairs, else `questioner`."""
     return F.when(F.coalesce(group, F.lit("")).rlike("|".join(PAGE_CHAIRS)), "chair").otherwise("questioner")

@@ -89,7 +89,10 @@ def record_url(title: Column, search: str) -> Column:
 
 
 def days_since(date_text: Column, as_of: Column) -> Column:
-    return F.date_diff(as_of, any_date(date_text))
+    """Days from the date that a text begins with, `Y-M-D` or `Y年M月D`, whatever follows; null if it
+    begins with none, or with one that no calendar has."""
+    part = lambda i: F.regexp_extract(date_text, r"^([0-9]{4})[-年]([0-9]{1,2})[-月]([0-9]{1,2})", i)
+    return F.date_diff(as_of, F.try_to_timestamp(F.nullif(F.concat_ws("-", part(1), part(2), part(3)), F.lit("--")), F.lit("yyyy-M-d")).cast("date"))
 
 
 def safe_name(text: Column, most: int = 80) -> Column:
@@ -271,6 +274,31 @@ def stream_url(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r'url:"([^"]+\.m3u8[^"]*)"', 1), F.lit(""))
 
 
+# Keys under which a player's script names its addresses; where the player itself
+# comes from; heading of the list of speakers on a page of the upper house.
+CAPTION_KEY = "captionUrl"
+PLAYER_SITE = "public.mediasp.jp/v1/player?"
+SPEAKER_HEADING = "発言者一覧"
+
+
+def caption_url(script: Column) -> Column:
+    """Address of the captions in a player's script; '' if it names none."""
+    return F.regexp_extract(script, rf'(?<![\w$]){CAPTION_KEY}\s*:\s*"([^"]*)"', 1)
+
+
+def player_url(html: Column) -> Column:
+    """Address of the first script of a page that comes from the player's site; null without one."""
+    sources = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<script\b([^>]*)>"), F.lit(1)), lambda a: attribute(a, "src"))
+    return F.try_element_at(F.filter(sources, lambda u: F.regexp_replace(u, "^https?://", "").startswith(PLAYER_SITE) & u.rlike("^https?://") & (F.length(F.substring_index(u, "?", -1)) > 0)), F.lit(1))
+
+
+def list_under(html: Column, heading: str) -> Column:
+    """Markup of the list right behind the heading (h3) of this text; '' without one."""
+    behind = F.transform(F.split(html, r"(?i)<h3\b"), lambda p: F.struct(plain(F.regexp_extract(p, r"(?is)^[^>]*>(.*?)</h3\s*>", 1)).alias("head"), F.regexp_extract(p, r"(?is)</h3\s*>\s*<ul\b[^>]*>(.*?)</ul\s*>", 1).alias("list")))
+    found = F.filter(behind, lambda x: (x["head"] == heading) & (x["list"] != ""))
+    return F.coalesce(F.try_element_at(found, F.lit(1))["list"], F.lit(""))
+
+
 def channel_url(script: Column) -> Column:
     """Where a player's script says a live channel is described; null if it doesn't."""
     return F.nullif(F.regexp_extract(F.regexp_extract(script, r"channel_info:\{([^}]*)", 1), r'url:"([^"]+)"', 1), F.lit(""))
@@ -364,6 +392,14 @@ def speaker_links(html: Column, start: str, unique: bool) -> Column:
     return F.array_sort(first_of_each(named, lambda x: F.struct(F.round(x.start, 1), x["name"])) if unique else named)
 
 
+def listed_speakers(html: Column) -> Column:
+    """array<struct<start, ord, name, group>> by start of the links to `#seconds` in the list under
+    the page's heading for speakers; none without such a list."""
+    seconds = lambda x: F.regexp_extract(x.href, "^#([0-9.]+)$", 1).try_cast("double")
+    rows = F.transform(F.filter(links(list_under(html, SPEAKER_HEADING)), lambda x: seconds(x).isNotNull() & (plain(x.label) != "")), lambda x, i: F.struct(seconds(x).alias("start"), i.alias("ord"), plain(x.label).alias("label")))
+    return F.array_sort(F.transform(rows, lambda x: F.struct(x.start, x.ord, _split_label(x.label)[0].alias("name"), _split_label(x.label)[1].alias("group"))))
+
+
 def agenda_items(html: Column) -> Column:
     cells = F.filter(elements(html, "td"), lambda e: (attribute(e.attrs, "width") == AGENDA_WIDTH) & (F.upper(attribute(e.attrs, "bgcolor")) == AGENDA_COLOUR))
     return F.filter(F.transform(cells, lambda e: plain(e.body)), lambda c: c != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veloquy.functions.text import proper_nouns
@@ -83,28 +83,41 @@ def summary(p: str = "pipeline") -> Column:
     return F.when(at("phase") == "vtt", "公式 VTT 字幕").when(at("phase") == "phase2", "タイムラインのみ").when(at("phase") == "asr", asr).otherwise("")
 
 
-def turns(sections: DataFrame, key: str, text: str, primary: str, calls: str) -> DataFrame:
-    """(key, at, speaker, klass, role, text): a section cut at its speaker calls.
+def turns(sections: DataFrame, key: str, text: str, primary: str, calls: str, group: str | None = None) -> DataFrame:
+    """(key, at, speaker, klass, role, text): a section cut at its speaker calls; with `group`, the
+    primary speaker's, also that column: the head has it, what is called out has ''.
 
     `calls` is an array of struct(name, role_str, start) by start (0-based characters), from
     whatever analyser finds them; the head before the first belongs to the primary speaker, and
-    so do returns to that speaker. Neighbours of one speaker and class are to be merged with
-    `attribution.runs`."""
+    so do returns to that speaker. Neighbours of one speaker and class stay apart; see `merged_turns`."""
     from veloquy.functions.text import RETURN, role_class
 
     kind = "array<struct<name: string, role_str: string, start: int>>"
     head = F.array(F.struct(F.col(primary).alias("name"), F.lit(RETURN).alias("role_str"), F.lit(0).alias("start")))
     own = F.coalesce(calls, F.array().cast(kind))
     every = F.when(F.coalesce(F.try_element_at(own, F.lit(1)).start, F.lit(1)) > 0, F.concat(head, own)).otherwise(own)
-    rows = sections.select(key, text, primary, F.col(text).alias("__text"), every.alias("__calls"))
-    each = rows.select(key, primary, "__text", "__calls", F.posexplode("__calls").alias("at", "call"))
+    headed = F.coalesce(F.try_element_at(own, F.lit(1)).start, F.lit(1)) > 0
+    rows = sections.select(key, text, primary, F.col(text).alias("__text"), every.alias("__calls"), F.when(headed, F.col(group) if group else F.lit("")).otherwise("").alias("__group"))
+    each = rows.select(key, primary, "__text", "__calls", "__group", F.posexplode("__calls").alias("at", "call"))
     end = F.coalesce(F.try_element_at("__calls", F.col("at") + 2).start, F.length("__text"))
     part = F.regexp_replace(F.substring("__text", F.col("call.start") + 1, end - F.col("call.start")), r"^[\s　]+|[\s　]+$", "")
     back = (F.col("call.role_str") == RETURN) | (F.col("call.name") == F.col(primary))
-    out = each.select(key, "at", F.when(back, F.col(primary)).otherwise(F.col("call.name")).alias("speaker"), F.when(back, "questioner").otherwise(role_class(F.col("call.role_str"))).alias("klass"), F.when(back, "議員").otherwise(F.col("call.role_str")).alias("role"), part.alias("text"))
+    out = each.select(key, "at", F.when(back, F.col(primary)).otherwise(F.col("call.name")).alias("speaker"), F.when(back, "questioner").otherwise(role_class(F.col("call.role_str"))).alias("klass"), F.when(back, "議員").otherwise(F.col("call.role_str")).alias("role"), *([F.when(F.col("at") == 0, F.coalesce("__group", F.lit(""))).otherwise("").alias("group")] if group else []), part.alias("text"))
     return out.filter("text <> ''")
 
 
+def merged_turns(turned: DataFrame, key: str) -> DataFrame:
+    """`turns` with neighbours of one speaker and class as one: the first one's place, role and
+    group, the texts with a space between. A section is one text, so its turns fit a task."""
+    by = Window.partitionBy(key).orderBy("at")
+    new = ~(F.lag("speaker").over(by).eqNullSafe(F.col("speaker")) & F.lag("klass").over(by).eqNullSafe(F.col("klass"))) | (F.row_number().over(by) == 1)
+    runs = turned.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    first = [F.min_by(c, "at").alias(c) for c in turned.columns if c not in (key, "at", "text")]
+    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
+    out = runs.groupBy(key, "__run").agg(F.min("at").alias("at"), *first, F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
+    return out.select(*turned.columns)
+
+
 def correction_requests(cues: DataFrame, by: str, order: str, text: str, context: Column | None = None, size: int = 8) -> DataFrame:
     """(by, batch, value): JSON requests of `size` cues each; ids count from 0 in a request."""
     from veloquy.operators.catalog import batches

@@ -39,6 +39,38 @@ def listing_lines(items: DataFrame) -> DataFrame:
     return items.join(first, "date", "left").withColumn("new_date", F.coalesce(begins & F.col("date").isNotNull(), F.lit(False))).drop("__first").orderBy("date", "house", "id")
 
 
+#: Weekdays from Monday, labels of the houses and of what has been fetched.
+WEEKDAYS = "月火水木金土日"
+HOUSE_LABELS = {"sangiin": "参議院", "shugiin": "衆議院"}
+FETCHED = " ✓ 取込済"
+
+
+def listing_text(items: DataFrame, command: str = "fetch") -> DataFrame:
+    """(date, house, id, line, value): a listing to read, in that order. A summary stands first (its
+    date is null); where a date begins there is a line with its weekday (`?` for what is no date);
+    then for each item its house, title, duration and whether it has been fetched, its id with the
+    command that fetches it, and its address."""
+    some = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    dated = listing_lines(items.withColumns({c: some(c) for c in ("date", "house", "id")}))
+    day = F.try_to_timestamp("date", F.lit("yyyy-M-d"))
+    weekday = F.coalesce(F.substring(F.lit(WEEKDAYS), F.weekday(day) + 1, F.lit(1)), F.lit("?"))
+    head = F.when(F.col("new_date"), F.concat(F.lit("── "), "date", F.lit(" ("), weekday, F.lit(") ──")))
+    house = F.when(F.col("house") == "sangiin", HOUSE_LABELS["sangiin"]).otherwise(HOUSE_LABELS["shugiin"])
+    title = F.concat(F.lit("  ["), house, F.lit("] "), some("title"), F.when(some("duration") != "", F.concat(F.lit(" / "), "duration")).otherwise(""), F.when(F.coalesce("fetched", F.lit(False)), FETCHED).otherwise(""))
+    known = F.when(F.col("id") != "", F.concat(F.lit("    id="), "id", F.lit(f"  {command} "), "id")).otherwise("    id=?")
+    lines = F.filter(F.array(head, title, known, F.concat(F.lit("    "), some("page_url"))), lambda x: x.isNotNull())
+    each = dated.select("date", "house", "id", F.posexplode(lines).alias("line", "value"))
+    total = items.agg(F.count("*").alias("n")).select(*[F.lit(None).cast("string").alias(c) for c in ("date", "house", "id")], F.lit(0).alias("line"), F.concat(F.lit("["), F.col("n").cast("string"), F.lit(" 件]")).alias("value"))
+    return total.unionByName(each).orderBy(F.asc_nulls_first("date"), "house", "id", "line")
+
+
+def listing_json_lines(items: DataFrame) -> DataFrame:
+    """(type, value): one JSON line with the number of items, and one for each item."""
+    each = items.withColumn("type", F.lit("item")).select("type", F.to_json(F.struct(*items.columns, F.lit("item").alias("type")), {"ignoreNullFields": "false"}).alias("value"))
+    total = items.agg(F.count("*").alias("n_items")).select(F.lit("summary").alias("type"), F.to_json(F.struct(F.lit("summary").alias("type"), "n_items")).alias("value"))
+    return total.unionByName(each)
+
+
 def compact_meta(rows: DataFrame) -> DataFrame:
     """What other tools need of a meeting, one JSON object a row; what is empty is left out."""
     some = lambda name: F.when(F.coalesce(F.col(name), F.lit("")) != "", F.col(name)).alias(name)

@@ -371,10 +371,10 @@ def record_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.record_url(F.col("url"), "https://records.example/?keyword=").alias("link"))
 
 
-@query("select o_orderkey, case when o_orderkey % 5 = 4 then null else date_diff('day', o_orderdate::date, date '1999-01-01') end as days from orders")
+@query("select o_orderkey, case when o_orderkey % 5 not in (1, 3) then null else date_diff('day', o_orderdate::date, date '1999-01-01') end as days from orders")
 def age_in_days(spark, sf_dir):
-    """Dates in four spellings, and one that is none of them."""
-    spelt = F.array(*[F.date_format("o_orderdate", p) for p in ("yyyy/M/d", "yyyy-MM-dd", "yyyyMMdd", "yyyy年M月d日", "d MMM yyyy")])
+    """Dates in the two spellings that count, with something behind them, and in three others."""
+    spelt = F.array(*[F.date_format("o_orderdate", p) for p in ("yyyy/M/d", "yyyy-MM-dd' (x)'", "yyyyMMdd", "yyyy年M月d日", "d MMM yyyy")])
     day = F.element_at(spelt, (F.col("o_orderkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.days_since(day, F.lit("1999-01-01").cast("date")).cast("long").alias("days"))
 
@@ -542,6 +542,28 @@ def listing_dates(spark, sf_dir):
     return render.listing_lines(items).select("o_orderkey", "date", "new_date")
 
 
+@query("""with i as (select strftime(o_orderdate, '%Y-%m-%d') as date, case when o_orderkey % 2 = 0 then 'sangiin' else 'shugiin' end as house, o_orderkey::varchar as id, o_orderpriority as title,
+        case when o_orderkey % 3 = 0 then (o_orderkey % 7) || '時間' else '' end as duration, o_orderkey % 5 = 0 as fetched, 'https://l.example/' || o_orderkey as page_url, isodow(o_orderdate) as dow from orders),
+    n as (select *, row_number() over (partition by date order by house, id) = 1 as first from i),
+    l as (select date, house, id, list_filter([case when first then '── ' || date || ' (' || '月火水木金土日'[dow] || ') ──' end, '  [' || case when house = 'sangiin' then '参議院' else '衆議院' end || '] ' || title || case when duration <> '' then ' / ' || duration else '' end || case when fetched then ' ✓ 取込済' else '' end,
+        '    id=' || id || '  get ' || id, '    ' || page_url], lambda x : x is not null) as lines from n),
+    e as (select date, house, id, unnest(lines) as value, generate_subscripts(lines, 1)::int - 1 as line from l union all select null, null, null, '[' || count(*) || ' 件]', 0 from i)
+    select *, row_number() over (order by date nulls first, house, id, line) as place from e""")
+def listing_text(spark, sf_dir):
+    """Lines of a listing with the place in which they come."""
+    key = F.col("o_orderkey")
+    items = table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(key % 2 == 0, "sangiin").otherwise("shugiin").alias("house"), key.cast("string").alias("id"), F.col("o_orderpriority").alias("title"),
+        F.when(key % 3 == 0, F.concat((key % 7).cast("string"), F.lit("時間"))).otherwise("").alias("duration"), (key % 5 == 0).alias("fetched"), F.concat(F.lit("https://l.example/"), key.cast("string")).alias("page_url"),
+    )
+    # The place of each row as it comes: partitions are in order, and so are rows in them.
+    lines = render.listing_text(items, "get").withColumn("at", F.monotonically_increasing_id())
+    sizes = lines.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    found = lines.withColumn("part", F.shiftright("at", 33)).join(before, "part")
+    return found.select("date", "house", "id", "value", "line", (F.col("before") + F.col("at") % F.lit(1 << 33) + 1).alias("place"))
+
+
 @query("select '{\"doc_id\":' || doc_id || ',\"quality\":' || coalesce(quality::varchar, 'null') || '}' as value from documents left join labels using (doc_id)")
 def json_lines(spark, sf_dir):
     return render.json_lines(table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left"))
@@ -625,6 +647,19 @@ def sids_on(spark, sf_dir):
     return catalog.ids_on(known, "2026-04-03", "page_id")
 
 
+# A page of the upper house: links in a table of contents and in a footnote are no speakers.
+_UPPER_PAGE = """'<a href="#1">目次</a><script src="x.js"></script><SCRIPT async src="https://public.mediasp.jp/v1/player?hash=' || page_id || '"></script><dt>開会日</dt><dd>2026年5月' || (page_id % 28 + 1) || '日</dd><dt>会議名</dt><dd> 委員会' || page_id || ' </dd><h3>資料</h3><ul><a href="#2">資料</a></ul><h3 class="t"> 発言者一覧 </h3> <ul>' || repeat('<li><a href="#30.5">乙（会派）</a></li>', (page_id % 3)::int) || '<li><a class="s" href="#10">甲(議長)</a></li></ul><p><a href="#99">注</a></p>' || html"""
+
+
+@query("""select page_id, 'https://public.mediasp.jp/v1/player?hash=' || page_id as player_url, case when page_id % 2 = 0 then 'https://c.example/' || page_id || '.vtt' else '' end as caption_url,
+    'https://v.example/' || page_id || '.m3u8' as m3u8, '2026年5月' || (page_id % 28 + 1) || '日' as date, '委員会' || page_id as title, '甲/議長' || repeat(',乙/会派', (page_id % 3)::int) as speakers from pages""")
+def upper_detail(spark, sf_dir):
+    script = F.concat(F.lit('p({url:"https://v.example/'), F.col("page_id").cast("string"), F.lit('.m3u8"'), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(',captionUrl:"https://c.example/'), F.col("page_id").cast("string"), F.lit('.vtt"'))).otherwise(""), F.lit("})"))
+    found = table(spark, sf_dir, "pages").select("page_id", pages.upper_detail(F.expr(_UPPER_PAGE), script, F.col("url")).alias("d"))
+    speakers = F.array_join(F.transform("d.speakers", lambda s: F.concat(s["name"], F.lit("/"), s["group"])), ",")
+    return found.select("page_id", "d.player_url", "d.caption_url", "d.m3u8", "d.date", "d.title", speakers.alias("speakers"))
+
+
 # Four ways to open a speech: a call, a mention, a call of two words, a return to the questioner.
 _OPENED = ("山田財務大臣お答えします。", "山田大臣に伺います。", "三浦審議官はい、", "鈴木花子君次に、")
 _OPEN_SQL = f"{list(_OPENED)}[turn % 4 + 1]"
@@ -652,6 +687,45 @@ def call_turns(spark, sf_dir):
     return prompts.turns(_sections(spark, sf_dir), "section", "text", "primary", "calls").select("section", F.col("at").alias("place"), "speaker", "klass", "text")
 
 
+# Openings with (name, role) of their call, if they have one: titles of any length and script, what
+# is no call, several names in a row.
+_CALLS = (
+    ("山田国土交通省総合政策局長お答えします。", "山田", "国土交通省総合政策局長"), ("山田大臣に伺います。", None, None), ("はい。三浦審議官はい、", "三浦", "審議官"),
+    ("鈴木花子君次に、", "鈴木花子", "_return"), ("木原、大臣お答え。", None, None), ("では内閣府特命担当大臣、高橋桃子参考人です。", "高橋桃子", "参考人"),
+    ("今大臣。", None, None), ("阿部こども家庭庁長官よろしく。", "阿部", "こども家庭庁長官"),
+)
+_CALL_ROSTER = ("山田", "三浦", "鈴木", "花子", "木原", "高橋", "高橋桃子", "阿部", "今", "先")
+_CALL_SQL = ", ".join(f"({k}, '{o}', {f"'{n}'" if n else 'null'}, {f"'{r}'" if n else 'null'}, {o.index(n) if n else 0})" for k, (o, n, r) in enumerate(_CALLS))
+_SECTION_SQL = f"""k as (select * from (values {_CALL_SQL}) t(k, o, name, role_str, off)),
+    c as (select conv_id * 1000 + turn as section, text, k.* from conversations join k on (conv_id * 3 + turn) % 8 = k.k)"""
+
+
+def _called_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = F.element_at(F.array(*[F.lit(o) for o, _, _ in _CALLS]), ((F.col("conv_id") * 3 + F.col("turn")) % 8 + 1).cast("int"))
+    spoken = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("section"), F.concat("text", opened, "text", opened).alias("text"), F.lit("鈴木花子").alias("primary"), F.lit("甲党").alias("group"))
+    return calls.roster_calls(spoken, "text", spark.createDataFrame([(n,) for n in _CALL_ROSTER], "name string"))
+
+
+@query(f"""with {_SECTION_SQL} select section, (length(text) + off)::int as start, name, role_str from c where name is not null
+    union all select section, 2 * length(text) + length(o) + off, name, role_str from c where name is not null""")
+def roster_calls(spark, sf_dir):
+    """By one automaton over the names of a roster."""
+    return _called_sections(spark, sf_dir).select("section", F.explode("calls").alias("c")).select("section", "c.start", "c.name", "c.role_str")
+
+
+_TRIMMED = "trim({}, ' 　' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(f"""with {_SECTION_SQL},
+    p as (select section, name, role_str, {_TRIMMED.format('text || o[:off]')} as head, {_TRIMMED.format('o[off + 1:] || text || o[:off]')} || ' ' || {_TRIMMED.format('o[off + 1:]')} as rest, {_TRIMMED.format('text || o || text || o')} as whole from c)
+    select section, '鈴木花子' as speaker, 'questioner' as klass, '議員' as role, '甲党' as party, case when name is null then whole when role_str = '_return' then head || ' ' || rest else head end as text from p
+    union all select section, name, 'bureaucrat', role_str, '', rest from p where name is not null and role_str <> '_return'""")
+def merged_turns(spark, sf_dir):
+    """Two calls of one speaker in a row make one turn."""
+    turned = prompts.turns(_called_sections(spark, sf_dir), "section", "text", "primary", "calls", "group")
+    return prompts.merged_turns(turned, "section").select("section", "speaker", "klass", "role", F.col("group").alias("party"), "text")
+
+
 @query("""with t as (select conv_id, sum(length(text)) as n_chars, bool_or(role = 'assistant') as answered from conversations group by conv_id)
     select conv_id, n_chars::bigint as n_chars from t where not answered and n_chars > 200""")
 def silent_sections(spark, sf_dir):

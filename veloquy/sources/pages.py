@@ -94,12 +94,13 @@ def members(html: Column) -> Column:
 
 
 def upper_detail(html: Column, script: Column, address: Column, described: Column | None = None) -> Column:
-    """struct(m3u8, is_live, date, title, speakers) of an upper-house page and its player's script;
-    for a live one `described` is the JSON found at `text.channel_url`."""
+    """struct(m3u8, is_live, caption_url, player_url, date, title, speakers, page_url) of an upper-house
+    page and its player's script; for a live one `described` is the JSON found at `text.channel_url`.
+    Speakers are those of the list under its heading; other links to places of the page are none."""
     recorded = tx.stream_url(script)
     live = tx.live_url(tx.channel_url(script), F.lit(None).cast("string") if described is None else described)
-    speakers = F.transform(tx.speaker_links(html, tx.UPPER_SPEAKER, False), lambda s: F.struct(s.start.alias("start"), s["name"].alias("name"), s["group"].alias("group")))
-    return F.struct(F.coalesce(recorded, live).alias("m3u8"), (recorded.isNull() & live.isNotNull()).alias("is_live"), F.coalesce(tx.labelled_value(html, DATE_LABEL), F.lit("")).alias("date"), F.coalesce(tx.labelled_value(html, TITLE_LABEL), F.lit("")).alias("title"), speakers.alias("speakers"), address.alias("page_url"))
+    speakers = F.transform(tx.listed_speakers(html), lambda s: F.struct(s.start.alias("start"), s["name"].alias("name"), s["group"].alias("group")))
+    return F.struct(F.coalesce(recorded, live).alias("m3u8"), (recorded.isNull() & live.isNotNull()).alias("is_live"), tx.caption_url(script).alias("caption_url"), tx.player_url(html).alias("player_url"), F.coalesce(tx.labelled_value(html, DATE_LABEL), F.lit("")).alias("date"), F.coalesce(tx.labelled_value(html, TITLE_LABEL), F.lit("")).alias("title"), speakers.alias("speakers"), address.alias("page_url"))
 
 
 def lower_detail(html: Column, target: Column) -> Column:
