@@ -1,8 +1,9 @@
 """An incrementally kept token table, and cue ingestion as a stream.
 
-A file source of Structured Streaming sees new files but not files changed in place, so the
-token table is refreshed as a batch: rows whose (path, modification time, tokenizer version)
-are known are kept, others are tokenised, rows of vanished files are dropped.
+Spark's own file source sees new files but not files changed in place. The token table can be
+refreshed as a batch: rows whose (path, modification time, tokenizer version) are known are kept,
+others are tokenised, rows of vanished files are dropped. Or it follows a stream of changes
+(`sources.files`): of each batch only the folders of the files that it names are written anew.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veloquy.functions.text import regex_tokens
+from veloquy.operators.versions import VersionedTable
 from veloquy.sources.captions import caption_cues
+from veloquy.sources.files import FilesSource
 
 KEY = ["path", "mtime", "version"]
 
@@ -52,3 +55,18 @@ def caption_stream(spark: SparkSession, folder: str) -> DataFrame:
 def write_stream(cues: DataFrame, out: str, checkpoint: str):
     """Append to a Parquet table whatever is there now, exactly once."""
     return cues.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
+
+
+def follow(spark: SparkSession, folder: str, table: VersionedTable, listings: str, checkpoint: str, version: str = "1", tokenizer: Callable[[Column], Column] = regex_tokens):
+    """Bring a token table (key `path`; columns as `refreshed` has them) to the caption files that are
+    now in `folder`, by one stream over what was added, changed and taken away since it last ran.
+    A batch that is run again after a crash replaces the same files by the same rows."""
+    spark.dataSource.register(FilesSource)
+    changes = spark.readStream.format("changed_files").option("suffix", ".vtt").option("listings", listings).load(folder)
+
+    def apply(batch: DataFrame, _: int) -> None:
+        put = batch.filter("change = 'put'").select("path", "mtime", F.lit(version).alias("version"), F.posexplode(caption_cues(F.col("content"))).alias("cue_idx", "cue"))
+        made = put.select(*KEY, "cue_idx", "cue.*").withColumn("tokens", tokenizer(F.col("text")))
+        table.replace(made, batch.select("path"))
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
