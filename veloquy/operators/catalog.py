@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -127,6 +127,58 @@ def ids_on(known: DataFrame, day: str, id_col: str = "sid", valid: str = "valid"
     return known.filter(F.col(valid) & (F.col("date") == day)).select(id_col, "name").orderBy(id_col)
 
 
+def id_candidates(known: DataFrame, days: DataFrame, radius: int = 50, slope: int = 4, id_col: str = "sid") -> DataFrame:
+    """(day, rank, sid): ids that may belong to each day of `days` (day), most likely first. `known`
+    (id, date) are ids whose dates are known. Numbers grow with dates, so the nearest known ids on
+    either side are found by two as-of joins, the id expected between them by interpolation (beyond
+    the first: `slope` ids a day), or the least id known for the day itself; candidates are the ids
+    not known yet at most `radius` from it between those neighbours (up to the greatest known),
+    nearest first, the greater of two first. Days after the last known one have none."""
+    from veloquy.operators.attribution import as_of_ranges
+
+    ids = known.select(F.lit(0).alias("g"), F.col(id_col).cast("long").alias("sid"), F.col("date").cast("date").alias("date")).filter("sid is not null and date is not null")
+    day = F.unix_date("date")
+    asked = days.select(F.col("day").cast("date").alias("day")).filter("day is not null").distinct().withColumn("g", F.lit(0))
+    low = ids.select("g", day.alias("at"), F.col("sid").alias("low"), F.col("date").alias("low_day"))
+    high = ids.select("g", (-day).alias("at"), F.col("sid").alias("high"), F.col("date").alias("high_day"), (-F.col("sid")).alias("back"))
+    both = as_of_ranges(asked.withColumn("at", F.unix_date("day") - 1), low, "g", "at", ["low", "low_day"], False, "low")
+    both = as_of_ranges(both.withColumn("at", -F.unix_date("day") - 1), high, "g", "at", ["high", "high_day"], False, "back")
+    own = ids.groupBy(F.col("date").alias("own_day")).agg(F.min("sid").alias("own"))
+    last = ids.agg(F.max("sid").alias("last"), F.max("date").alias("last_day"))  # one row
+    both = both.join(own, F.col("day") == F.col("own_day"), "left").crossJoin(last).filter("day <= last_day")
+    span = F.greatest(F.lit(1), F.date_diff("high_day", "low_day"))
+    between = F.col("low") + F.greatest(F.lit(1), F.floor((F.col("high") - F.col("low")) * (F.date_diff("day", "low_day") / span)))
+    between = F.least(F.greatest(between, F.col("low") + 1), F.col("high") - 1)
+    after = F.col("low") + F.greatest(F.lit(1), F.date_diff("day", "low_day") * slope)
+    before = F.greatest(F.lit(1), F.col("high") - F.greatest(F.lit(1), F.date_diff("high_day", "day") * slope))
+    seed = F.coalesce(F.col("own"), F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), between).when(F.col("low").isNotNull(), after).otherwise(before))
+    each = both.select("day", F.coalesce(F.col("low") + 1, F.lit(1)).alias("from"), F.coalesce(F.col("high") - 1, F.col("last")).alias("to"), seed.alias("seed"), F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("off"))
+    each = each.withColumn("sid", F.col("seed") + F.col("off")).filter("sid between `from` and `to`").join(ids.select("sid"), "sid", "left_anti")
+    nearest = Window.partitionBy("day").orderBy(F.abs("off"), F.desc("off"))  # 2 * radius + 1 rows at most
+    return each.select("day", F.row_number().over(nearest).alias("rank"), "sid")
+
+
+def observed(rows: DataFrame, name: str, **changed: Column) -> tuple[DataFrame, Observation]:
+    """`rows`, and counters of the same kind as `changes` that are summed up in the very pass that
+    writes or reads the rows; `.get` of the second has them afterwards, and `rows`, their number."""
+    seen = Observation(name)
+    sums = [F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in changed.items()]
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *sums), seen
+
+
+def cleaned(cues: DataFrame, text: str, glossary: dict[str, str], path: str) -> dict[str, int]:
+    """Write `cues` with `text` cleaned (loops out, glossary applied, invented phrases dropped) and
+    return the counters of the run: rows, loops, invented, glossary. One pass over the cues."""
+    from veloquy.functions.text import is_invented, is_loop, replaced, without_loops
+
+    t = F.col(text)
+    once = cues.withColumn("__plain", without_loops(t)).withColumn("__new", replaced(F.col("__plain"), glossary))
+    seen, counters = observed(once, "cleaning", loops=is_loop(t) | (F.col("__plain") != t), invented=is_invented(F.col("__plain")), glossary=F.col("__new") != F.col("__plain"))
+    kept = seen.filter(~F.coalesce(is_invented(F.col("__plain")), F.lit(False)))
+    kept.withColumn(text, F.col("__new")).select(*cues.columns).write.mode("overwrite").parquet(path)
+    return {n: int(v) for n, v in counters.get.items()}
+
+
 def sid_pages(pages: DataFrame, id_col: str = "sid", html: str = "html", least: int = 500) -> DataFrame:
     """(sid, date, name, valid) of fetched pages; short pages and those without a date are not
     valid, and pages that could not be fetched (null) are not remembered at all."""

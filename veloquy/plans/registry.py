@@ -602,6 +602,20 @@ def change_counts(spark, sf_dir):
     return catalog.changes(table(spark, sf_dir, "documents"), "lang", loops=tx.is_loop(text), glossary=tx.replaced(text, _PAIRS) != text, missing=text.isNull())
 
 
+@query("""with t as (select doc_id, replace(replace(replace(replace(replace(text, 'theration', 'ration'), 'THE and', 'and THE'), 'moron', 'person'), 'idiot', 'person'), 'the', 'THE') as new, text from documents where text is not null),
+    l as (select *, length(text) > 200 and len(list_distinct(string_split(text, ''))) / length(text) < 0.05 as loop from t)
+    select (select count(*) from documents) as n_rows, count(*) filter (not loop and new <> text) as n_glossary, count(*) filter (loop) as n_loops from l""")
+def cleaning_counters(spark, sf_dir):
+    """Counters of a run from the pass that writes it."""
+    path = new_path(spark, "cleaned")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen, counters = catalog.observed(docs, "counters", loops=tx.is_loop(F.col("text")), glossary=~tx.is_loop(F.col("text")) & (tx.replaced(F.col("text"), _PAIRS) != F.col("text")))
+    seen.write.parquet(path)
+    segments.clear(spark, path)
+    found = counters.get
+    return spark.createDataFrame([(found["rows"], found["glossary"], found["loops"])], "n_rows long, n_glossary long, n_loops long")
+
+
 @query("select conv_id, turn, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as text from conversations")
 def html_escaped(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.html_escaped(F.col("text")).alias("text"))
@@ -660,6 +674,26 @@ def upper_detail(spark, sf_dir):
     return found.select("page_id", "d.player_url", "d.caption_url", "d.m3u8", "d.date", "d.title", speakers.alias("speakers"))
 
 
+_SIDS = "date '2026-01-01' + ((page_id // 7) * 2)::int"
+
+
+@query(f"""with k as (select page_id * 3 as sid, {_SIDS} as date from pages where page_id % 5 <> 0 and page_id % 49 <> 8), d as (select distinct {_SIDS} + (page_id % 3)::int as day from pages),
+    b as (select day, (select arg_max(sid, (date, sid)) from k where date < day) as low, (select max(date) from k where date < day) as low_day, (select arg_min(sid, (date, sid)) from k where date > day) as high, (select min(date) from k where date > day) as high_day,
+        (select min(sid) from k where date = day) as own, (select max(sid) from k) as last from d where day <= (select max(date) from k)),
+    s as (select day, coalesce(low + 1, 1) as a, coalesce(high - 1, last) as z, coalesce(own, case when low is not null and high is not null
+        then least(greatest(low + greatest(1, floor((high - low) * ((day - low_day) / greatest(1, high_day - low_day)::double))::bigint), low + 1), high - 1)
+        when low is not null then low + greatest(1, (day - low_day) * 4) else greatest(1, high - greatest(1, (high_day - day) * 4)) end) as seed from b),
+    c as (select day, seed + o as sid, o from s, unnest(range(-50, 51)) t(o) where seed + o between a and z)
+    select day::varchar as day, (row_number() over (partition by day order by abs(o), o desc))::int as rank, sid from c anti join k using (sid)""")
+def sid_candidates(spark, sf_dir):
+    """Unknown ids that may belong to a day, from the nearest known ids on either side."""
+    found = table(spark, sf_dir, "pages")
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.floor(F.col("page_id") / 7) * 2).cast("int"))
+    known = found.filter("page_id % 5 <> 0 and page_id % 49 <> 8").select((F.col("page_id") * 3).alias("sid"), day.alias("date"))
+    days = found.select(F.date_add(day, (F.col("page_id") % 3).cast("int")).alias("day"))
+    return catalog.id_candidates(known, days).select(F.col("day").cast("string").alias("day"), "rank", "sid")
+
+
 # Four ways to open a speech: a call, a mention, a call of two words, a return to the questioner.
 _OPENED = ("山田財務大臣お答えします。", "山田大臣に伺います。", "三浦審議官はい、", "鈴木花子君次に、")
 _OPEN_SQL = f"{list(_OPENED)}[turn % 4 + 1]"
@@ -726,6 +760,18 @@ def merged_turns(spark, sf_dir):
     return prompts.merged_turns(turned, "section").select("section", "speaker", "klass", "role", F.col("group").alias("party"), "text")
 
 
+@query(f"""select role, count(*) as n from ({ORACLES['merged_turns']}) group by role order by n desc, role limit 20""")
+def frequent_roles(spark, sf_dir):
+    turned = prompts.merged_turns(prompts.turns(_called_sections(spark, sf_dir), "section", "text", "primary", "calls", "group"), "section")
+    return prompts.smoke_report(turned, "section", "text")[0]
+
+
+@query(f"""select distinct speaker from ({ORACLES['merged_turns']}) where klass <> 'questioner'""")
+def respondents(spark, sf_dir):
+    turned = prompts.merged_turns(prompts.turns(_called_sections(spark, sf_dir), "section", "text", "primary", "calls", "group"), "section")
+    return prompts.smoke_report(turned, "section", "text")[1]
+
+
 @query("""with t as (select conv_id, sum(length(text)) as n_chars, bool_or(role = 'assistant') as answered from conversations group by conv_id)
     select conv_id, n_chars::bigint as n_chars from t where not answered and n_chars > 200""")
 def silent_sections(spark, sf_dir):
