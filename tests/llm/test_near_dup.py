@@ -5,6 +5,7 @@ import re
 
 import pandas as pd
 
+from veloquy.llm import near_dup
 from veloquy.llm.components import connected_components
 from veloquy.llm.near_dup import near_duplicates
 
@@ -100,12 +101,17 @@ def test_components_match_union_find(spark):
     assert {r.node: r.component for r in got} == {i: root(i) for i in touched} and len(got) == len(touched)
 
 
-def test_texts_meet_their_classes_by_shuffle_too(spark):
+def test_texts_meet_their_classes_by_shuffle_too(spark, monkeypatch):
     """The join of texts and classes as it runs on large tables, where nothing is broadcast."""
     rnd = random.Random(21)
     words = [f"w{i}" for i in range(400)]
     base = [" ".join(rnd.choices(words, k=60)) for _ in range(30)]
     rows = [(i, base[i % 30] if i % 4 else base[i % 30] + f" x{i}") for i in range(240)] + [(999, None), (1000, "")]
+    # With a filter of few bits, which lets others through, too.
+    monkeypatch.setattr(near_dup, "FILTER_BITS", 128)
+    some = spark.range(50).selectExpr("id as doc_id")
+    passed = {r.doc_id for r in near_dup._possible(spark.range(5000).selectExpr("id as doc_id", "'t' as text"), some).collect()}
+    assert set(range(50)) <= passed and 50 < len(passed) < 5000
     name = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(name)
     try:

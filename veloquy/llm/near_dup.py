@@ -44,6 +44,8 @@ SHINGLE = 5
 BANDS, ROWS = 64, 6
 #: Bits kept of each minimum, and how many minima must agree in all of them.
 PLANES, LEAST_AGREEING = 4, 258
+#: Bits of the filter that rows pass before their texts are shuffled; it is broadcast, 64 bits a row.
+FILTER_BITS = 1 << 25
 #: What tells the set of a text from others.
 CLASS = ("n_shingles", "digest1", "digest2")
 _rng = np.random.default_rng(7)
@@ -144,10 +146,22 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long")
 
 
+def _possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id may be in `ids`: all that are, and some others. The filter has
+    FILTER_BITS bits whatever the tables' size; where ids are so many that most bits are set, it
+    lets most rows through and the join behind it is what it would be without."""
+    place = F.pmod(F.xxhash64(F.lit("filter"), F.col("doc_id")), F.lit(FILTER_BITS))
+    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    words = stored(words, "filter")  # FILTER_BITS / 64 rows at most
+    placed = docs.withColumn("p", place)
+    found = placed.join(F.broadcast(words), F.floor(F.col("p") / 64) == F.col("word"))
+    return found.filter(F.getbit("bits", (F.col("p") % 64).cast("int")) == 1).select(docs.columns)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, items) of the classes in `wanted` (node, doc_id, digest1, digest2), from the text of
-    one row of each. One join at every size; Spark broadcasts `wanted` only if what was written of it
-    is below its own threshold."""
+    one row of each. Rows pass a filter of fixed size before their texts are joined, and so shuffled
+    where Spark doesn't find `wanted` small enough to broadcast: those wanted and a few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +172,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "items"]).filter(pa.array(same))
 
-    texts = docs.join(wanted, "doc_id").select("node", "digest1", "digest2", "text")
+    texts = _possible(docs, wanted).join(wanted, "doc_id").select("node", "digest1", "digest2", "text")
     return texts.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
 
