@@ -204,6 +204,7 @@ def test_brown_scores(spark, monkeypatch, texts):
     fit, store = brown_lm.fit_brown, brown_lm.stored
     monkeypatch.setattr(brown_lm, "fit_brown", lambda *a: held.setdefault("model", fit(*a)))
     monkeypatch.setattr(brown_lm, "stored", lambda df, label: kept.setdefault(label, store(df, label)))
+    monkeypatch.setattr(brown_lm, "discard", lambda *tables: None)  # they are looked at below
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in brown_lm.brown_scores(df, F.col("doc_id") % 5 == 1, block_rows=20).collect()}
     class_of = {r.word: r["class"] for r in kept["words"].collect()}

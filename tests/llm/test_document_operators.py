@@ -190,7 +190,9 @@ def test_brown_classes_of_words_below_the_most_frequent(spark, monkeypatch):
     items = brown_lm.Items(np.sort(np.array([key(w) for w in ("the", "will", "in", "by", "bona", "bira")], np.int64).view(np.uint64)))
     pairs = brown_lm.item_bigrams(df, items)
     cls = brown_lm.exchange(pairs)
-    got = {r.word: r["class"] for r in brown_lm.classed_words(df, counts, items, cls, pairs, 3).collect()}
+    member = np.eye(brown_lm.CLASSES)[cls]
+    assert np.array_equal(brown_lm.class_grid(df, items, cls), member.T @ pairs @ member)
+    got = {r.word: r["class"] for r in brown_lm.classed_words(df, counts, items, cls, member.T @ pairs @ member, items, cls, 3).collect()}
     assert len(got) == counts.count()
     of = lambda some: {got[key(w)] for w in some}
     assert len(of(nouns)) == len(of(verbs)) == 1 and of(nouns) != of(verbs) and -1 not in of(nouns) | of(verbs)
@@ -198,6 +200,18 @@ def test_brown_classes_of_words_below_the_most_frequent(spark, monkeypatch):
     assert brown_lm.brown_scores(df, F.lit(False)).count() == len(texts)
 
 
+def test_the_second_round_raises_the_likelihood(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(brown_lm, "TOP", 100)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    total = {}
+    for least in (10**9, 10):
+        monkeypatch.setattr(brown_lm, "AGAIN", least)
+        total[least] = brown_lm.brown_scores(docs, F.lit(False)).agg(F.sum("score")).first()[0]
+    assert total[10] > total[10**9]
+
+
 def test_brown_on_odd_tables(spark):
     df = frame(spark, [(1, None), (2, ""), (3, "A a b"), (3, "A a b"), (None, "b")], "doc_id long, text string")
     from pyspark.sql import functions as F

@@ -6,7 +6,9 @@ class bigrams most, until a pass moves little. The items of this are those words
 text and SHAPES forms (length, digits, bytes beyond ASCII, final punctuation) that stand for all
 other words. Each of the other words used LEAST times or more is then moved from its form's class
 to the best one by the same gain, from the classes of all its neighbours in training; this is done
-in Spark, and the classes are a column of the word table. Only rarer and unseen words keep the
+in Spark, and the classes are a column of the word table. Then these words are gone through again:
+the HEAD most frequent words now stand with their new classes beside each other, class pairs are
+counted anew, and each word moves from where it is to where the gain is greatest. Only rarer and unseen words keep the
 class of their form. Transitions are counted anew over all training tokens with these classes.
 A text's probability is the product over its tokens of P(class | class before) and P(word | class),
 for rare words P(form | class) P(word | form).
@@ -19,7 +21,7 @@ Word counts cover all training texts and grow with them, so they are never broad
 dealt into blocks of about BLOCK_BYTES or BLOCK_ROWS, whichever is less, each block asks for the counts of its distinct words
 and classes by an equi-join on the word's 64-bit hash, and turns its texts into classes (a byte a
 token) and emissions with the answers. These are stored; transitions are counted and scored from
-them. Only the items' tables (their sizes are fixed by TOP, SHAPES and CLASSES) go to the driver
+them. Only the items' tables (their sizes are fixed by TOP, HEAD, SHAPES and CLASSES) go to the driver
 and back.
 
 Defined results: null text counts as empty and has the end token alone. Without training texts
@@ -39,11 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import small_batches, stored
+from .common import discard, small_batches, stored
 
 TOP = 1000
 #: Uses in training from which a word has a class of its own.
 LEAST = 5
+#: Uses from which a word is gone through again; few uses would follow chance.
+AGAIN = 10
+#: Most frequent words whose classes the second round over all words looks at.
+HEAD = 65_536
 SHAPES = 24
 CLASSES = 48
 PASSES = 8
@@ -253,9 +259,35 @@ def best_classes(grid: np.ndarray, right: np.ndarray, left: np.ndarray, cls: np.
     return np.where(gain[every, best] > gain[every, cls] + 1e-9, best, cls)
 
 
-def neighbours(docs: DataFrame, items: Items, cls: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, word, near): the classes before and after each use of the words that are no items of
-    their own, two bytes a use; one row a word and some batches of texts."""
+def class_grid(docs: DataFrame, items: Items, cls: np.ndarray) -> np.ndarray:
+    """Counts of class pairs, left to right, the end before each text included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for part in tn.chunks(batch, "text"):
+                key, form, bounds = tokens(part.column("text"))
+                c = cls[items.of(key, form)]
+                before = np.empty_like(c)
+                before[1:] = c[:-1]
+                before[bounds[:-1]] = cls[-1]
+                total += np.bincount(before * CLASSES + c, minlength=len(total))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "count"])
+
+    return _grid(docs.select("text").mapInArrow(run, "pair long, count long"))
+
+
+def _grid(partial: DataFrame) -> np.ndarray:
+    table = partial.groupBy("pair").agg(F.sum("count").alias("count")).toArrow()  # at most CLASSES ** 2 rows
+    out = np.zeros(CLASSES * CLASSES)
+    out[table["pair"].to_numpy()] = table["count"].to_numpy()
+    return out.reshape(CLASSES, CLASSES)
+
+
+def neighbours(docs: DataFrame, items: Items, cls: np.ndarray, fixed: Items, buckets: int) -> DataFrame:
+    """(bucket, word, near): the classes before and after each use of the words that are not
+    `fixed`, two bytes a use; one row a word and some batches of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
@@ -279,7 +311,7 @@ def neighbours(docs: DataFrame, items: Items, cls: np.ndarray, buckets: int) ->
                 around = np.full((len(c), 2), cls[-1], np.uint8)
                 around[1:, 0], around[:-1, 1] = c[:-1], c[1:]
                 around[bounds[:-1], 0] = cls[-1]
-                rest = (item >= len(items.keys)) & (item < len(items) - 1)
+                rest = (fixed.of(key, form) >= len(fixed.keys)) & (form < SHAPES - 1)
                 held.append((key[rest], around[rest]))
                 size += int(rest.sum())
                 if size > 4 * HELD:
@@ -291,18 +323,18 @@ def neighbours(docs: DataFrame, items: Items, cls: np.ndarray, buckets: int) ->
     return docs.select("text").mapInArrow(run, "bucket int, word long, near binary")
 
 
-def classed_words(docs: DataFrame, counts: DataFrame, items: Items, cls: np.ndarray, pairs: np.ndarray, buckets: int) -> DataFrame:
-    """`counts` with the class of each word; -1 where it has that of its shape."""
-    member = np.eye(CLASSES)[cls]
-    grid = member.T @ pairs @ member
+def classed_words(docs: DataFrame, counts: DataFrame, items: Items, cls: np.ndarray, grid: np.ndarray, fixed: Items, fixed_cls: np.ndarray, buckets: int, least: int = LEAST) -> DataFrame:
+    """`counts` with the class of each word; -1 where it has that of its shape. Words of `least` uses
+    or more that are not `fixed` move from their class among `items` (or their shape's), as `grid`
+    has them counted; others keep the class that `counts` has."""
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("word").to_numpy())
         right = right.take(pa.array(order))
         word, form, n = (right.column(x).to_numpy() for x in ("word", "shape", "count"))
-        item = items.of(word.view(np.uint64), form)
-        found = np.where(item < len(items.keys), cls[item], -1)
-        placed = np.flatnonzero((item >= len(items.keys)) & (form < SHAPES - 1) & (n >= LEAST))
+        item, own = items.of(word.view(np.uint64), form), fixed.of(word.view(np.uint64), form)
+        found = np.where(own < len(fixed.keys), fixed_cls[own], right.column("class").to_numpy())
+        placed = np.flatnonzero((own >= len(fixed.keys)) & (form < SHAPES - 1) & (n >= least))
         index = np.full(len(word), -1)
         index[placed] = np.arange(len(placed))
         sides = np.zeros((2, len(placed), CLASSES))
@@ -320,9 +352,10 @@ def classed_words(docs: DataFrame, counts: DataFrame, items: Items, cls: np.ndar
             found[some] = best_classes(grid, sides[1, i : i + 2000], sides[0, i : i + 2000], cls[item[some]])
         return pa.table({"word": word, "shape": form, "count": n, "class": found.astype(np.int32)})
 
-    near = neighbours(docs, items, cls, buckets)
+    near = neighbours(docs, items, cls, fixed, buckets)
     # The bucket of a hash as unsigned number, as in `neighbours`.
-    dealt = counts.withColumn("bucket", F.expr(f"cast((cast(word as decimal(20, 0)) + if(word < 0, 18446744073709551616BD, 0BD)) % {buckets} as int)"))
+    held = counts if "class" in counts.columns else counts.withColumn("class", F.lit(-1))
+    dealt = held.withColumn("bucket", F.expr(f"cast((cast(word as decimal(20, 0)) + if(word < 0, 18446744073709551616BD, 0BD)) % {buckets} as int)"))
     return near.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(place, "word long, shape int, count long, class int")
 
 
@@ -398,10 +431,7 @@ def class_bigrams(coded: DataFrame, end: int) -> np.ndarray:
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "count"])
 
-    table = coded.select("n_tokens", "classes").mapInArrow(run, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count")).toArrow()  # at most CLASSES ** 2 rows
-    out = np.zeros(CLASSES * CLASSES)
-    out[table["pair"].to_numpy()] = table["count"].to_numpy()
-    return out.reshape(CLASSES, CLASSES)
+    return _grid(coded.select("n_tokens", "classes").mapInArrow(run, "pair long, count long"))
 
 
 CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary"
@@ -420,7 +450,14 @@ def brown_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     items = Items(np.sort(np.array(top, np.int64).view(np.uint64)))
     pairs = item_bigrams(train, items)
     cls = exchange(pairs)
-    words = stored(classed_words(train, counts, items, cls, pairs, max(1, n_tokens // BUCKET_TOKENS)), "words")
+    member, buckets = np.eye(CLASSES)[cls], max(1, n_tokens // BUCKET_TOKENS)
+    once = stored(classed_words(train, counts, items, cls, member.T @ pairs @ member, items, cls, buckets), "words-once")
+    head = once.filter((F.col("class") >= 0) & (F.col("word") != end)).orderBy(F.desc("count"), "word").limit(HEAD).select("word", "class").toArrow()  # HEAD rows at most
+    key, of = head["word"].to_numpy().view(np.uint64), head["class"].to_numpy()
+    order = np.argsort(key)
+    wide, wide_cls = Items(key[order]), np.concatenate([of[order], cls[len(items.keys) :]])
+    words = stored(classed_words(train, once, wide, wide_cls, class_grid(train, wide, wide_cls), items, cls, buckets, AGAIN), "words")
+    discard(counts, once)
     n = F.col("count")
     of_shape = words.filter("class < 0").groupBy("shape").agg(F.sum("count").alias("t"), F.count("*").alias("w"), F.count(F.when(n == 1, 1)).alias("o"), F.count(F.when(n == 2, 1)).alias("b"))
     by_shape, by_class = np.zeros((4, SHAPES)), np.zeros(CLASSES)
@@ -463,6 +500,7 @@ def brown_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
         return pa.Table.from_batches(out)
 
     coded = stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(code, CODED), "coded-texts")
+    discard(words)
     end_class = int(cls[-1])
     follow = transitions(class_bigrams(coded.filter(~F.col("held_out")), end_class)) if n_tokens else np.zeros((CLASSES, CLASSES))
 
