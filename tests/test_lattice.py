@@ -54,6 +54,7 @@ def test_search_by_terms_and_costs_from_texts(spark):
     assert query.terms == ("成年", "制度")
     hits = search.top(search.bm25(terms, query, tokens_col="tokens"), 3, "i").collect()
     assert [r.i for r in hits] == [1, 2, 3]
-    learned = lattice.learned_costs(rows, "text", [(s, c, 0.0, f) for s, c, _, f in words])
+    more = rows.union(spark.createDataFrame([(5, "後見人の後見")], "i int, text string"))
+    learned = lattice.learned_costs(more, "text", [(s, c, 0.0, f) for s, c, _, f in words])
     cost = {w[0]: w[2] for w in learned}
     assert cost["制度"] < cost["制"] and cost["後見"] < cost["成年後"] and cost["の"] < cost["ば"]
