@@ -154,7 +154,7 @@ def test_ranges_suggestions_and_changes(spark):
 def test_blank_keys_are_nobodys(spark):
     items = spark.createDataFrame([("",), ("a",)], "id string")
     fetched = spark.createDataFrame([("", "p"), ("a", "p"), (None, "q")], "id string, path string")
-    assert {r.id: r.fetched for r in catalog.with_status(items, fetched, ["id"], F.desc("path")).collect()} == {"": False, "a": True}
+    assert {r.id: r.fetched for r in catalog.with_status(items, fetched, ["id"]).collect()} == {"": False, "a": True}
 
 
 def test_records(spark, tmp_path):

@@ -196,5 +196,5 @@ def test_catalogue(spark):
     patch = spark.createDataFrame([(1, "p", 1), (1, "q", 2), (2, "y", 1), (3, "", 1), (9, "n", 1)], "id int, new_text string, seq int")
     assert sorted((r.id, r.text, r.changed) for r in catalog.patched(rows, patch, "id", "text", "seq").collect()) == [(1, "q", True), (2, "y", False), (3, "z", False)]
     assert catalog.calendar(spark, "2026-01-05", "2026-01-01").count() == 5 and catalog.calendar(spark, "2025-01-01", "2026-01-01").count() == 61
-    status = catalog.with_status(t("a", "b"), spark.createDataFrame([("a", "p2"), ("a", "p1")], "id string, path string"), ["id"], F.desc("path"))
+    status = catalog.with_status(t("a", "b"), spark.createDataFrame([("a", "p2"), ("a", "p1")], "id string, path string"), ["id"])
     assert sorted((r.id, r.fetched) for r in status.collect()) == [("a", True), ("b", False)]

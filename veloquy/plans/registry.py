@@ -287,7 +287,7 @@ def topk_per_group(spark, sf_dir):
 @query("select d.doc_id, l.doc_id is not null as fetched from documents d left join (select distinct doc_id from labels) l using (doc_id)")
 def status_left_join(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
-    return catalog.with_status(docs, labels, ["doc_id"], F.desc("quality"))
+    return catalog.with_status(docs, labels, ["doc_id"])
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -575,7 +575,7 @@ def json_lines(spark, sf_dir):
 @query("select doc_id, source as title from documents where doc_id not in (select doc_id from labels) and contains(source, 'src1') order by doc_id limit 10")
 def suggestions(spark, sf_dir):
     """Ten items not fetched whose title has the query's first word."""
-    items = catalog.with_status(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title")), table(spark, sf_dir, "labels"), ["doc_id"], F.desc("quality"))
+    items = catalog.with_status(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title")), table(spark, sf_dir, "labels"), ["doc_id"])
     return catalog.suggestions(items, '"src1" moron', order=("doc_id",)).select("doc_id", "title")
 
 
