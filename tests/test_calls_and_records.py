@@ -13,6 +13,7 @@ from columns import SPEAKERS, many, one
 from veloquy.functions import calls
 from veloquy.functions import text as tx
 from veloquy.operators import catalog, prompts, render
+from veloquy.plans import registry
 from veloquy.sources import captions, pages
 
 NAMES = ["山本", "三浦", "阿部", "木原", "山口", "榊原", "鈴木花子", "高橋桃子", "鈴木", "今", "先", None, ""]
@@ -231,3 +232,20 @@ def test_loops_are_counted_and_the_text_is_kept(spark, tmp_path):
     (tmp_path / "a.meta.json").write_text("not json")
     (tmp_path / "b.meta.json").write_text('{"house":"h","id":"1","title":"t"}')
     assert [r.path[-11:] for r in captions.unreadable_meta(spark, str(tmp_path)).collect()] == ["a.meta.json"]
+
+
+def test_places_of_a_listing_in_partitions_of_any_size(spark):
+    """Rows and their counts agree on partitions, however these are put together."""
+    sizes = {"parallelismFirst": "false", "minPartitionSize": "1k"}
+    conf = {f"spark.sql.adaptive.coalescePartitions.{k}": v for k, v in sizes.items()} | {"spark.sql.adaptive.advisoryPartitionSizeInBytes": None}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for size in ("16k", "64k"):
+            for k, v in conf.items():
+                spark.conf.set(k, v or size)
+            rows = registry.listing_text(spark, "/root/testdata/sf0.001").collect()
+            rows.sort(key=lambda r: (r.date or "", r.house or "", r.id or "", r.line))
+            assert len(rows) == 5595 and [r.place for r in rows] == list(range(1, 5596))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -20,7 +20,7 @@ from veloquy.operators import attribution as at
 from veloquy.operators import catalog, postings, prompts, render, segments
 from veloquy.operators import search as se
 from veloquy.sources import captions, pages
-from veloquy.storage import new_path
+from veloquy.storage import new_path, stored
 from veloquy.streaming import tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,8 +556,9 @@ def listing_text(spark, sf_dir):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(key % 2 == 0, "sangiin").otherwise("shugiin").alias("house"), key.cast("string").alias("id"), F.col("o_orderpriority").alias("title"),
         F.when(key % 3 == 0, F.concat((key % 7).cast("string"), F.lit("時間"))).otherwise("").alias("duration"), (key % 5 == 0).alias("fetched"), F.concat(F.lit("https://l.example/"), key.cast("string")).alias("page_url"),
     )
-    # The place of each row as it comes: partitions are in order, and so are rows in them.
-    lines = render.listing_text(items, "get").withColumn("at", F.monotonically_increasing_id())
+    # The place of each row as it comes: partitions are in order, and so are rows in them. Stored, as
+    # made a second time to be counted the rows may come in other partitions.
+    lines = stored(render.listing_text(items, "get").withColumn("at", F.monotonically_increasing_id()), "listing")
     sizes = lines.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     found = lines.withColumn("part", F.shiftright("at", 33)).join(before, "part")
