@@ -249,3 +249,10 @@ def test_places_of_a_listing_in_partitions_of_any_size(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_ages_of_all_four_spellings(spark):
+    """Only what is spelt in a fifth way has no age."""
+    rows = registry.age_in_days(spark, "/root/testdata/sf0.001").collect()
+    assert {r.o_orderkey % 5 for r in rows if r.days is not None} == {0, 1, 2, 3}
+    assert all((r.days is None) == (r.o_orderkey % 5 == 4) for r in rows)
