@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,24 @@ def test_typed_dates_are_compared_as_dates(spark):
         df = spark.createDataFrame([(make(d),) for d in days], f"date {kind}")
         assert search.filtered(df, since="2026年4月5日", until="2026-05-15").count() == 2
         assert search.filtered(df, since="2026-04-06").count() == 1 and search.filtered(df, until="2026-04-05").count() == 1
+
+
+def test_terms_are_counted_within_a_row(spark):
+    """So that postings are shuffled once, as they are written."""
+    rnd = random.Random(5)
+    rows = [(i, rnd.choices(["a", "b", "é", "語", "𝒳", ""], k=n)) for i, n in enumerate((1, 2, 3, 50, 2000))]
+    found = spark.createDataFrame(rows, "i int, t array<string>").select("i", F.inline(postings.counted(F.col("t")))).collect()
+    assert len(found) == len({(r.i, r.term) for r in found})
+    assert {(r.i, r.term): r.f for r in found} == {(i, w): n for i, t in rows for w, n in Counter(t).items()}
+
+
+def test_one_term_everywhere_is_dealt_to_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "FILE_ROWS", 50)
+    rows = spark.createDataFrame([(i, "same" if i % 7 else None) for i in range(400)], "k long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = postings.build(rows, str(tmp_path / "x"), "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.postings.count() == 342 and len(index.postings.inputFiles()) > 1
+    assert postings.search(index, Query(("same",), ()), None).count() == 342

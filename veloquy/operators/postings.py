@@ -7,8 +7,8 @@ folders of its terms and in them the row groups that hold them. `rows` has the k
 and the metadata columns that searches filter by, without texts. A search reads both, never a
 text, but for phrases. Scores are those of `search.bm25` over the same rows.
 
-Building shuffles one row for each distinct term of each row by (bucket, term and key), so the
-postings of a frequent term are written by many tasks. The index's own columns begin with two
+Building counts a row's terms within the row and shuffles one row for each of them once, by (bucket, a
+hash of the key), so the postings of a frequent term are written by many tasks. The index's own columns begin with two
 underscores, so key and metadata may have any other name; keys that are null or repeat are refused.
 """
 
@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veloquy.functions.query import Query
-from veloquy.functions.text import regex_tokens
+from veloquy.functions.text import once, regex_tokens
 from veloquy.operators.search import B, K1, saturated, top
 
 BUCKETS = 64
+#: Tokens behind one file of a folder, on average, and postings of one term in it.
+FILE_TOKENS = 1 << 20
+FILE_ROWS = 1 << 21
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -52,19 +55,31 @@ class Index:
         return self._whole
 
 
+def counted(tokens: Column) -> Column:
+    """array<struct<term, f>> of an array that is not empty: each token with its number."""
+
+    def of(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~F.get(a, i).eqNullSafe(F.get(a, i - 1)))
+        ends = lambda s, j: F.coalesce(F.get(s, j + 1), F.size(a))
+        return once(starts, lambda s: F.transform(s, lambda i, j: F.struct(F.get(a, i).alias("term"), (ends(s, j) - i).alias("f"))))
+
+    return once(F.sort_array(tokens), of)
+
+
 def build(rows: DataFrame, path: str, key: str, text_col: str = "text", tokens_col: str | None = None, metadata: tuple[str, ...] = (), buckets: int = BUCKETS) -> Index:
     """Write the index of `rows` under `path`; keys must be unique."""
     tokens = regex_tokens(F.col(text_col)) if tokens_col is None else F.col(tokens_col)
     split = rows.select(F.col(key), *metadata, tokens.alias("__tokens"))
     split.select(key, *metadata, F.size("__tokens").alias("__length")).write.mode("overwrite").parquet(f"{path}/rows")
     spark = rows.sparkSession
-    n, known, distinct = spark.read.parquet(f"{path}/rows").agg(F.count("*"), F.count(key), F.countDistinct(key)).first()
+    n, known, distinct, tokens = spark.read.parquet(f"{path}/rows").agg(F.count("*"), F.count(key), F.countDistinct(key), F.coalesce(F.sum("__length"), F.lit(0))).first()
     if not n == known == distinct:
         raise ValueError("keys are null or repeat")
-    # A row's tokens are in one task, so its counts are complete before anything is shuffled.
-    each = split.select(key, F.size("__tokens").alias("__length"), F.explode("__tokens").alias("__term")).groupBy("__term", key, "__length").agg(F.count("*").cast("int").alias("__f"))
-    dealt = each.withColumn("__bucket", bucket_of(F.col("__term"), buckets))
-    dealt = dealt.repartitionByRange("__bucket", "__term", key).sortWithinPartitions("__bucket", "__term", key)
+    each = split.select(key, F.size("__tokens").alias("__length"), "__tokens").filter("__length > 0").select(key, "__length", F.inline(counted(F.col("__tokens"))))
+    dealt = each.select(F.col("term").alias("__term"), key, "__length", F.col("f").alias("__f"), bucket_of(F.col("term"), buckets).alias("__bucket"))
+    # Dealing by hashes makes the rows once; ranges would make them twice, the first time for their bounds.
+    splits = max(1, -(-tokens // (buckets * FILE_TOKENS)), -(-n // FILE_ROWS))
+    dealt = dealt.repartition(F.col("__bucket"), F.pmod(F.xxhash64(key), F.lit(splits))).sortWithinPartitions("__bucket", "__term")
     dealt.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/postings")
     return open_index(spark, path, key, buckets)
 
