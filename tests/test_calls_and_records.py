@@ -256,3 +256,11 @@ def test_ages_of_all_four_spellings(spark):
     rows = registry.age_in_days(spark, "/root/testdata/sf0.001").collect()
     assert {r.o_orderkey % 5 for r in rows if r.days is not None} == {0, 1, 2, 3}
     assert all((r.days is None) == (r.o_orderkey % 5 == 4) for r in rows)
+
+
+def test_calls_are_found_once_whatever_reads_them(spark):
+    """One Python step for turns and reports, also after filters of their own."""
+    for name in ("respondents", "merged_turns"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000

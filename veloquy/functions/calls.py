@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veloquy.functions.text import RETURN, once
+from veloquy.session import small_batches
 
 # Roles as they are called out, forms of address that hand back to the questioner,
 # words that are no names, particles behind a mention with what makes them the start of a word.
@@ -136,7 +137,9 @@ def roster_calls(rows: DataFrame, text_col: str, roster: DataFrame, name_col: st
         for texts in parts:
             yield pd.Series([[{"name": n, "role_str": r, "start": s} for n, r, s in calls_in(t, automaton)] if t and names else [] for t in texts])
 
-    return rows.withColumn(out, run(F.col(text_col)))
+    # Taken for deterministic, the optimizer would write it into each use of the calls (a filter for
+    # those that have any, too), and each would run with Python workers of its own.
+    return small_batches(rows).withColumn(out, run.asNondeterministic()(F.col(text_col)))
 
 
 def page_class(group: Column) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veloquy.session import BATCH_ROWS as BATCH_ROWS
+from veloquy.session import small_batches as small_batches
 from veloquy.storage import discard as discard
 from veloquy.storage import shared_dir as shared_dir
 from veloquy.storage import stored as stored
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +35,3 @@ def renamed(out: DataFrame, docs: DataFrame, **added: Column | str) -> DataFrame
     new = {name.lower() for name in added}
     old = [F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns) if name.lower() not in new]
     return out.select(*old, *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in added.items()])
-
-
-def small_batches(docs: DataFrame) -> DataFrame:
-    """`docs`; texts go to Python in Arrow batches of at most BATCH_ROWS rows from now on, as both
-    sides hold a batch of whole texts in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return docs
