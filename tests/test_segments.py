@@ -208,3 +208,56 @@ def test_runs_of_texts_of_any_length(spark):
     assert time.monotonic() - began < 60
     for r in found:
         assert sorted(r.runs) == sorted({r.text[i : i + segments.GRAM] for i in range(len(r.text))} or {""})
+
+
+def test_texts_are_not_shuffled_and_lists_hold_places(spark, tmp_path):
+    """What an update moves and writes: no text through a shuffle, lists of bytes in place of keys and metadata."""
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(400)]
+    df = spark.createDataFrame([(i, f"p{i % 3}", 1, " ".join(rnd.choices(words, k=200)), "x" * 200) for i in range(1500)], "id long, path string, stamp long, text string, lang string").repartition(3)
+    df.write.parquet(f"{tmp_path}/docs")
+    df, path = spark.read.parquet(f"{tmp_path}/docs"), new_path(spark, "segments")
+    moved = []
+    monitor = spark._jsparkSession.sharedState().statusStore()
+    seen = monitor.executionsCount()
+    index = segments.update(spark, path, df.select("path", "stamp").distinct(), lambda f: df.join(f, ["path", "stamp"], "left_semi"), "id", metadata=("lang",))
+    time.sleep(2)
+    for i in range(seen, monitor.executionsCount()):
+        run = monitor.executionsList().apply(i)
+        values = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(monitor.executionMetrics(run.executionId()))
+        names = {m.accumulatorId(): m.name() for m in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(run.metrics())}
+        moved += [values[k] for k, name in names.items() if name == "shuffle bytes written" and k in values]
+    total = sum(float(n.replace(",", "")) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20}[unit] for n, unit in (m.split("\n")[-1].split(" (")[0].split()[:2] for m in moved))
+    assert moved and total < 200_000  # 1.8 MB of texts
+    kinds = {name: dict(index.table(name).dtypes) for name in ("postings", "grams")}
+    assert kinds["postings"]["rows"] == kinds["grams"]["rows"] == "array<tinyint>" and "meta" not in str(kinds)
+    want = {(r.term, r.id): r.f for r in df.select("id", F.explode(F.split("text", " ")).alias("term")).groupBy("term", "id").agg(F.count("*").alias("f")).collect()}
+    found = segments._entries(index, index.table("postings"), None).collect()
+    assert len(found) == len(want) and {(r.term, r.key): r.f for r in found} == want and {r.length for r in found} == {200}
+
+
+def test_lists_of_blocks_in_batches_of_any_size():
+    """Blocks that go on in the next batch, tokens and texts that are null or empty, characters 0 and beyond the first plane."""
+    import pyarrow as pa
+
+    from veloquy.functions import lists
+
+    rnd = random.Random(4)
+    rows = [(b, r, [rnd.choice(["a", "b", "ü", "", None]) for _ in range(rnd.randrange(5))] if rnd.random() < 0.9 else None, "".join(rnd.choices("ab\0𝒳\n語", k=rnd.randrange(1, 9)))) for b in (0, 128, 1 << 33) for r in range(40)]
+    want_terms, want_grams = {}, {}
+    for b, r, tokens, text in rows:
+        for t in tokens or []:
+            if t is not None:
+                want_terms.setdefault((t, b), {}).setdefault(r, 0)
+                want_terms[t, b][r] += 1
+        for g in {text[i : i + 3] for i in range(len(text))}:
+            want_grams.setdefault((g, b), set()).add(r)
+    for size in (1, 7, 40, 500):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        kind = pa.schema([("block", pa.int64()), ("row", pa.int8()), ("length", pa.int32()), ("tokens", pa.list_(pa.string())), ("text", pa.string())])
+        batches = [pa.RecordBatch.from_pylist([{"block": b, "row": r, "length": 100 - r, "tokens": t, "text": x} for b, r, t, x in c], kind) for c in cut]
+        found = [p for batch in lists.postings(iter(batches)) for p in batch.to_pylist()]
+        assert {(p["term"], p["block"]): dict(zip(p["rows"], p["fs"], strict=True)) for p in found} == want_terms and len(found) == len(want_terms)
+        assert all(p["n"] == len(p["rows"]) and p["max_f"] == max(p["fs"]) and p["min_length"] == 100 - max(p["rows"]) for p in found)
+        grams = [p for batch in lists.grams(iter(batches)) for p in batch.to_pylist()]
+        assert {(p["gram"], p["block"]): set(p["rows"]) for p in grams} == want_grams and len(grams) == len(want_grams)
